@@ -136,20 +136,20 @@ def flatten_to_pairs(
         _kind(F.col("__doc")).startswith("ARRAY<"), F.col("__doc").try_cast("array<variant>")
     ).otherwise(F.array(F.col("__doc")))
     items = items.select(key, F.posexplode(listed).alias("__item", "__doc"))
-    items = items.withColumn("__key", F.struct(key, "__item")).select(
-        "__key", F.to_json("__doc").alias("__doc")
+    items = items.withColumn("__row", F.struct(key, "__item")).select(
+        "__row", F.to_json("__doc").alias("__doc")
     )
-    leaves = json_leaves(items, "__key", "__doc", max_depth)
+    leaves = json_leaves(items, "__row", "__doc", max_depth)
     text = leaves.filter(
         (_kind(F.col("value")) == "STRING") & (F.size("path") > 0)
     )
     layers = F.repeat(F.lit(f"_{LAYER_TAG}"), F.size("path") - 1)
     name = F.concat(F.lit(prefix), layers, F.lit("_"), F.upper(F.element_at("path", -1)))
     pairs = text.select(
-        F.col(f"__key.{key}").alias(key),
+        F.col(f"__row.{key}").alias(key),
         name.alias("name"),
         F.col("value").cast("string").alias("value"),
-        F.struct(F.col("__key.__item").alias("item"), F.col("path")).alias("__at"),
+        F.struct(F.col("__row.__item").alias("item"), F.col("path")).alias("__at"),
     )
     return pairs.groupBy(key, "name").agg(F.max_by("value", "__at").alias("value"))
 
