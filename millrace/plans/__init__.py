@@ -1,6 +1,10 @@
 """Bindings of every operator to the test tables."""
 
-from millrace.plans import filter_plans, join_plans  # noqa: F401  (fill the registry)
+from millrace.plans import (  # noqa: F401  (fill the registry)
+    aggregate_plans,
+    filter_plans,
+    join_plans,
+)
 from millrace.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
