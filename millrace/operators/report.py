@@ -12,7 +12,6 @@ from millrace.functions.display import justify, wrap
 from millrace.functions.strings import header_style
 from millrace.operators.aggregates import column_widths
 from millrace.operators.joins import snapshots_with_base, stacks_with_snapshot_time
-from millrace.operators.projections import PREVIEW_CHARS, truncate_description
 
 BLANK_CELL = " "
 
@@ -157,12 +156,11 @@ def snapshot_listing(snapshots: DataFrame, clusters: DataFrame) -> DataFrame:
 
 def app_listing(apps: DataFrame) -> DataFrame:
     """Applications with author, version and the shortened description."""
-    short = truncate_description(apps, "description", PREVIEW_CHARS, "Description")
-    return short.select(
+    return apps.select(
         F.col("name").alias("App"),
         F.col("author").alias("Author"),
         F.col("version").alias("Version"),
-        "Description",
+        F.col("short").alias("Description"),
     )
 
 

@@ -3,6 +3,7 @@
 from millrace.plans import (  # noqa: F401  (fill the registry)
     aggregate_plans,
     filter_plans,
+    function_plans,
     join_plans,
 )
 from millrace.plans.registry import ORACLES, QUERIES

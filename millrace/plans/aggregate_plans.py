@@ -252,11 +252,11 @@ def _(t):
     "skewed_values",
     """
     SELECT l_returnflag, l_linestatus, count(*) AS cnt FROM lineitem
-    GROUP BY l_returnflag, l_linestatus HAVING count(*) > 0.2::DOUBLE * (SELECT count(*) FROM lineitem)
+    GROUP BY l_returnflag, l_linestatus HAVING count(*) > 0.1::DOUBLE * (SELECT count(*) FROM lineitem)
     """,
 )
 def _(t):
-    return profile.skewed_values(t.lineitem, ["l_returnflag", "l_linestatus"], 0.2)
+    return profile.skewed_values(t.lineitem, ["l_returnflag", "l_linestatus"], 0.1)
 
 
 # -- sorting ----------------------------------------------------------------------------

@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-
-try:
-    import yaml
-except ImportError:  # YAML manifests then fail with a clear message, JSON ones still work
-    yaml = None
+from pyspark.sql import types as T
 
 from millrace.functions.strings import file_extension, file_stem, words
 from millrace.operators.projections import PREVIEW_CHARS, truncate_description
@@ -34,12 +29,18 @@ MANIFEST_SCHEMA = (
 )
 
 
-@F.pandas_udf("string")
-def _yaml_to_json(texts: pd.Series) -> pd.Series:
-    if yaml is None:
-        raise RuntimeError("PyYAML is needed to read YAML manifests")
-    loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
-    return texts.map(lambda t: json.dumps(yaml.load(t, Loader=loader), default=str))
+def _yaml_to_json():
+    """A vectorised column function; built here so that workers need not import this package."""
+
+    def convert(texts: pd.Series) -> pd.Series:
+        import json
+
+        import yaml
+
+        loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
+        return texts.map(lambda t: json.dumps(yaml.load(t, Loader=loader), default=str))
+
+    return F.pandas_udf(convert, T.StringType())
 
 
 def read_small_files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
@@ -72,7 +73,7 @@ def parse_manifests(files: DataFrame, name: str | None = None) -> DataFrame:
         named = named.filter(F.col("name") == name)
     as_json = named.filter(F.col("__ext") == "json")
     as_yaml = named.filter(F.col("__ext").isin(*YAML_EXTENSIONS))
-    docs = as_json.unionByName(as_yaml.withColumn("content", _yaml_to_json("content")))
+    docs = as_json.unionByName(as_yaml.withColumn("content", _yaml_to_json()("content")))
     docs = docs.withColumn("doc", F.from_json("content", MANIFEST_SCHEMA))
     meta = F.col("doc.metadata")
     known = meta.isNotNull()
