@@ -32,6 +32,11 @@ def labelled(df: DataFrame, label: Column, features: Column) -> DataFrame:
     )
 
 
+def vectors(df: DataFrame, col: str) -> DataFrame:
+    """``features`` vectors for MLlib from an array column."""
+    return df.withColumn("features", array_to_vector(F.col(col).cast("array<double>")))
+
+
 def train_logistic(points: DataFrame, **params) -> LogisticRegressionModel:
     """Binary logistic regression with default settings."""
     return LogisticRegression(**params).fit(points)

@@ -4,7 +4,9 @@ from millrace.plans import (  # noqa: F401  (fill the registry)
     aggregate_plans,
     filter_plans,
     function_plans,
+    io_plans,
     join_plans,
+    learning_plans,
 )
 from millrace.plans.registry import ORACLES, QUERIES
 

@@ -205,7 +205,10 @@ def _stats_sql(table: str, column: str, kind: str, by: str = "") -> str:
     elif kind == "double":
         low_high["double"] = (f"min({column})", f"max({column})")
     elif kind == "timestamp_ntz":
-        low_high["long"] = (f"epoch(min({column}))::BIGINT", f"epoch(max({column}))::BIGINT")
+        low_high["long"] = (
+            f"floor(epoch(min({column})))::BIGINT",
+            f"floor(epoch(max({column})))::BIGINT",
+        )
     else:
         avg_len, max_len = f"round(avg(length({column})), 6)", f"max(length({column}))::BIGINT"
     return f"""

@@ -162,7 +162,7 @@ def _(t):
     "fn_date",
     """
     SELECT event_id, strftime(ts, '%m/%w/%Y (%I:%M %p)') AS listed,
-      strftime(make_timestamp((epoch(ts)::BIGINT) * 1000000), '%Y-%m-%d %H:%M:%S') AS from_epoch
+      strftime(make_timestamp(floor(epoch(ts))::BIGINT * 1000000), '%Y-%m-%d %H:%M:%S') AS from_epoch
     FROM events
     """,
 )

@@ -39,20 +39,24 @@ def drop_table(spark: SparkSession, table: str) -> None:
 
 
 def write_partitioned(
-    df: DataFrame, table: str, keys: Sequence[str], path: str | None = None, files_per_key: int = 1
+    df: DataFrame, table: str, keys: Sequence[str], path: str | None = None
 ) -> None:
     """A table with one directory per key tuple.
 
-    Rows are brought together by key before writing, so the number of files does not
-    multiply with the tasks; ``files_per_key`` spreads large keys over that many writers.
+    Rows are brought together by key, so the number of files does not multiply with the
+    tasks; adaptive execution splits the rows of a large key over several writers.
     """
-    spread = [F.pmod(F.xxhash64(*df.columns), F.lit(files_per_key))] if files_per_key > 1 else []
-    writer = df.repartition(*keys, *spread).write.partitionBy(*keys).mode("errorifexists")
+    writer = _rebalanced(df, keys).write.partitionBy(*keys).mode("errorifexists")
     if path:
         writer = writer.option("path", path)
     writer.saveAsTable(table)
 
 
+def _rebalanced(df: DataFrame, keys: Sequence[str], parts: int | None = None) -> DataFrame:
+    head = [parts] if parts else []
+    return df.hint("rebalance", *head, *[F.col(k) for k in keys])
+
+
 def list_partitions(spark: SparkSession, table: str) -> DataFrame:
     """The key tuples of a partitioned table."""
     return spark.sql(f"SHOW PARTITIONS {table}")
@@ -66,9 +70,13 @@ def write_bucketed(
     sort_cols: Sequence[str] = (),
     path: str | None = None,
 ) -> None:
-    """A table hashed into buckets and sorted inside them, ready for joins without a shuffle."""
+    """A table hashed into buckets and sorted (ascending) inside them.
+
+    Joins and aggregates on the bucket columns then need no shuffle.  A bucket that holds
+    far more than its share is split into several files.
+    """
     writer = (
-        df.repartition(buckets, *bucket_cols)
+        _rebalanced(df, bucket_cols, buckets)
         .write.bucketBy(buckets, *bucket_cols)
         .mode("errorifexists")
     )
