@@ -143,13 +143,11 @@ def insert_if_absent(
 
     Of several requests for one target the first one with a free port is accepted.
     """
-    taken_ports = reserved.select(source_port).distinct().withColumn("__reserved", F.lit(True))
-    held = rules.select(*target).distinct().withColumn("__held", F.lit(True))
-    asked = requests.join(taken_ports, source_port, "left").join(held, list(target), "left")
-    free = asked.filter("__reserved IS NULL AND __held IS NULL")
-    first = free.groupBy(*target).agg(F.min(seq).alias("__first"))
-    decided = asked.join(first, list(target), "left")
-    accepted = (
-        F.col("__reserved").isNull() & F.col("__held").isNull() & (F.col(seq) == F.col("__first"))
+    free = requests.join(reserved.select(source_port).distinct(), source_port, "left_anti")
+    # One row per target from here on, so no step gathers the requests of a popular target.
+    first = free.groupBy(*target).agg(F.min(seq).alias(seq))
+    winners = first.join(rules.select(*target).distinct(), list(target), "left_anti")
+    decided = requests.join(winners.withColumn("__won", F.lit(True)), [*target, seq], "left")
+    return decided.select(
+        *requests.columns, F.coalesce(F.col("__won"), F.lit(False)).alias("accepted")
     )
-    return decided.select(*requests.columns, F.coalesce(accepted, F.lit(False)).alias("accepted"))

@@ -17,16 +17,17 @@ from millrace.scratch import persist_table
 # Elements produced by one explode step; longer runs go through a second step on other tasks.
 RUN_CHUNK = 10_000
 
-# Up to this many leading rows, each task keeps its own best rows and one task merges them.
-TOP_K_ROWS = 10_000
+# Up to this many leading rows, tasks keep their own best rows and groups of tasks merge them
+# (the planner's own bound for a partial row limit); positions beyond it need the numbered sort.
+TOP_K_ROWS = 1000
+MERGE_GROUPS = 256
 
 _PART_BITS = 33  # monotonically_increasing_id keeps the partition in the bits above these
 
 
 def as_columns(order: Sequence[Column | str] | Column | str) -> list[Column]:
-    if isinstance(order, (str, Column)):
-        order = [order]
-    return [F.col(c) if isinstance(c, str) else c for c in order]
+    names = [order] if isinstance(order, (str, Column)) else order
+    return [F.col(c) if isinstance(c, str) else c for c in names]
 
 
 def explode_range(df: DataFrame, count: Column, out: str) -> DataFrame:
@@ -41,6 +42,24 @@ def explode_range(df: DataFrame, count: Column, out: str) -> DataFrame:
     return rows.withColumn(out, F.explode(F.sequence(low, high))).drop(chunk, total)
 
 
+def number_copies(df: DataFrame, out: str) -> DataFrame:
+    """Give equal rows distinct numbers ``0, 1, ...``, so that no two rows are the same.
+
+    Equal rows are counted with a map-side partial step.  Runs of copies are cut into
+    chunks and the chunks spread over the cluster before they become rows again, so a
+    value that holds a large share of the table is never written out by one task.
+    """
+    counted = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__copies"))
+    once = counted.filter("__copies = 1").select(*df.columns, F.lit(0).cast("bigint").alias(out))
+    runs = counted.filter("__copies > 1").withColumn(
+        "__chunk", F.explode(F.sequence(F.lit(0), F.expr(f"(__copies - 1) div {RUN_CHUNK}")))
+    )
+    runs = runs.repartition(*df.columns, "__chunk")
+    low = F.col("__chunk") * RUN_CHUNK
+    high = F.least(F.col("__copies"), low + RUN_CHUNK) - 1
+    return once.unionByName(runs.select(*df.columns, F.explode(F.sequence(low, high)).alias(out)))
+
+
 def number_rows(
     df: DataFrame,
     order: Sequence[Column | str] | Column | str,
@@ -49,56 +68,48 @@ def number_rows(
 ) -> DataFrame:
     """Add the 1-based global position of each row under ``order``.
 
-    Ties are broken by the whole row.  ``unique=True`` promises that ``order`` has no
-    ties.  Otherwise equal rows are counted first, so that a value held by a large share
-    of the rows is one row while sorting and cannot fill one range partition.
+    Ties are broken by the whole row and, among equal rows, by a copy number, so the sort
+    can cut even one value that fills much of the table into several range partitions.
+    ``unique=True`` promises that ``order`` has no ties and saves that step.
     """
     keys = as_columns(order)
-    if unique:
-        rows = df.withColumn("__copies", F.lit(1).cast("bigint"))
-    else:
-        keys = keys + [F.col(c) for c in df.columns]
-        rows = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__copies"))
-
+    rows = df
+    if not unique:
+        rows = number_copies(df, "__copy")
+        keys = [*keys, *df.columns, "__copy"]
     placed = (
         rows.repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
-        .withColumn("__id", F.monotonically_increasing_id())
+        .select(*df.columns, F.monotonically_increasing_id().alias("__id"))
         .withColumn("__part", F.shiftright("__id", _PART_BITS))
     )
     placed = persist_table(placed, "numbered")
 
-    sizes = placed.groupBy("__part").agg(F.sum("__copies").alias("__size"))
+    sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__size"))
     # One row per written partition, so a single-task window and a broadcast are bounded.
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
         "__part", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__offset")
     )
-    placed = placed.join(F.broadcast(offsets), "__part")
-
-    if unique:
-        position = F.col("__offset") + F.col("__id") - F.shiftleft("__part", _PART_BITS) + 1
-        return placed.withColumn(out, position).select(*df.columns, out)
+    inside = F.col("__id") - F.shiftleft("__part", _PART_BITS)
+    return placed.join(F.broadcast(offsets), "__part").select(
+        *df.columns, (F.col("__offset") + inside + 1).alias(out)
+    )
 
-    inside = Window.partitionBy("__part").orderBy("__id").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("__offset") + F.coalesce(F.sum("__copies").over(inside), F.lit(0)) + 1
-    placed = placed.withColumn("__start", start)
-    return _spread_copies(placed, df.columns, out)
 
+def top_rows(df: DataFrame, order: Sequence[Column | str] | Column | str, n: int) -> DataFrame:
+    """The first ``n`` rows under ``order`` (in any order), found in a tree of partial results.
 
-def _spread_copies(placed: DataFrame, columns: list[str], out: str) -> DataFrame:
-    """Repeat each row ``__copies`` times; long runs are cut and spread over the cluster."""
-    placed = placed.select(*columns, "__start", "__copies")
-    once = placed.filter("__copies = 1").select(*columns, F.col("__start").alias(out))
-    runs = placed.filter("__copies > 1").withColumn(
-        "__cut", F.explode(F.sequence(F.lit(0), F.expr(f"(__copies - 1) div {RUN_CHUNK}")))
+    Every task keeps ``n`` rows, groups of tasks are merged next, and only the best rows
+    of each group are left for the caller's final sort.
+    """
+    group = Window.partitionBy("__group").orderBy(*as_columns(order))
+    return (
+        df.withColumn("__group", F.spark_partition_id() % MERGE_GROUPS)
+        .withColumn("__pos", F.row_number().over(group))
+        .filter(F.col("__pos") <= n)
+        .drop("__group", "__pos")
     )
-    runs = runs.repartition("__start", "__cut")
-    low = F.col("__cut") * RUN_CHUNK
-    high = F.least(F.col("__copies"), low + RUN_CHUNK) - 1
-    runs = runs.withColumn("__i", F.explode(F.sequence(low, high)))
-    return once.unionByName(runs.select(*columns, (F.col("__start") + F.col("__i")).alias(out)))
-
 
 
 def rows_between(
@@ -107,8 +118,8 @@ def rows_between(
     """Rows at 0-based positions ``[start, end)`` under ``order``, ties broken by the whole row."""
     if start < 0 or end < start:
         raise ValueError(f"invalid row range [{start}, {end})")
-    keys = as_columns(order) + [F.col(c) for c in df.columns]
     if end <= TOP_K_ROWS:
-        return df.orderBy(*keys).offset(start).limit(end - start)
+        keys = [*as_columns(order), *df.columns]
+        return top_rows(df, keys, end).orderBy(*keys).offset(start).limit(end - start)
     numbered = number_rows(df, order, "__rn")
     return numbered.filter(F.col("__rn").between(start + 1, end)).drop("__rn")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.numbering import as_columns, number_rows, rows_between
+from millrace.operators.numbering import as_columns, number_copies, number_rows, rows_between
 
 
 def row_order(df: DataFrame, by: str, reverse: bool = False) -> list[Column]:
@@ -44,10 +44,18 @@ def index_row(df: DataFrame, order: Sequence[str], index: int) -> DataFrame:
     return rows_between(df, order, index, index + 1)
 
 
-def total_order_sort(df: DataFrame, key: str) -> DataFrame:
-    """Globally sorted output in range partitions, ties broken by the whole row."""
-    keys = [F.col(key), *[F.col(c) for c in df.columns if c != key]]
-    return df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+def total_order_sort(df: DataFrame, key: str, unique: bool = False) -> DataFrame:
+    """Globally sorted output in range partitions, ties broken by the whole row.
+
+    Equal rows get copy numbers first, so they too can be cut into several partitions;
+    ``unique=True`` promises that there are none.
+    """
+    keys = [key, *[c for c in df.columns if c != key]]
+    if unique:
+        return df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    keys = [*keys, "__copy"]
+    rows = number_copies(df, "__copy")
+    return rows.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("__copy")
 
 
 def first_n_joined(
@@ -73,6 +81,8 @@ def first_match_per_group(
     return hits.groupBy(*group).agg(F.min_by(value, position).alias(value))
 
 
-def sorted_positions(df: DataFrame, by: str, reverse: bool = False, out: str = "rn") -> DataFrame:
+def sorted_positions(
+    df: DataFrame, by: str, reverse: bool = False, out: str = "rn", unique: bool = False
+) -> DataFrame:
     """The table with each row's 1-based place in its sorted order."""
-    return number_rows(df, row_order(df, by, reverse), out, unique=True)
+    return number_rows(df, row_order(df, by, reverse), out, unique)

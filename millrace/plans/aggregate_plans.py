@@ -275,7 +275,7 @@ def _(t):
 )
 def _(t):
     rows = t.orders.select("o_orderpriority", "o_custkey", "o_orderkey")
-    return ordering.sorted_positions(rows, "o_orderpriority", reverse=True)
+    return ordering.sorted_positions(rows, "o_orderpriority", reverse=True, unique=True)
 
 
 @plan(
@@ -325,7 +325,7 @@ def _(t):
 )
 def _(t):
     records = generate_records(t.spark, t.orders.count(), seed=7)
-    ordered = ordering.total_order_sort(records, "key")
+    ordered = ordering.total_order_sort(records, "key", unique=True)
     return number_rows(ordered, ["key", "payload"], "rn", unique=True)
 
 
