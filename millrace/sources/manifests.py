@@ -45,10 +45,8 @@ def _yaml_to_json():
 
 def read_small_files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
     """``path, content`` of every file below ``root``."""
-    reader = spark.read.option("recursiveFileLookup", "true").option("wholetext", "true")
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    return reader.text(root).select(
+    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
+    return files.select(
         F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")
     )
 
@@ -152,7 +150,7 @@ def relative_paths(files: DataFrame, root: str) -> DataFrame:
 
 def collect_logs(spark: SparkSession, root: str) -> DataFrame:
     """Lines of the log trees ``<stack>/{storage,compute}/...`` below ``root``."""
-    lines = spark.read.option("recursiveFileLookup", "true").text(root)
+    lines = spark.read.text(root, recursiveFileLookup=True)
     return parse_logs(lines.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line")))
 
 
