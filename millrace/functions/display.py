@@ -82,40 +82,48 @@ def justify(col: Column, width: Column, align: str) -> Column:
 def wrap(col: Column, width: Column) -> Column:
     """Greedy wrap of one line into an array of lines of at most ``width`` characters.
 
-    Words are separated by white space; a word longer than a line fills the rest of the
-    current line and goes on in the next ones.
+    White space inside a line stays, at the cut it goes.  A word longer than a line fills
+    the rest of the current line (and leaves a full one as it is) and goes on in the next.
     """
     w = F.greatest(width, F.lit(1))
-    blank = F.lit("")
 
-    def add(state: Column, word: Column) -> Column:
+    def add(state: Column, chunk: Column) -> Column:
         lines, current = state["lines"], state["current"]
-        joint = F.when(current == "", blank).otherwise(F.concat(current, F.lit(" ")))
-        used = F.char_length(joint)
-        size = F.char_length(word)
-        room = F.greatest(w - used, F.lit(0))
-        rest = F.substr(word, room + 1)
+        size = F.char_length(chunk)
+        room = F.greatest(w - F.char_length(current), F.lit(0))
+        # What is left of a long word, cut to lines; the last piece stays open.
+        rest = F.substr(chunk, room + 1)
         last = F.floor((F.char_length(rest) - 1) / w).cast("int")
         pieces = F.transform(F.sequence(F.lit(0), last), lambda i: F.substr(rest, i * w + 1, w))
-        head = F.rtrim(F.concat(joint, F.when(room > 0, F.substr(word, F.lit(1), room)).otherwise(blank)))
+        head = F.when(room > 0, F.concat(current, F.substr(chunk, F.lit(1), room))).otherwise(current)
+        fresh = (current == "") & (F.size(lines) > 0)
         return (
-            F.when(used + size <= w, _state(lines, F.concat(joint, word)))
-            .when(size <= w, _state(F.concat(lines, F.array(current)), word))
+            F.when(F.rtrim(chunk) == "", F.when(fresh, state)
+                   .when(size <= room, _state(lines, F.concat(current, chunk)))
+                   .otherwise(_state(_emit(lines, current), F.lit(""))))
+            .when(size <= room, _state(lines, F.concat(current, chunk)))
+            .when(size <= w, _state(_emit(lines, current), chunk))
             .otherwise(
                 _state(
-                    F.concat(lines, F.array(head), F.slice(pieces, 1, last)),
+                    F.concat(lines, F.array(head), F.slice(pieces, F.lit(1), last)),
                     F.element_at(pieces, -1),
                 )
             )
         )
 
-    parts = F.filter(F.split(col, r"\s+"), lambda p: p != "")
-    start = _state(F.array().cast("array<string>"), blank)
-    done = F.aggregate(parts, start, add)
+    spaced = F.regexp_replace(col, r"\s", " ")
+    chunks = F.regexp_extract_all(spaced, F.lit("[^ ]+| +"), F.lit(0))
+    done = F.aggregate(chunks, _state(F.array().cast("array<string>"), F.lit("")), add)
+    lines = _emit(done["lines"], done["current"])
     return F.when(line_width(col) <= width, F.array(col)).otherwise(
-        F.concat(done["lines"], F.array(done["current"]))
+        F.when(F.size(lines) == 0, F.array(F.lit(""))).otherwise(lines)
     )
 
 
 def _state(lines: Column, current: Column) -> Column:
     return F.struct(lines.alias("lines"), current.alias("current"))
+
+
+def _emit(lines: Column, line: Column) -> Column:
+    """Close a line without its trailing blanks; a blank one is left out."""
+    return F.when(F.rtrim(line) == "", lines).otherwise(F.concat(lines, F.array(F.rtrim(line))))
