@@ -17,3 +17,9 @@ def listing_time(ts: Column) -> Column:
 def epoch_timestamp(seconds: Column) -> Column:
     """Timestamp of whole epoch seconds kept as text or number; bad text gives null."""
     return F.timestamp_seconds(seconds.try_cast("bigint"))
+
+
+def epoch_seconds(ts: Column) -> Column:
+    """Whole seconds since 1970 of a wall-clock time, whatever the session time zone."""
+    day = F.unix_date(ts.cast("date")).cast("bigint") * 86_400
+    return day + F.hour(ts) * 3_600 + F.minute(ts) * 60 + F.second(ts)

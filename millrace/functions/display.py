@@ -84,46 +84,19 @@ def wrap(col: Column, width: Column) -> Column:
 
     White space inside a line stays, at the cut it goes.  A word longer than a line fills
     the rest of the current line (and leaves a full one as it is) and goes on in the next.
+    One pattern match per line does it, so long texts take linear time.
     """
-    w = F.greatest(width, F.lit(1))
-
-    def add(state: Column, chunk: Column) -> Column:
-        lines, current = state["lines"], state["current"]
-        size = F.char_length(chunk)
-        room = F.greatest(w - F.char_length(current), F.lit(0))
-        # What is left of a long word, cut to lines; the last piece stays open.
-        rest = F.substr(chunk, room + 1)
-        last = F.floor((F.char_length(rest) - 1) / w).cast("int")
-        pieces = F.transform(F.sequence(F.lit(0), last), lambda i: F.substr(rest, i * w + 1, w))
-        head = F.when(room > 0, F.concat(current, F.substr(chunk, F.lit(1), room))).otherwise(current)
-        fresh = (current == "") & (F.size(lines) > 0)
-        return (
-            F.when(F.rtrim(chunk) == "", F.when(fresh, state)
-                   .when(size <= room, _state(lines, F.concat(current, chunk)))
-                   .otherwise(_state(_emit(lines, current), F.lit(""))))
-            .when(size <= room, _state(lines, F.concat(current, chunk)))
-            .when(size <= w, _state(_emit(lines, current), chunk))
-            .otherwise(
-                _state(
-                    F.concat(lines, F.array(head), F.slice(pieces, F.lit(1), last)),
-                    F.element_at(pieces, -1),
-                )
-            )
-        )
-
-    spaced = F.regexp_replace(col, r"\s", " ")
-    chunks = F.regexp_extract_all(spaced, F.lit("[^ ]+| +"), F.lit(0))
-    done = F.aggregate(chunks, _state(F.array().cast("array<string>"), F.lit("")), add)
-    lines = _emit(done["lines"], done["current"])
+    w = F.greatest(width, F.lit(1)).cast("string")
+    before = (F.greatest(width, F.lit(1)) - 1).cast("string")
+    over = (F.greatest(width, F.lit(1)) + 1).cast("string")
+    # At the start or at a word: a full line if a longer word begins in it, otherwise as
+    # many whole words as fit.
+    long_word = F.concat(
+        F.lit(r"(?=(?:.{0,"), before, F.lit(r"}\s)?\S{"), over, F.lit(r"}).{"), w, F.lit("}")
+    )
+    whole_words = F.concat(F.lit(".{1,"), w, F.lit(r"}(?<=\S)(?=\s|\z)"))
+    line = F.concat(F.lit(r"(?s)(?:^|(?=\S))(?:"), long_word, F.lit("|"), whole_words, F.lit(")"))
+    lines = F.regexp_extract_all(F.regexp_replace(col, r"\s", " "), line, F.lit(0))
     return F.when(line_width(col) <= width, F.array(col)).otherwise(
         F.when(F.size(lines) == 0, F.array(F.lit(""))).otherwise(lines)
     )
-
-
-def _state(lines: Column, current: Column) -> Column:
-    return F.struct(lines.alias("lines"), current.alias("current"))
-
-
-def _emit(lines: Column, line: Column) -> Column:
-    """Close a line without its trailing blanks; a blank one is left out."""
-    return F.when(F.rtrim(line) == "", lines).otherwise(F.concat(lines, F.array(F.rtrim(line))))

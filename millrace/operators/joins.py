@@ -10,10 +10,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.dates import listing_time
+from millrace.sources.generated import rows_literal
 
 # Memory in GB and cores by instance type; unknown types get the defaults.
 INSTANCE_TYPES: dict[str, tuple[float, int]] = {
@@ -98,10 +99,10 @@ def lookup_with_default(
     )
 
 
-def instance_dimension(spark) -> DataFrame:
+def instance_dimension(spark: SparkSession) -> DataFrame:
     """The fixed instance table as ``instance_type, mem_mb, cores``."""
     rows = [(k, int(mem * 1024), cores) for k, (mem, cores) in INSTANCE_TYPES.items()]
-    return spark.createDataFrame(rows, "instance_type string, mem_mb int, cores int")
+    return rows_literal(spark, rows, "instance_type string, mem_mb int, cores int")
 
 
 def required_installed(items: DataFrame, wanted: DataFrame, key: str) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.functions.dates import epoch_seconds
+
 _STATS = (
     ("long_low", "bigint"),
     ("long_high", "bigint"),
@@ -41,7 +43,7 @@ def _column_stats(field: T.StructField, exact: bool) -> Column:
     elif isinstance(kind, T.NumericType):
         stats |= {"double_low": F.min(col), "double_high": F.max(col)}
     elif isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        seconds = F.unix_seconds(col.cast("timestamp"))
+        seconds = epoch_seconds(col)
         stats |= {"long_low": F.min(seconds), "long_high": F.max(seconds)}
     elif isinstance(kind, T.StringType):
         size = F.char_length(col)

@@ -9,6 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.strings import ID_PREFIXES, short_id
 from millrace.operators.numbering import as_columns, explode_range, number_rows
 
 # Memory floors in MB, the share of memory given to the heap, preview length.
@@ -135,6 +136,21 @@ def substitute_template(
     return rows.withColumn(out, F.array_join(F.transform(tokens, render), "")).drop("__params")
 
 
+def assign_short_ids(df: DataFrame, key: str, kind: str, out: str = "short_id") -> DataFrame:
+    """A short id per row from its unique ``key``; where ids collide all but one get a number.
+
+    Ids are spread evenly, so the rows that share one are few.
+    """
+    rows = df.withColumn(out, short_id(ID_PREFIXES[kind], F.col(key)))
+    place = F.row_number().over(Window.partitionBy(out).orderBy(key))
+    numbered = F.concat(F.col(out), F.lit("-"), F.col("__n").cast("string"))
+    return (
+        rows.withColumn("__n", place)
+        .withColumn(out, F.when(F.col("__n") > 1, numbered).otherwise(F.col(out)))
+        .drop("__n")
+    )
+
+
 def expand_instances(
     df: DataFrame, n_col: str, name_col: str, index: str = "instance"
 ) -> DataFrame:

@@ -264,3 +264,15 @@ def _(t):
         F.expr("CASE WHEN c_nationkey <> 3 THEN c_name END").alias("server"),
     )
     return projections.require_all_keys(rows, ["account", "server"])
+
+
+@plan(
+    "assign_short_ids",
+    """
+    WITH i AS (SELECT o_orderkey, 'sa-' || left(sha256(o_orderkey::VARCHAR), 8) AS id FROM orders),
+    n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY o_orderkey) AS rn FROM i)
+    SELECT o_orderkey, CASE WHEN rn > 1 THEN id || '-' || rn ELSE id END AS short_id FROM n
+    """,
+)
+def _(t):
+    return projections.assign_short_ids(t.orders.select("o_orderkey"), "o_orderkey", "stack")

@@ -97,6 +97,31 @@ def _(t):
     )
 
 
+@plan(
+    "fn_wrap",
+    r"""
+    WITH d AS (SELECT doc_id, regexp_replace(text, '[^a-zA-Z ]+', ' ', 'g') AS line FROM documents),
+    w AS (SELECT doc_id, list_filter(string_split(line, ' '), lambda x: x <> '') AS words FROM d),
+    m AS (SELECT doc_id, words, greatest(list_max(list_transform(words, lambda x: length(x))), 30) AS width
+          FROM w),
+    r AS (SELECT doc_id, list_reduce(words, lambda acc, x:
+            CASE WHEN length(string_split(acc, chr(10))[-1]) + 1 + length(x) <= width
+                 THEN acc || ' ' || x ELSE acc || chr(10) || x END) AS text FROM m)
+    SELECT doc_id, text, len(string_split(text, chr(10))) AS lines FROM r
+    """,
+)
+def _(t):
+    letters = F.regexp_replace("text", "[^a-zA-Z ]+", " ")
+    rows = t.documents.select("doc_id", strings.words(letters).alias("words"))
+    longest = F.array_max(F.transform("words", F.char_length))
+    rows = rows.withColumn("width", F.greatest(longest, F.lit(30)))
+    lines = display.wrap(F.array_join("words", " "), F.col("width"))
+    wrapped = rows.select("doc_id", lines.alias("lines"))
+    return wrapped.select(
+        "doc_id", F.array_join("lines", "\n").alias("text"), F.size("lines").cast("bigint").alias("lines")
+    )
+
+
 @plan(
     "fn_file_names",
     r"""
@@ -162,16 +187,16 @@ def _(t):
     "fn_date",
     """
     SELECT event_id, strftime(ts, '%m/%w/%Y (%I:%M %p)') AS listed,
-      strftime(make_timestamp(floor(epoch(ts))::BIGINT * 1000000), '%Y-%m-%d %H:%M:%S') AS from_epoch
+      floor(epoch(ts))::BIGINT AS from_epoch
     FROM events
     """,
 )
 def _(t):
-    seconds = F.unix_seconds(F.col("ts").cast("timestamp")).cast("string")
+    seconds = dates.epoch_seconds(F.col("ts")).cast("string")
     return t.events.select(
         "event_id",
         dates.listing_time(F.col("ts")).alias("listed"),
-        F.date_format(dates.epoch_timestamp(seconds), "yyyy-MM-dd HH:mm:ss").alias("from_epoch"),
+        F.unix_seconds(dates.epoch_timestamp(seconds)).alias("from_epoch"),
     )
 
 

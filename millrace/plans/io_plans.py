@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from millrace.functions.dates import epoch_seconds
 from millrace.plans.join_plans import ratings
 from millrace.plans.registry import plan
 from millrace.scratch import scratch_path
@@ -32,7 +33,7 @@ def _fresh(name: str) -> str:
 def _(t):
     path = scratch_path(t.spark, "ratings")
     bad = F.when(F.col("event_type") == "error", F.lit("x")).otherwise(F.col("user_id").cast("string"))
-    seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
+    seconds = epoch_seconds(F.col("ts"))
     rows = t.events.select(
         bad.alias("userid"), F.col("event_id"), F.floor("value").alias("rating"), seconds.alias("unixtime")
     )

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import graph, joins, lineage, nested
 from millrace.plans.registry import plan
+from millrace.scratch import persist_table
 
 RATINGS_SQL = """
     ratings AS (
@@ -27,8 +28,11 @@ def ratings(t):
 
 
 def actual_predicted(t):
-    """Ratings next to the mean rating of their user, keyed by floats."""
-    actual = ratings(t)
+    """Ratings next to the mean rating of their user, keyed by floats.
+
+    The ratings feed three steps, so they are written once instead of being joined thrice.
+    """
+    actual = persist_table(ratings(t), "ratings")
     mean = actual.groupBy("user").agg(F.avg("rating").alias("prediction"))
     predicted = actual.select("user", "item").join(mean, "user")
     predicted = predicted.select(

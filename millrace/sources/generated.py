@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,8 +15,10 @@ RECORD_CHARS = 100
 
 
 def rows_literal(spark: SparkSession, rows: Sequence[Sequence[Any]], schema: str) -> DataFrame:
-    """Rows written out in the job itself."""
-    return spark.createDataFrame([tuple(r) for r in rows], schema)
+    """Rows written out in the job itself; the planner knows their size and can broadcast them."""
+    names = spark.createDataFrame([], schema).columns
+    columns = {name: [row[i] for row in rows] for i, name in enumerate(names)}
+    return spark.createDataFrame(pa.table(columns), schema)
 
 
 def generate_records(spark: SparkSession, n: int, seed: int = 1) -> DataFrame:

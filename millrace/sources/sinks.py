@@ -88,8 +88,9 @@ def write_bucketed(
 
 
 def write_job_output(df: DataFrame, path: str) -> None:
-    """Tab-separated key/value files; an existing directory is an error."""
-    df.write.mode("errorifexists").option("sep", "\t").csv(path)
+    """Tab-separated text without quoting, null as nothing; an existing directory is an error."""
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]
+    df.select(F.concat_ws("\t", *cells)).write.mode("errorifexists").text(path)
 
 
 def create_view(spark: SparkSession, name: str, query: str) -> DataFrame:
