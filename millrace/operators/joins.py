@@ -2,7 +2,6 @@
 
 No side is broadcast by hint here: the planner broadcasts a side whose size it knows to
 be below ``spark.sql.autoBroadcastJoinThreshold`` and adaptive execution splits hot keys.
-Sides that only serve as a key set are reduced to distinct keys first.
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.dates import listing_time
+from millrace.operators.keys import key_set
 from millrace.sources.generated import rows_literal
 
 # Memory in GB and cores by instance type; unknown types get the defaults.
@@ -84,7 +84,7 @@ def stacks_with_snapshot_time(
     stacks: DataFrame, snapshots: DataFrame, ts: str = "ts"
 ) -> DataFrame:
     """All stacks; the formatted stack time shows only where its snapshot exists, else blank."""
-    known = snapshots.select("snapshot_uuid").distinct().withColumn("__known", F.lit(True))
+    known = key_set(snapshots, ["snapshot_uuid"]).withColumn("__known", F.lit(True))
     shown = F.when(F.col("__known"), listing_time(F.col(ts))).otherwise(F.lit(""))
     return stacks.join(known, "snapshot_uuid", "left").withColumn(ts, shown).drop("__known")
 
@@ -107,7 +107,7 @@ def instance_dimension(spark: SparkSession) -> DataFrame:
 
 def required_installed(items: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     """Items whose key is on the wanted list."""
-    return items.join(wanted.select(key).distinct(), key, "left_semi")
+    return items.join(key_set(wanted, [key]), key, "left_semi")
 
 
 def missing_items(declared: DataFrame, present: DataFrame, key: str) -> DataFrame:

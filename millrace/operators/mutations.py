@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.keys import key_set
 from millrace.operators.numbering import number_rows
 
 # Which state an action needs, the state it leads to, and its refusal.
@@ -63,7 +64,7 @@ def set_fields(
 
 def replace_rows(base: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
     """Delete the rows of the new keys, then insert the new rows."""
-    kept = base.join(new.select(*key).distinct(), list(key), "left_anti")
+    kept = base.join(key_set(new, key), list(key), "left_anti")
     return kept.select(*base.columns).unionByName(new)
 
 
@@ -143,7 +144,7 @@ def insert_if_absent(
 
     Of several requests for one target the first one with a free port is accepted.
     """
-    free = requests.join(reserved.select(source_port).distinct(), source_port, "left_anti")
+    free = requests.join(key_set(reserved, [source_port]), source_port, "left_anti")
     # One row per target from here on, so no step gathers the requests of a popular target.
     first = free.groupBy(*target).agg(F.min(seq).alias(seq))
     winners = first.join(rules.select(*target).distinct(), list(target), "left_anti")

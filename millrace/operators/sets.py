@@ -6,10 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
+from millrace.operators.keys import key_set
+
 
 def union_right_precedence(left: DataFrame, right: DataFrame, key: Sequence[str]) -> DataFrame:
     """Union of two keyed tables; the right row stands where both hold a key."""
-    only_left = left.join(right.select(*key).distinct(), list(key), "left_anti")
+    only_left = left.join(key_set(right, key), list(key), "left_anti")
     return only_left.select(*left.columns).unionByName(right)
 
 

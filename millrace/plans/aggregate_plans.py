@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.operators import aggregates, graph, mutations, ordering, profile, sets
+from millrace.operators.keys import spread
 from millrace.operators.numbering import number_rows
 from millrace.plans.join_plans import (
     RATINGS_SQL,
@@ -74,7 +75,10 @@ def label_centres(t):
     dims = t.embeddings.select("label", F.posexplode("embedding").alias("i", "x"))
     means = dims.groupBy("label", "i").agg(F.avg("x").alias("x"))
     listed = F.array_sort(F.collect_list(F.struct("i", "x")))
-    return means.groupBy("label").agg(F.transform(listed, lambda s: s["x"]).alias("centre"))
+    centres = means.groupBy("label", spread(["label"])).agg(
+        F.transform(listed, lambda s: s["x"]).alias("centre")
+    )
+    return centres.drop("__spread")
 
 
 @plan(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.operators import graph, joins, lineage, nested
+from millrace.operators.keys import spread
 from millrace.plans.registry import plan
 from millrace.scratch import persist_table
 
@@ -33,7 +34,7 @@ def actual_predicted(t):
     The ratings feed three steps, so they are written once instead of being joined thrice.
     """
     actual = persist_table(ratings(t), "ratings")
-    mean = actual.groupBy("user").agg(F.avg("rating").alias("prediction"))
+    mean = actual.groupBy("user", spread(["user"])).agg(F.avg("rating").alias("prediction")).drop("__spread")
     predicted = actual.select("user", "item").join(mean, "user")
     predicted = predicted.select(
         F.col("user").cast("double"), F.col("item").cast("double"), "prediction"

@@ -9,7 +9,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import joins, mutations, nested, numbering, ordering, profile, projections, sets
+from millrace.operators import graph, joins, mutations, nested, numbering, ordering, profile, projections, sets
 from millrace.plans.registry import QUERIES
 from millrace.scratch import persist_table, release_scratch, scratch_path, scratch_root
 
@@ -294,6 +294,64 @@ def test_nested_children(spark):
     assert (got["B"].connectors, got["C"].compute) == ([], [])
 
 
+# -- joins on a hot key --------------------------------------------------------------------
+
+
+@pytest.fixture
+def small_partitions(spark):
+    """Adaptive skew handling at a size that a test can reach."""
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k",
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+        "spark.sql.shuffle.partitions": "8",
+    }
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_hot_join_keys_are_split(spark, small_partitions):
+    rng = random.Random(1)
+    keys = [7 if i % 3 == 0 else rng.randrange(5000) for i in range(60_000)]
+    stacks = spark.createDataFrame(
+        [(f"sa-{i}", f"s{k}", f"{rng.random()}") for i, k in enumerate(keys)],
+        "uuid string, snapshot_uuid string, status string",
+    ).repartition(12).withColumn("ts", F.lit("2014-02-05 14:02:00").cast("timestamp_ntz"))
+    snaps = spark.createDataFrame([(f"s{k}",) for k in range(3000)], "snapshot_uuid string")
+    timed = joins.stacks_with_snapshot_time(stacks, snaps)
+    shown = Counter(r.ts != "" for r in timed.collect())
+    assert shown[True] == sum(k < 3000 for k in keys)
+    assert "skew=true" in physical(timed)
+
+    edges = stacks.select(
+        F.col("snapshot_uuid").alias("_outV"), F.col("uuid").alias("_inV"), F.lit("l").alias("_label")
+    )
+    vertices = snaps.select(F.col("snapshot_uuid").alias("_id"), F.lit("n").alias("name")).union(
+        stacks.select("uuid", "status")
+    )
+    reached = graph.traverse_out(vertices, edges, F.col("name") == "n", "l", "name")
+    assert len(reached.collect()) == shown[True]
+    assert "skew=true" in physical(reached)
+
+    twice = snaps.union(snaps)
+    wanted = joins.required_installed(stacks, twice, "snapshot_uuid")
+    assert len(wanted.collect()) == shown[True] and "skew=true" in physical(wanted)
+    known = twice.withColumn("status", F.lit("x"))
+    kept = sets.union_left_precedence(known, stacks.select("snapshot_uuid", "status"), ["snapshot_uuid"])
+    assert len(kept.collect()) == 6000 + shown[False] and "skew=true" in physical(kept)
+    states = snaps.select(F.col("snapshot_uuid").alias("uuid"), F.lit("stopped").alias("status"))
+    asked = stacks.select(F.col("snapshot_uuid").alias("uuid"), F.lit("rm").alias("action"))
+    told = mutations.guarded_transition(asked, states, "uuid")
+    assert Counter(r.ok for r in told.collect()) == shown and "skew=true" in physical(told)
+
+
 # -- scratch folder ------------------------------------------------------------------------
 
 
