@@ -20,7 +20,7 @@ def is_blank(col: Column) -> Column:
 
 def words(col: Column) -> Column:
     """White-space separated tokens without empty ones."""
-    return F.filter(F.split(col, r"[ \t\n\r\f]+"), lambda w: w != "")
+    return F.regexp_extract_all(col, F.lit(r"[^ \t\n\r\f]+"), F.lit(0))
 
 
 def capitalize(col: Column) -> Column:

@@ -158,24 +158,31 @@ def merge_config(left: DataFrame, right: DataFrame, key: str, strict: bool = Tru
     """Deep merge of two leaf tables (``key, path, value``): the right one wins.
 
     A right leaf replaces the left leaf at its path and the whole left subtree below it.
-    With ``strict`` a left leaf where the right side has a subtree is an error.
+    A left leaf where the right side has a subtree fails the job if ``strict``, else it goes.
     """
-    if strict and merge_conflicts(left, right, key).limit(1).count():
-        raise ValueError("a plain value on the left meets a subtree on the right")
-    leads = left.select(key, "path", F.explode(_prefixes(F.col("path"))).alias("__lead"))
-    taken = right.select(key, F.col("path").alias("__lead")).distinct()
-    shadowed = leads.join(taken, [key, "__lead"], "left_semi").select(key, "path").distinct()
-    kept = left.join(shadowed, [key, "path"], "left_anti")
+    steps = F.posexplode(_prefixes(F.col("path"))).alias("__at", "__lead")
+    ends = F.col("__at") == F.size("path") - 1
+    # Every place on the way to a right leaf: is it the leaf itself, or does the path go on?
+    taken = right.select(key, "path", steps).groupBy(key, "__lead").agg(
+        F.bool_or(ends).alias("__leaf"), F.bool_or(~ends).alias("__inner")
+    )
+    leads = left.select(key, "path", "value", steps).withColumn("__own", ends)
+    met = leads.join(taken, [key, "__lead"], "left")
+    judged = met.groupBy(key, "path").agg(
+        F.any_value("value").alias("value"),
+        F.coalesce(F.bool_or("__leaf"), F.lit(False)).alias("__replaced"),
+        F.coalesce(F.bool_or(F.col("__own") & F.col("__inner")), F.lit(False)).alias("__clash"),
+    )
+    clash = F.col("__clash") & ~F.col("__replaced")
+    if strict:
+        text = F.concat(F.lit("a plain value meets a subtree at "), F.array_join("path", "."))
+        stays = F.when(clash, F.raise_error(text).cast("boolean")).otherwise(~F.col("__replaced"))
+    else:
+        stays = ~F.col("__replaced") & ~clash
+    kept = judged.filter(stays)
     return kept.select(key, "path", "value").unionByName(right.select(key, "path", "value"))
 
 
-def merge_conflicts(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Left leaves that lie on the way to a right leaf."""
-    above = F.slice(_prefixes(F.col("path")), F.lit(1), F.size("path") - 1)
-    leads = right.select(key, F.explode(above).alias("path")).distinct()
-    return left.join(leads, [key, "path"], "left_semi")
-
-
 def _prefixes(path: Column) -> Column:
     """All leading parts of a path, the path itself last."""
     return F.transform(F.sequence(F.lit(1), F.size(path)), lambda n: F.slice(path, F.lit(1), n))

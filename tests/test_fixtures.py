@@ -222,10 +222,12 @@ def test_merge_and_flatten(spark, rows):
     )
 
 
-def test_merge_conflict_is_an_error(spark):
-    left, right = leaves(spark, [{"e": 5}]), leaves(spark, [{"e": {"f": 1}}])
-    with pytest.raises(ValueError):
-        nested.merge_config(left, right, "id")
+def test_merge_conflict(spark):
+    left, right = leaves(spark, [{"e": 5, "k": 1}]), leaves(spark, [{"e": {"f": 1}}])
+    with pytest.raises(Exception, match="meets a subtree at e"):
+        nested.merge_config(left, right, "id").collect()
+    loose = nested.merge_config(left, right, "id", strict=False).collect()
+    assert {".".join(r.path): r.value for r in loose} == {"k": "1", "e.f": "1"}
 
 
 def test_documents_too_deep_fail_instead_of_losing_leaves(spark):
@@ -348,6 +350,23 @@ def test_job_output_is_not_overwritten(spark, tmp_path):
         sinks.write_job_output(df, path)
 
 
+def test_profile_of_every_kind_of_column(spark):
+    from millrace.operators.profile import profile_columns
+
+    df = spark.createDataFrame(
+        [(True, 1, 1.5, "ab", "9.99"), (False, None, -2.0, "abcd", "10.00"), (True, 7, None, None, None)],
+        "b boolean, i int, d double, s string, c string",
+    ).withColumn("c", F.col("c").cast("decimal(6,2)"))
+    got = {r.column_name: r for r in profile_columns(df, exact=True).collect()}
+    assert (got["b"].num_trues, got["b"].num_falses, got["b"].num_nulls) == (2, 1, 0)
+    assert (got["i"].long_low, got["i"].long_high, got["i"].num_nulls) == (1, 7, 1)
+    assert (got["d"].double_low, got["d"].double_high) == (-2.0, 1.5)
+    assert (got["s"].avg_length, got["s"].max_length, got["s"].num_distincts) == (3.0, 4, 2)
+    assert (got["c"].decimal_low, got["c"].decimal_high, got["c"].column_type) == ("9.99", "10.00", "decimal(6,2)")
+    by = profile_columns(df, ["b"], exact=True).filter("b AND column_name = 'i'").first()
+    assert (by.long_low, by.long_high, by.num_nulls) == (1, 7, 0)
+
+
 def test_word_statistics(spark, rows):
     lines = spark.createDataFrame([("a bb  ccc",), ("dddd\ta",)], "line string")
     assert rows(aggregates.word_count(lines, "line")) == [("a", 2), ("bb", 1), ("ccc", 1), ("dddd", 1)]
