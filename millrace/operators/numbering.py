@@ -54,7 +54,10 @@ def number_copies(df: DataFrame, out: str) -> DataFrame:
     runs = counted.filter("__copies > 1").withColumn(
         "__chunk", F.explode(F.sequence(F.lit(0), F.expr(f"(__copies - 1) div {RUN_CHUNK}")))
     )
-    runs = runs.repartition(*df.columns, "__chunk")
+    # A fixed number of partitions, as adaptive execution would merge these few short rows
+    # into one task again before they grow.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = runs.repartition(parts, *df.columns, "__chunk")
     low = F.col("__chunk") * RUN_CHUNK
     high = F.least(F.col("__copies"), low + RUN_CHUNK) - 1
     return once.unionByName(runs.select(*df.columns, F.explode(F.sequence(low, high)).alias(out)))

@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _CONF = "spark.checkpoint.dir"
+_LOCAL_ROOTS: dict[str, str] = {}  # stand-ins for the setting in local sessions, by application
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -20,8 +21,10 @@ def scratch_root(spark: SparkSession) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {_CONF} to a folder that every executor can reach")
-        root = tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set(_CONF, root)
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL_ROOTS:
+            _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="millrace-")
+        root = _LOCAL_ROOTS[app]
     return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
