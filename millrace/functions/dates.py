@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from millrace.functions.maths import whole_number
+
 
 def listing_time(ts: Column) -> Column:
     """``MM/weekday/yyyy (hh:mm AM)``: the middle field is the weekday, Sunday being 0."""
@@ -16,7 +18,7 @@ def listing_time(ts: Column) -> Column:
 
 def epoch_timestamp(seconds: Column) -> Column:
     """Timestamp of whole epoch seconds kept as text or number; bad text gives null."""
-    return F.timestamp_seconds(seconds.try_cast("bigint"))
+    return F.timestamp_seconds(whole_number(seconds))
 
 
 def epoch_seconds(ts: Column) -> Column:

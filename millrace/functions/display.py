@@ -49,8 +49,8 @@ def line_width(col: Column) -> Column:
     general = (
         F.char_length(text) + _count(text, wide) - _count(text, none) - 2 * _count(text, back)
     )
-    # Plain printable ASCII needs no scan for marks.
-    return F.when(text.rlike(r"^[\x20-\x7e]*\z"), F.char_length(text)).otherwise(general)
+    # Plain printable ASCII, the common case, is done after one look.
+    return F.when(col.rlike(r"^[\x20-\x7e]*\z"), F.char_length(col)).otherwise(general)
 
 
 def display_width(col: Column) -> Column:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from millrace.functions.maths import safe_int
+
 VERSION_PARTS = 3
 
 
@@ -15,7 +17,7 @@ def parse_version(col: Column) -> Column:
     parts = F.slice(F.split(col, r"\."), 1, VERSION_PARTS)
     digits = F.transform(
         parts,
-        lambda p: F.coalesce(F.regexp_extract(p, r"^(\d+)", 1).try_cast("int"), F.lit(0)),
+        lambda p: safe_int(F.regexp_extract(p, r"^(\d+)", 1)),
     )
     padding = F.array_repeat(F.lit(0), VERSION_PARTS)
     return F.slice(F.concat(digits, padding), 1, VERSION_PARTS)

@@ -116,13 +116,20 @@ def top_rows(df: DataFrame, order: Sequence[Column | str] | Column | str, n: int
 
 
 def rows_between(
-    df: DataFrame, order: Sequence[Column | str] | Column | str, start: int, end: int
+    df: DataFrame, order: Sequence[Column | str] | Column | str, start: int, end: int | None
 ) -> DataFrame:
-    """Rows at 0-based positions ``[start, end)`` under ``order``, ties broken by the whole row."""
-    if start < 0 or end < start:
+    """Rows at 0-based positions ``[start, end)`` under ``order``, ties broken by the whole row.
+
+    Without an ``end`` the slice goes on to the last row.
+    """
+    if start < 0 or (end is not None and end < start):
         raise ValueError(f"invalid row range [{start}, {end})")
-    if end <= TOP_K_ROWS:
+    if end is None and start == 0:
+        return df
+    if end is not None and end <= TOP_K_ROWS:
         keys = [*as_columns(order), *df.columns]
         return top_rows(df, keys, end).orderBy(*keys).offset(start).limit(end - start)
-    numbered = number_rows(df, order, "__rn")
-    return numbered.filter(F.col("__rn").between(start + 1, end)).drop("__rn")
+    numbered = number_rows(df, order, "__rn").filter(F.col("__rn") > start)
+    if end is not None:
+        numbered = numbered.filter(F.col("__rn") <= end)
+    return numbered.drop("__rn")

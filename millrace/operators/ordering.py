@@ -27,13 +27,20 @@ def sort_by_expression(df: DataFrame, key: Column, reverse: bool = False) -> Dat
     return df.orderBy(*[k.desc() if reverse else k.asc() for k in keys])
 
 
-def slice_rows(df: DataFrame, by: str, start: int, end: int, reverse: bool = False) -> DataFrame:
+def slice_rows(
+    df: DataFrame, by: str, start: int = 0, end: int | None = None, reverse: bool = False
+) -> DataFrame:
     """Rows ``[start, end)`` of the sorted table."""
     return rows_between(df, row_order(df, by, reverse), start, end)
 
 
 def slice_then_sort(
-    df: DataFrame, input_order: Sequence[str], by: str, start: int, end: int, reverse: bool = False
+    df: DataFrame,
+    input_order: Sequence[str],
+    by: str,
+    start: int = 0,
+    end: int | None = None,
+    reverse: bool = False,
 ) -> DataFrame:
     """Rows ``[start, end)`` in input order, sorted afterwards."""
     return sort_rows(rows_between(df, input_order, start, end), by, reverse)

@@ -137,7 +137,8 @@ def test_dates(spark):
 
 
 def test_numbers(spark):
-    assert apply(spark, ["12", " 3 ", "x", "", None, "4.5"], maths.safe_int) == [12, 3, 0, 0, 0, 0]
+    values = ["12", " 3 ", "x", "", None, "4.5", "-7", "+8", "2147483648", "9" * 30, "\t5\n"]
+    assert apply(spark, values, maths.safe_int) == [12, 3, 0, 0, 0, 0, -7, 8, 0, 0, 5]
     sizes = apply(spark, ["24", "16", "8", "32"], lambda c: maths.block_size(c.cast("int")))
     assert sizes == [2**8, 2**16, 2**24, 1]
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import graph, joins, mutations, nested, numbering, ordering, profile, projections, sets
 from millrace.plans.registry import QUERIES
+from millrace.sources import sinks
 from millrace.scratch import persist_table, release_scratch, scratch_path, scratch_root
 
 
@@ -55,7 +56,7 @@ def test_total_order(skewed):
     assert got == sorted(data)
 
 
-@pytest.mark.parametrize("start,end", [(0, 5), (990, 1000), (995, 1010), (2500, 2600), (5995, 7000), (3, 3)])
+@pytest.mark.parametrize("start,end", [(0, 5), (990, 1000), (995, 1010), (2500, 2600), (5995, 7000), (3, 3), (5990, None), (0, None)])
 def test_slices(skewed, start, end):
     data, df = skewed
     ordered = sorted(data, reverse=True)[start:end]
@@ -315,6 +316,34 @@ def test_nested_children(spark):
     assert (got["B"].connectors, got["C"].compute) == ([], [])
 
 
+# -- table layout ---------------------------------------------------------------------------
+
+
+def test_layout_splits_hot_keys_but_makes_few_files(spark, tmp_path):
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "200k")
+    try:
+        df = spark.range(0, 60_000, 1, 12).select(
+            F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 4)).alias("k"),
+            F.md5(F.col("id").cast("string")).alias("v"),
+        )
+        sinks.write_partitioned(df, "laid_out", ["k"], str(tmp_path / "p"))
+        files = {d.name: len(list(d.glob("*.parquet"))) for d in (tmp_path / "p").glob("k=*")}
+        assert files["k=hot"] > 1 and sum(files.values()) < 5 * 12
+        assert sinks.list_partitions(spark, "laid_out").count() == 5
+        assert spark.table("laid_out").count() == 60_000
+
+        sinks.write_bucketed(df, "in_buckets", 4, ["k"], ["k"], str(tmp_path / "b"))
+        names = [f.name for f in (tmp_path / "b").glob("*.parquet")]
+        per_bucket = Counter(n.split("_")[1].split(".")[0] for n in names)
+        assert len(per_bucket) <= 4 and max(per_bucket.values()) > 1 and len(names) < 4 * 12
+        assert spark.table("in_buckets").count() == 60_000
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+        for name in ("laid_out", "in_buckets"):
+            sinks.drop_table(spark, name)
+
+
 # -- joins on a hot key --------------------------------------------------------------------
 
 
