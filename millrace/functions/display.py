@@ -17,6 +17,9 @@ WIDE_LAST = ((0x3040, 0x309F), (0x30A0, 0x30FF), (0xFF01, 0xFF60), (0x3000, 0x30
 NEGATIVE = (0x0008, 0x007F)
 ZERO = (0x0000, 0x001F)
 
+# Below U+0300 there are neither marks nor wide characters, only controls to leave out.
+ONE_CELL = r"\x20-\x7e\x80-\x{2ff}"
+
 
 @lru_cache(maxsize=1)
 def _combining_class() -> str:
@@ -42,15 +45,17 @@ def _count(col: Column, char_class: str) -> Column:
 def line_width(col: Column) -> Column:
     """Cells one line takes: marks none, East Asian characters two, backspace minus one."""
     text = F.regexp_replace(col, ANSI_CODES, "")
+    # Only these few characters are looked up in the long list of marks.
+    special = F.regexp_replace(text, f"[{ONE_CELL}]+", "")
     marks = _combining_class()
     wide = f"[{_ranges(WIDE_FIRST)}[{_ranges(WIDE_LAST)}&&[^{marks}]]]"
     none = f"[{marks}{_ranges((c, c) for c in ZERO)}]"
     back = f"[{_ranges((c, c) for c in NEGATIVE)}]"
     general = (
-        F.char_length(text) + _count(text, wide) - _count(text, none) - 2 * _count(text, back)
+        F.char_length(text) + _count(special, wide) - _count(special, none) - 2 * _count(special, back)
     )
-    # Plain printable ASCII, the common case, is done after one look.
-    return F.when(col.rlike(r"^[\x20-\x7e]*\z"), F.char_length(col)).otherwise(general)
+    # Printable text in Latin letters, the common case, is done after one look.
+    return F.when(col.rlike(f"^[{ONE_CELL}]*\\z"), F.char_length(col)).otherwise(general)
 
 
 def display_width(col: Column) -> Column:

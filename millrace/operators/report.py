@@ -69,31 +69,35 @@ def format_report_columns(
     sizes = widths if widths is not None else column_widths(text, min_width, capped)
     wide = sizes.select(F.struct(*df.columns).alias("w")).scalar()
 
-    rows = text.withColumn("__w", wide)
-
     def lines_of(name: str) -> Column:
         parts = F.split(F.col(name), "\n")
         if name not in may_wrap:
             return parts
         return F.flatten(F.transform(parts, lambda p: wrap(p, F.col("__w")[name])))
 
-    rows = rows.withColumns({f"__l_{c}": lines_of(c) for c in df.columns})
-    heights = [F.size(f"__l_{c}") for c in df.columns]
-    height = F.greatest(*heights) if len(heights) > 1 else heights[0]
-    rows = rows.withColumn("__h", height)
-    rows = rows.withColumn(line, F.explode(F.sequence(F.lit(0), F.col("__h") - 1)))
+    rows = text.withColumn("__w", wide)
+    rows = rows.select(*[lines_of(c).alias(c) for c in df.columns])
+    heights = [F.size(c) for c in df.columns]
+    rows = rows.withColumn("__h", F.greatest(*heights) if len(heights) > 1 else heights[0])
 
-    def shown(name: str) -> Column:
-        spare = F.col("__h") - F.size(f"__l_{name}")
+    def cell(name: str, at: Column) -> Column:
+        spare = F.col("__h") - F.size(name)
         above = {"t": F.lit(0), "m": F.floor(spare / 2).cast("int"), "b": spare}[
             valign.get(name, "t")
         ]
-        at = F.col(line) - above
-        found = F.when(at >= 0, F.get(F.col(f"__l_{name}"), at))
-        cell = F.coalesce(found, F.lit(""))
-        return justify(cell, F.col("__w")[name], align.get(name, "c")).alias(name)
+        found = F.when(at >= above, F.get(F.col(name), at - above))
+        return F.coalesce(found, F.lit("")).alias(name)
 
-    return rows.select(line, *[shown(c) for c in df.columns])
+    # Lines leave the row one by one, so that no output line drags the whole cells along.
+    lines = F.transform(
+        F.sequence(F.lit(0), F.col("__h") - 1),
+        lambda at: F.struct(at.alias(line), *[cell(c, at) for c in df.columns]),
+    )
+    single = rows.select(F.inline(lines)).withColumn("__w", wide)
+    return single.select(
+        line,
+        *[justify(F.col(c), F.col("__w")[c], align.get(c, "c")).alias(c) for c in df.columns],
+    )
 
 
 def report_header(
