@@ -85,10 +85,14 @@ def json_leaves(
     unless ``into_lists``; empty objects have no leaf.  A document nested deeper than
     ``max_depth`` fails the job instead of losing leaves.
     """
+    parsed = df.select(F.col(key), F.parse_json(json).alias("value"))
+    return _variant_leaves(parsed, key, max_depth, into_lists)
+
+
+def _variant_leaves(df: DataFrame, key: str, max_depth: int, into_lists: bool) -> DataFrame:
+    """Leaves of ``key, value`` with variant values: each level opens the containers of the last."""
     spark = df.sparkSession
-    rows = df.select(
-        F.col(key), F.array().cast("array<string>").alias("path"), F.parse_json(json).alias("value")
-    )
+    rows = df.select(key, F.array().cast("array<string>").alias("path"), "value")
     for _ in range(max_depth):
         inner = F.when(_is_container(F.col("value"), into_lists), F.col("value"))
         rows = rows.withColumn("__open", inner)
@@ -135,11 +139,9 @@ def flatten_to_pairs(
     listed = F.when(
         _kind(F.col("__doc")).startswith("ARRAY<"), F.col("__doc").try_cast("array<variant>")
     ).otherwise(F.array(F.col("__doc")))
-    items = items.select(key, F.posexplode(listed).alias("__item", "__doc"))
-    items = items.withColumn("__row", F.struct(key, "__item")).select(
-        "__row", F.to_json("__doc").alias("__doc")
-    )
-    leaves = json_leaves(items, "__row", "__doc", max_depth)
+    items = items.select(key, F.posexplode(listed).alias("__item", "value"))
+    items = items.select(F.struct(key, "__item").alias("__row"), "value")
+    leaves = _variant_leaves(items, "__row", max_depth, into_lists=False)
     text = leaves.filter(
         (_kind(F.col("value")) == "STRING") & (F.size("path") > 0)
     )
