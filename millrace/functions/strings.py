@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The prefixes of generated ids by kind of record.
+# The prefixes of generated ids by kind of record, and the name of a snapshot
+# from image, cluster, host and number.
 ID_PREFIXES = {"stack": "sa-", "service": "se-", "snapshot": "sn-"}
+SNAPSHOT_NAME = "%s-%s-%s:SNAPSHOT-%s"
 
 
 def strip(col: Column) -> Column:
@@ -71,3 +73,8 @@ def file_extension(col: Column) -> Column:
 def short_id(prefix: str, key: Column) -> Column:
     """Kind prefix and eight hex digits that depend on ``key`` only."""
     return F.concat(F.lit(prefix), F.substring(F.sha2(key.cast("string"), 256), 1, 8))
+
+
+def snapshot_name(image: Column, cluster: Column, host: Column, number: Column) -> Column:
+    """Name of the image that a snapshot of a host is kept as."""
+    return F.format_string(SNAPSHOT_NAME, image, cluster, host, number)

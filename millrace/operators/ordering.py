@@ -16,15 +16,27 @@ def row_order(df: DataFrame, by: str, reverse: bool = False) -> list[Column]:
     return [F.desc(c) if reverse else F.asc(c) for c in names]
 
 
-def sort_rows(df: DataFrame, by: str, reverse: bool = False) -> DataFrame:
-    """Total order by a field, ties broken by the whole row."""
-    return df.orderBy(*row_order(df, by, reverse))
+def sort_rows(df: DataFrame, by: str, reverse: bool = False, unique: bool = False) -> DataFrame:
+    """Total order by a field, ties broken by the whole row.
+
+    Equal rows get copy numbers first, so a row that fills much of the table can still be
+    cut into several range partitions; ``unique=True`` promises that no rows are equal.
+    """
+    return _ordered(df, row_order(df, by, reverse), unique)
 
 
-def sort_by_expression(df: DataFrame, key: Column, reverse: bool = False) -> DataFrame:
-    """Total order by a user expression, ties broken by the whole row."""
+def sort_by_expression(
+    df: DataFrame, key: Column, reverse: bool = False, unique: bool = False
+) -> DataFrame:
+    """Total order by a user expression, ties broken by the whole row (see ``sort_rows``)."""
     keys = [key, *[F.col(c) for c in df.columns]]
-    return df.orderBy(*[k.desc() if reverse else k.asc() for k in keys])
+    return _ordered(df, [k.desc() if reverse else k.asc() for k in keys], unique)
+
+
+def _ordered(df: DataFrame, keys: list[Column], unique: bool) -> DataFrame:
+    if unique:
+        return df.orderBy(*keys)
+    return number_copies(df, "__copy").orderBy(*keys, "__copy").drop("__copy")
 
 
 def slice_rows(

@@ -373,7 +373,9 @@ def _(t):
 def _(t):
     rows = t.supplier.select("s_suppkey")
     key = -F.length(F.col("s_suppkey").cast("string"))
-    return number_rows(ordering.sort_by_expression(rows, key), [key, "s_suppkey"], "rn", unique=True)
+    return number_rows(
+        ordering.sort_by_expression(rows, key, unique=True), [key, "s_suppkey"], "rn", unique=True
+    )
 
 
 # -- set operations ---------------------------------------------------------------------

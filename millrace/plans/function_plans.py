@@ -51,7 +51,7 @@ def _(t):
 @plan(
     "fn_string",
     r"""
-    WITH d AS (SELECT doc_id, text, lang, source,
+    WITH d AS (SELECT doc_id, text, lang, source, n_chars,
                  regexp_replace(text, '[^\x20-\x7e\n]', '?', 'g') AS ascii FROM documents),
     s AS (SELECT *, string_split(ascii, chr(10))[1] AS line FROM d)
     SELECT doc_id,
@@ -71,7 +71,8 @@ def _(t):
         || repeat(' ', 9 - length(source) % 10
           - (9 - length(source) % 10 + CASE WHEN (length(source) % 10) % 2 = 0 THEN 1 ELSE 0 END) // 2)
         AS centred,
-      'se-' || left(sha256(doc_id::VARCHAR), 8) AS short_id
+      'se-' || left(sha256(doc_id::VARCHAR), 8) AS short_id,
+      source || '-' || doc_id || '-' || lang || ':SNAPSHOT-' || n_chars AS snapshot
     FROM s
     """,
 )
@@ -94,6 +95,7 @@ def _(t):
         display.justify(lang, F.lit(40), "l").alias("left_justified"),
         display.justify(part, F.lit(9), "c").alias("centred"),
         strings.short_id(strings.ID_PREFIXES["service"], F.col("doc_id")).alias("short_id"),
+        strings.snapshot_name(source, F.col("doc_id"), lang, F.col("n_chars")).alias("snapshot"),
     )
 
 

@@ -32,6 +32,23 @@ def _multiset(columns, rows):
     return Counter(tuple(_norm(r[i]) for i in order) for r in rows)
 
 
+# Spark's type names in DuckDB's words; results must agree in types, not only in values.
+TYPES = {
+    "int": "INTEGER",
+    "bigint": "BIGINT",
+    "double": "DOUBLE",
+    "string": "VARCHAR",
+    "boolean": "BOOLEAN",
+    "timestamp_ntz": "TIMESTAMP",
+}
+
+
+def type_differences(df, con, sql: str) -> dict:
+    expected = {row[0]: str(row[1]) for row in con.execute("DESCRIBE " + sql).fetchall()}
+    actual = {f.name: TYPES.get(f.dataType.simpleString()) for f in df.schema.fields}
+    return {c: (t, expected.get(c)) for c, t in actual.items() if t != expected.get(c)}
+
+
 def compare(df, con, sql: str) -> tuple[int, str | None]:
     """Row count and a description of the first difference, or None."""
     cursor = con.execute(sql)

@@ -6,14 +6,16 @@ import pytest
 
 import __spark_entry__ as entry
 from millrace import tables
-from tests.oracle import compare
+from tests.oracle import compare, type_differences
 
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 
 
 @pytest.mark.parametrize("key", sorted(ORACLES))
 def test_matches_sql(key, spark, sf_dir, duck):
-    _rows, problem = compare(QUERIES[key](spark, sf_dir), duck, ORACLES[key])
+    df = QUERIES[key](spark, sf_dir)
+    assert type_differences(df, duck, ORACLES[key]) == {}
+    _rows, problem = compare(df, duck, ORACLES[key])
     assert problem is None, problem
 
 

@@ -10,10 +10,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import graph, joins, mutations, nested, numbering, ordering, profile, projections, sets
+from millrace.operators import graph, joins, lineage, mutations, nested, numbering, ordering, profile, projections, sets
 from millrace.plans.registry import QUERIES
-from millrace.sources import sinks
 from millrace.scratch import persist_table, release_scratch, scratch_path, scratch_root
+from millrace.session import cluster_conf
+from millrace.sources import sinks
 
 
 def physical(df) -> str:
@@ -127,6 +128,28 @@ def test_sort_rows_breaks_ties_by_the_whole_row(spark):
     assert ordering.index_row(df, ["n"], 2).collect() == [(3, "x")]
 
 
+def test_lineage_against_brute_force(spark):
+    rng = random.Random(21)
+    base = {f"n{i}": f"n{rng.randrange(i)}" for i in range(1, 400) if rng.random() < 0.9}
+    base |= {f"chain{i}": f"chain{i - 1}" for i in range(1, 130)}
+    edges = spark.createDataFrame(list(base.items()), "child string, base string")
+    expected = set()
+    for child in base:
+        at, depth = base[child], 1
+        while at is not None:
+            expected.add((child, at, depth))
+            at, depth = base.get(at), depth + 1
+    got = [tuple(r) for r in lineage.base_lineage(edges).collect()]
+    assert len(got) == len(expected) and set(got) == expected
+
+
+def test_settings_grow_with_the_input():
+    small, large = cluster_conf(1 << 30, 16), cluster_conf(100 << 40, 4000)
+    assert int(small["spark.sql.shuffle.partitions"]) == 32
+    assert int(large["spark.sql.shuffle.partitions"]) == (100 << 40) // (200 << 20)
+    assert small["spark.sql.files.maxPartitionBytes"] == large["spark.sql.files.maxPartitionBytes"]
+
+
 # -- table changes against brute force ----------------------------------------------------
 
 
@@ -332,6 +355,8 @@ def test_layout_splits_hot_keys_but_makes_few_files(spark, tmp_path):
         assert files["k=hot"] > 1 and sum(files.values()) < 5 * 12
         assert sinks.list_partitions(spark, "laid_out").count() == 5
         assert spark.table("laid_out").count() == 60_000
+        one = physical(spark.table("laid_out").filter("k = 'k1'").select("v"))
+        assert "PartitionFilters: [isnotnull(k" in one and "ReadSchema: struct<v:string>" in one
 
         sinks.write_bucketed(df, "in_buckets", 4, ["k"], ["k"], str(tmp_path / "b"))
         names = [f.name for f in (tmp_path / "b").glob("*.parquet")]
