@@ -95,13 +95,18 @@ def wrap(col: Column, width: Column) -> Column:
     before = (F.greatest(width, F.lit(1)) - 1).cast("string")
     over = (F.greatest(width, F.lit(1)) + 1).cast("string")
     # At the start or at a word: a full line if a longer word begins in it, otherwise as
-    # many whole words as fit.
+    # many whole words as fit.  Texts without longer words take the plain second form.
+    at = F.lit(r"(?s)(?:^|(?=\S))")
+    whole_words = F.concat(F.lit(".{1,"), w, F.lit(r"}(?<=\S)(?=\s|\z)"))
     long_word = F.concat(
         F.lit(r"(?=(?:.{0,"), before, F.lit(r"}\s)?\S{"), over, F.lit(r"}).{"), w, F.lit("}")
     )
-    whole_words = F.concat(F.lit(".{1,"), w, F.lit(r"}(?<=\S)(?=\s|\z)"))
-    line = F.concat(F.lit(r"(?s)(?:^|(?=\S))(?:"), long_word, F.lit("|"), whole_words, F.lit(")"))
-    lines = F.regexp_extract_all(F.regexp_replace(col, r"\s", " "), line, F.lit(0))
+    either = F.concat(at, F.lit("(?:"), long_word, F.lit("|"), whole_words, F.lit(")"))
+    spaced = F.regexp_replace(col, r"[\t\n\x0b\f\r]", " ")
+    lines = F.when(
+        F.regexp_like(spaced, F.concat(F.lit(r"(?<!\S)\S{"), over, F.lit("}"))),
+        F.regexp_extract_all(spaced, either, F.lit(0)),
+    ).otherwise(F.regexp_extract_all(spaced, F.concat(at, whole_words), F.lit(0)))
     return F.when(line_width(col) <= width, F.array(col)).otherwise(
         F.when(F.size(lines) == 0, F.array(F.lit(""))).otherwise(lines)
     )

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 ID_PREFIXES = {"stack": "sa-", "service": "se-", "snapshot": "sn-"}
 SNAPSHOT_NAME = "%s-%s-%s:SNAPSHOT-%s"
 
+WHITE_SPACE = " \t\n\x0b\f\r"
+
 
 def strip(col: Column) -> Column:
     """Remove white space of every kind from both ends."""
-    return F.regexp_replace(col, r"^\s+|\s+$", "")
+    return F.btrim(col, F.lit(WHITE_SPACE))
 
 
 def is_blank(col: Column) -> Column:

@@ -51,51 +51,53 @@ def _(t):
 @plan(
     "fn_string",
     r"""
-    WITH d AS (SELECT doc_id, text, lang, source, n_chars,
+    WITH d AS (SELECT doc_id, text, lang, source, n_chars, lang || doc_id AS tag,
+                 source || '-of ' || upper(lang) || doc_id || 'th_text' AS label,
                  regexp_replace(text, '[^\x20-\x7e\n]', '?', 'g') AS ascii FROM documents),
-    s AS (SELECT *, string_split(ascii, chr(10))[1] AS line FROM d)
+    s AS (SELECT *, greatest(11 - length(tag), 0) AS spare,
+            CASE WHEN length(tag) % 2 = 0 THEN 1 ELSE 0 END AS extra FROM d)
     SELECT doc_id,
-      replace(line, ',', ' ') AS replaced,
+      replace(ascii, ',', ' ') AS replaced,
       contains(text, 'the') AS has_the,
       regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', '') AS stripped,
       left(text, 21) AS prefix,
-      upper(left(line, 1)) || lower(substr(line, 2)) AS capped,
-      list_aggregate(list_transform(regexp_extract_all(line, '[A-Za-z]+|[^A-Za-z]+'),
+      upper(left(label, 1)) || lower(substr(label, 2)) AS capped,
+      list_aggregate(list_transform(regexp_extract_all(label, '[A-Za-z]+|[^A-Za-z]+'),
         lambda r: upper(left(r, 1)) || lower(substr(r, 2))), 'string_agg', '') AS titled,
-      length(line) AS width,
+      length(ascii) AS width,
       (SELECT max(length(x)) FROM (SELECT unnest(string_split(ascii, chr(10))) AS x)) AS text_width,
-      repeat(' ', greatest(40 - length(lang), 0)::BIGINT) || lang AS right_justified,
-      lang || repeat(' ', greatest(40 - length(lang), 0)::BIGINT) AS left_justified,
-      repeat(' ', (9 - length(source) % 10 + CASE WHEN (length(source) % 10) % 2 = 0 THEN 1 ELSE 0 END) // 2)
-        || left(source, length(source) % 10)
-        || repeat(' ', 9 - length(source) % 10
-          - (9 - length(source) % 10 + CASE WHEN (length(source) % 10) % 2 = 0 THEN 1 ELSE 0 END) // 2)
-        AS centred,
+      repeat(' ', spare::BIGINT) || tag AS right_justified,
+      tag || repeat(' ', spare::BIGINT) AS left_justified,
+      repeat(' ', (spare + extra) // 2) || tag || repeat(' ', spare - (spare + extra) // 2) AS centred,
       'se-' || left(sha256(doc_id::VARCHAR), 8) AS short_id,
       source || '-' || doc_id || '-' || lang || ':SNAPSHOT-' || n_chars AS snapshot
     FROM s
     """,
 )
 def _(t):
-    docs = t.documents.withColumn("ascii", F.regexp_replace("text", r"[^\x20-\x7e\n]", "?"))
-    docs = docs.withColumn("line", F.split("ascii", "\n")[0])
-    line, lang, source = F.col("line"), F.col("lang"), F.col("source")
-    part = F.substr(source, F.lit(1), F.length(source) % 10)
+    docs = t.documents.withColumns(
+        {
+            "ascii": F.regexp_replace("text", r"[^\x20-\x7e\n]", "?"),
+            "tag": F.concat("lang", "doc_id"),
+            "label": F.concat("source", F.lit("-of "), F.upper("lang"), "doc_id", F.lit("th_text")),
+        }
+    )
+    text, tag, number = F.col("ascii"), F.col("tag"), F.col("doc_id")
     return docs.select(
         "doc_id",
-        F.replace(line, F.lit(","), F.lit(" ")).alias("replaced"),
+        F.replace(text, F.lit(","), F.lit(" ")).alias("replaced"),
         F.contains("text", F.lit("the")).alias("has_the"),
         strings.strip(F.col("text")).alias("stripped"),
         F.substring("text", 1, 21).alias("prefix"),
-        strings.capitalize(line).alias("capped"),
-        strings.title(line).alias("titled"),
-        display.line_width(line).cast("bigint").alias("width"),
-        display.display_width(F.col("ascii")).cast("bigint").alias("text_width"),
-        display.justify(lang, F.lit(40), "r").alias("right_justified"),
-        display.justify(lang, F.lit(40), "l").alias("left_justified"),
-        display.justify(part, F.lit(9), "c").alias("centred"),
-        strings.short_id(strings.ID_PREFIXES["service"], F.col("doc_id")).alias("short_id"),
-        strings.snapshot_name(source, F.col("doc_id"), lang, F.col("n_chars")).alias("snapshot"),
+        strings.capitalize(F.col("label")).alias("capped"),
+        strings.title(F.col("label")).alias("titled"),
+        display.line_width(text).cast("bigint").alias("width"),
+        display.display_width(text).cast("bigint").alias("text_width"),
+        display.justify(tag, F.lit(11), "r").alias("right_justified"),
+        display.justify(tag, F.lit(11), "l").alias("left_justified"),
+        display.justify(tag, F.lit(11), "c").alias("centred"),
+        strings.short_id(strings.ID_PREFIXES["service"], number).alias("short_id"),
+        strings.snapshot_name(F.col("source"), number, F.col("lang"), F.col("n_chars")).alias("snapshot"),
     )
 
 
@@ -399,7 +401,7 @@ def _(t):
     SELECT *, row_number() OVER (ORDER BY "Date", "UUID") AS rn FROM (
       SELECT 'sn-' || o_orderkey AS "UUID", c_mktsegment AS "Base",
         CASE WHEN o_orderstatus = 'P' THEN ' ' ELSE strftime(o_orderdate, '%m/%w/%Y (%I:%M %p)') END AS "Date"
-      FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey < 12)
+      FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment <> 'BUILDING')
     """,
 )
 def _(t):
@@ -408,7 +410,7 @@ def _(t):
         F.col("o_custkey").alias("cluster_uuid"),
         F.when(F.col("o_orderstatus") != "P", F.col("o_orderdate")).alias("snapshot_ts"),
     )
-    known = t.customer.filter("c_nationkey < 12").select(
+    known = t.customer.filter("c_mktsegment <> 'BUILDING'").select(
         F.col("c_custkey").alias("uuid"), F.col("c_mktsegment").alias("base")
     )
     return number_rows(report.snapshot_listing(taken, known), ["Date", "UUID"], "rn", unique=True)
