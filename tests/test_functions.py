@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import textwrap
-import unicodedata
 
 import pandas as pd
 import pytest
@@ -14,27 +13,26 @@ from millrace.functions import arrays, dates, display, maps, maths, patterns, re
 from millrace.operators import filters, projections, report, sets
 from millrace.operators.aggregates import column_widths, distinct_values, outputs_by_host, shape
 
-TEXTS = [
-    "", " ", "plain text", "Grüße", "ẽécombined", "漢字かなカナ", "한국어", "ＦＵＬＬ", "、。「」", "a\tb", "\x08back\x7f",
-    "\x00nul\x1f", "\x1b[1;31mred\x1b[0m", "mixed 漢 and é", "゙゚", "emoji 😀 x", "line one\nlonger line two\n",
-]
-
-
-def python_width(text: str) -> int:
-    total = 0
-    for char in re.sub("\x1b\\[[0-9;]*m", "", text):
-        code = ord(char)
-        if 0x4E00 <= code <= 0x9FFF or 0xAC00 <= code <= 0xD7AF:
-            total += 2
-        elif unicodedata.combining(char):
-            total += 0
-        elif any(low <= code <= high for low, high in display.WIDE_LAST):
-            total += 2
-        elif code in (0x08, 0x7F):
-            total -= 1
-        elif code not in (0x00, 0x1F):
-            total += 1
-    return total
+# Texts with the cells of the whole text and of its widest line.
+WIDTHS = {
+    "": (0, 0),
+    " ": (1, 1),
+    "plain text": (10, 10),
+    "Gr\u00fc\u00dfe": (5, 5),
+    "e\u0303e\u0301combined": (10, 10),
+    "\u6f22\u5b57\u304b\u306a\u30ab\u30ca": (12, 12),
+    "\ud55c\uad6d\uc5b4": (6, 6),
+    "\uff26\uff35\uff2c\uff2c": (8, 8),
+    "\u3001\u3002\u300c\u300d": (8, 8),
+    "\u3099\u309a": (0, 0),
+    "a\tb": (3, 3),
+    "\x08back\x7f": (2, 2),
+    "\x00nul\x1f": (3, 3),
+    "\x1b[1;31mred\x1b[0m": (3, 3),
+    "mixed \u6f22 and \u00e9": (14, 14),
+    "emoji \U0001f600 x": (9, 9),
+    "line one\nlonger line two\n": (25, 15),
+}
 
 
 def apply(spark, values, build):
@@ -44,27 +42,26 @@ def apply(spark, values, build):
 
 
 def test_width(spark):
-    assert apply(spark, TEXTS, display.line_width) == [python_width(t) for t in TEXTS]
-    assert apply(spark, TEXTS, display.display_width) == [
-        max(python_width(line) for line in t.split("\n")) for t in TEXTS
-    ]
-
-
-@pytest.mark.parametrize("align", ["l", "c", "r"])
-@pytest.mark.parametrize("width", [9, 10])
-def test_justify(spark, align, width):
-    values = ["", "a", "ab", "abc", "漢", "漢a", "too long for the cell"]
-
-    def expected(text):
-        spare = max(width - python_width(text), 0)
-        if align == "c":
-            left = (spare + (python_width(text) % 2 == 0)) // 2
-        else:
-            left = spare if align == "r" else 0
-        return " " * left + text + " " * (spare - left)
-
-    got = apply(spark, values, lambda c: display.justify(c, F.lit(width), align))
-    assert got == [expected(v) for v in values]
+    texts = list(WIDTHS)
+    assert apply(spark, texts, display.line_width) == [WIDTHS[t][0] for t in texts]
+    assert apply(spark, texts, display.display_width) == [WIDTHS[t][1] for t in texts]
+
+
+@pytest.mark.parametrize(
+    "align,width,expected",
+    [
+        ("l", 6, ["      ", "a     ", "ab    ", "abc   ", "\u6f22    ", "\u6f22a   ", "too long"]),
+        ("r", 6, ["      ", "     a", "    ab", "   abc", "    \u6f22", "   \u6f22a", "too long"]),
+        ("c", 6, ["      ", "  a   ", "  ab  ", " abc  ", "  \u6f22  ", " \u6f22a  ", "too long"]),
+        ("c", 5, ["     ", "  a  ", "  ab ", " abc ", "  \u6f22 ", " \u6f22a ", "too long"]),
+    ],
+)
+def test_justify(spark, align, width, expected):
+    values = ["", "a", "ab", "abc", "\u6f22", "\u6f22a", "too long"]
+    assert apply(spark, values, lambda c: display.justify(c, F.lit(width), align)) == expected
+
+
+def test_unknown_alignment(spark):
     with pytest.raises(ValueError):
         display.justify(F.lit("x"), F.lit(1), "x")
 
