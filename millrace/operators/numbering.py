@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from millrace.scratch import persist_table
 
 # Elements produced by one explode step; longer runs go through a second step on other tasks.
-RUN_CHUNK = 10_000
+RUN_CHUNK = 100_000
 
 # Up to this many leading rows, tasks keep their own best rows and groups of tasks merge them
 # (the planner's own bound for a partial row limit); positions beyond it need the numbered sort.

@@ -19,6 +19,7 @@ from millrace.operators import report
 from millrace.operators.aggregates import column_widths
 from millrace.operators.numbering import number_rows
 from millrace.plans.registry import plan
+from millrace.scratch import persist_table
 from millrace.sources.manifests import parse_manifests
 
 _VERSION = """
@@ -487,7 +488,9 @@ def _(t):
     """,
 )
 def _(t):
-    return number_rows(report.app_listing(parse_manifests(manifest_files(t))), ["App"], "rn", unique=True)
+    # A range sort reads its input twice (to sample it first), so the parsed texts are written once.
+    apps = persist_table(report.app_listing(parse_manifests(manifest_files(t))), "apps")
+    return number_rows(apps, ["App"], "rn", unique=True)
 
 
 @plan(

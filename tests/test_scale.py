@@ -41,7 +41,8 @@ def test_row_numbers_with_equal_rows(skewed):
     assert in_order == sorted(data, key=lambda t: (-t[0], t[1]))
 
 
-def test_equal_rows_are_cut_into_several_partitions(spark):
+def test_equal_rows_are_cut_into_several_partitions(spark, monkeypatch):
+    monkeypatch.setattr(numbering, "RUN_CHUNK", 10_000)
     same = spark.range(40_000).select(F.lit(1).alias("k"))
     copies = numbering.number_copies(same, "c")
     assert copies.select("c").distinct().count() == 40_000
