@@ -211,7 +211,8 @@ def _(t):
     SELECT l_orderkey, l_linenumber, l_partkey,
       round(sqrt(l_extendedprice), 4) AS root, round(l_discount * l_discount, 6) AS square,
       greatest(l_quantity, 10.0::DOUBLE) AS at_least, least(l_quantity, 40.0::DOUBLE) AS at_most,
-      l_partkey // 7 AS whole, ceil(l_extendedprice / 100)::BIGINT AS up, floor(l_extendedprice / 100)::BIGINT AS down,
+      l_partkey // 7 AS whole, ceil(l_extendedprice / 100)::BIGINT AS up,
+      floor(l_extendedprice / 100)::BIGINT AS down,
       CASE WHEN l_returnflag = 'R' THEN l_linenumber ELSE 0 END AS parsed,
       (1::BIGINT << (32 - (l_linenumber + 16))) AS block
     FROM lineitem
@@ -420,6 +421,7 @@ def _(t):
 def manifest_files(t):
     """Each part as a manifest text: JSON, YAML, or a file without metadata."""
     text = F.concat(F.col("p_type"), F.lit(" part called "), F.col("p_name"))
+    storage = F.struct(F.lit("hadoop").alias("personality"), F.col("p_size").alias("instances"))
     as_json = F.to_json(
         F.struct(
             F.struct(
@@ -430,9 +432,7 @@ def manifest_files(t):
                 F.array("p_type", F.lit("part")).alias("tags"),
             ).alias("metadata"),
             F.struct(F.lit("default").alias("resolver")).alias("params"),
-            F.array(
-                F.struct(F.struct(F.lit("hadoop").alias("personality"), F.col("p_size").alias("instances")).alias("storage"))
-            ).alias("backend"),
+            F.array(F.struct(storage.alias("storage"))).alias("backend"),
             F.array(F.struct(F.lit("client").alias("personality"))).alias("connectors"),
         )
     )
@@ -450,7 +450,10 @@ def manifest_files(t):
             F.lit("file:/apps/"), "p_brand", F.lit("/app"), "p_partkey",
             F.when(shape == "yaml", F.when(F.col("p_size") < 40, ".yaml").otherwise(".yml")).otherwise(".json"),
         ).alias("path"),
-        F.when(shape == "none", F.lit('{"params": {}}')).when(shape == "json", as_json).otherwise(as_yaml).alias("content"),
+        F.when(shape == "none", F.lit('{"params": {}}'))
+        .when(shape == "json", as_json)
+        .otherwise(as_yaml)
+        .alias("content"),
     )
 
 

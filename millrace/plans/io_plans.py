@@ -63,7 +63,8 @@ def _(t):
 )
 def _(t):
     path = scratch_path(t.spark, "vectors")
-    line = F.concat_ws(" ", F.col("vec_id").cast("double").cast("string"), F.col("embedding").cast("array<double>").cast("array<string>"))
+    numbers = F.concat(F.array(F.col("vec_id").cast("double")), F.col("embedding").cast("array<double>"))
+    line = F.concat_ws(" ", numbers.cast("array<string>"))
     t.embeddings.select(line).write.text(path)
     point = files.scan_vectors(t.spark, path)
     values = F.slice("point", F.lit(2), F.size("point") - 1)
@@ -315,7 +316,10 @@ def _(t):
 
 @plan(
     "list_partitions",
-    "SELECT DISTINCT 'o_orderstatus=' || o_orderstatus || '/o_orderpriority=' || o_orderpriority AS partition FROM orders",
+    """
+    SELECT DISTINCT 'o_orderstatus=' || o_orderstatus || '/o_orderpriority=' || o_orderpriority AS partition
+    FROM orders
+    """,
 )
 def _(t):
     table = _fresh("by_status")

@@ -33,7 +33,9 @@ def main() -> None:
         if problem:
             bad.append(key)
         kind = "sql " if key in oracles else "rows"
-        print(f"{'FAIL' if problem else 'ok  '} {kind} {key:32s} {rows:7d} {time.time() - start:6.2f}s {problem or ''}", flush=True)
+        took = time.time() - start
+        state = "FAIL" if problem else "ok  "
+        print(f"{state} {kind} {key:32s} {rows:7d} {took:6.2f}s {problem or ''}", flush=True)
     print("failed:", bad)
 
 

@@ -77,12 +77,9 @@ def test_generated_graph(spark, n):
     # The same draws resolved one after the other.
     from millrace.functions.hashing import stable_hash
 
-    slots = {
-        r.src: r.slot
-        for r in spark.range(1, n + 1)
-        .select(F.col("id").alias("src"), F.pmod(stable_hash(5, F.col("id")), F.lit(2) * F.col("id") - 1).alias("slot"))
-        .collect()
-    }
+    slot = F.pmod(stable_hash(5, F.col("id")), F.lit(2) * F.col("id") - 1)
+    drawn = spark.range(1, n + 1).select(F.col("id").alias("src"), slot.alias("slot")).collect()
+    slots = {r.src: r.slot for r in drawn}
     bag, expected = [0], {}
     for i in range(1, n + 1):
         expected[i] = bag[slots[i]]
@@ -332,7 +329,8 @@ def test_manifest_tree(spark, tmp_path):
 
 
 def test_log_trees(spark, tmp_path, rows):
-    for place, text in {"sa-1/storage/a.log": "x\ny\n", "sa-1/compute/n/b.log": "z\n", "sa-1/other/c.log": "w\n"}.items():
+    logs = {"sa-1/storage/a.log": "x\ny\n", "sa-1/compute/n/b.log": "z\n", "sa-1/other/c.log": "w\n"}
+    for place, text in logs.items():
         file = tmp_path / place
         file.parent.mkdir(parents=True, exist_ok=True)
         file.write_text(text)

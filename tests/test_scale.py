@@ -10,7 +10,18 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import graph, joins, lineage, mutations, nested, numbering, ordering, profile, projections, sets
+from millrace.operators import (
+    graph,
+    joins,
+    lineage,
+    mutations,
+    nested,
+    numbering,
+    ordering,
+    profile,
+    projections,
+    sets,
+)
 from millrace.plans.registry import QUERIES
 from millrace.scratch import persist_table, release_scratch, scratch_path, scratch_root
 from millrace.session import cluster_conf
@@ -58,7 +69,10 @@ def test_total_order(skewed):
     assert got == sorted(data)
 
 
-@pytest.mark.parametrize("start,end", [(0, 5), (990, 1000), (995, 1010), (2500, 2600), (5995, 7000), (3, 3), (5990, None), (0, None)])
+@pytest.mark.parametrize(
+    "start,end",
+    [(0, 5), (990, 1000), (995, 1010), (2500, 2600), (5995, 7000), (3, 3), (5990, None), (0, None)],
+)
 def test_slices(skewed, start, end):
     data, df = skewed
     ordered = sorted(data, reverse=True)[start:end]
@@ -180,13 +194,17 @@ def test_changes_against_brute_force(spark):
     known = mutations.set_fields(base_df, change_df, "k", ["s", "b"], "seq", upsert=False)
     assert {r.k for r in known.collect()} == {k for k, _, _ in base}
 
-    puts = spark.createDataFrame([(k, q, f"n{q}", float(q)) for k, q, _, _ in changes], "k int, seq int, s string, b double")
+    puts = spark.createDataFrame(
+        [(k, q, f"n{q}", float(q)) for k, q, _, _ in changes], "k int, seq int, s string, b double"
+    )
     after = {k: (s, b) for k, s, b in base} | {k: (f"n{q}", float(q)) for k, q, _, _ in changes}
     up = mutations.upsert_by_key(base_df, puts.repartition(6), ["k"], ["seq"])
     assert {r.k: (r.s, r.b) for r in up.collect()} == after
 
     counted = mutations.increment_counter(
-        base_df.selectExpr("k", "2 AS n", "'-' AS last"), puts.withColumnRenamed("s", "id"), "k", "n", "last", "id", "seq"
+        base_df.selectExpr("k", "2 AS n", "'-' AS last"),
+        puts.withColumnRenamed("s", "id"),
+        "k", "n", "last", "id", "seq",
     )
     hits = Counter(k for k, *_ in changes)
     assert {r.k: r.n for r in counted.collect()} == {k: 2 + hits[k] for k, _, _ in base}
