@@ -25,3 +25,22 @@ def spread(keys: Sequence[str]) -> Column:
 def key_set(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The distinct keys of ``df``, ready to be joined with a side that has hot keys."""
     return df.select(*keys, spread(keys)).distinct().select(*keys)
+
+
+def salted_join(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str, spread_by: Sequence[str], salt: int
+) -> DataFrame:
+    """Join with the rows of each left key spread over ``salt`` tasks; each meets a copy of ``right``.
+
+    For left sides whose hot keys hold many rows but few bytes, which adaptive execution
+    (it goes by bytes) leaves together.  ``how`` must keep each left row by itself: inner,
+    left, left_semi or left_anti.  ``salt=1`` is the plain join.
+    """
+    if how not in ("inner", "left", "left_semi", "left_anti"):
+        raise ValueError(f"cannot salt a {how} join")
+    if salt == 1:
+        return left.join(right, list(keys), how)
+    salted = left.withColumn("__salt", F.pmod(F.xxhash64(*spread_by), F.lit(salt)))
+    numbers = F.sequence(F.lit(0), F.lit(salt - 1)).cast("array<bigint>")
+    copies = right.withColumn("__salt", F.explode(numbers))
+    return salted.join(copies, [*keys, "__salt"], how).drop("__salt")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.maps import reverse_lookup
+from millrace.operators.keys import salted_join
 
 # Fixed value: what a nested object adds to the prefix of its keys.
 LAYER_TAG = "LAYER"
@@ -27,13 +28,19 @@ def backend_uuids(df: DataFrame, backends: str = "backends") -> DataFrame:
 
 
 def nest_children(
-    parents: DataFrame, children: DataFrame, key: str, classes: Mapping[str, str], child_key: str
+    parents: DataFrame,
+    children: DataFrame,
+    key: str,
+    classes: Mapping[str, str],
+    child_key: str,
+    salt: int = 1,
 ) -> DataFrame:
     """Replace arrays of child ids by arrays of child records, in order.
 
     ``classes`` maps each output column to the id array it is built from.  A child that
     is not found stays as a record with only its id.  All arrays are resolved in one join,
     and a parent's records come back together only as far as its own arrays reach.
+    ``salt`` spreads the references to one child over that many tasks.
     """
     fields = [c for c in children.columns if c != child_key]
 
@@ -48,7 +55,7 @@ def nest_children(
     refs = parents.select(
         key, F.inline(F.concat(*[references(o, ids) for o, ids in classes.items()]))
     )
-    found = refs.join(children, child_key, "left")
+    found = salted_join(refs, children, [child_key], "left", [key], salt)
     record = F.struct("pos", child_key, *fields)
     nested = found.groupBy(key).agg(
         *[

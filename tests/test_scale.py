@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from millrace.operators import (
     graph,
     joins,
+    keys,
     lineage,
     mutations,
     nested,
@@ -356,6 +357,20 @@ def test_nested_children(spark):
     assert [tuple(x) for x in a.storage] == [("s1", "e2", "u")]
     assert [x.id for x in a.compute] == ["k1", "k2"]
     assert (got["B"].connectors, got["C"].compute) == ([], [])
+    salted = nested.nest_children(flat_stacks, services, "uuid", classes, "id", salt=5)
+    assert {r.uuid: r for r in salted.collect()} == got
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_salted_join_is_the_plain_join(spark, how):
+    left = spark.createDataFrame([(i % 3, i) for i in range(50)] + [(None, -1)], "k int, i int")
+    right = spark.createDataFrame([(0, "a"), (1, "b"), (1, "c"), (7, "d")], "k int, v string")
+    plain = keys.salted_join(left, right, ["k"], how, ["i"], 1)
+    salted = keys.salted_join(left, right, ["k"], how, ["i"], 8)
+    assert salted.columns == plain.columns
+    assert Counter(map(tuple, salted.collect())) == Counter(map(tuple, plain.collect()))
+    with pytest.raises(ValueError):
+        keys.salted_join(left, right, ["k"], "full", ["i"], 2)
 
 
 # -- table layout ---------------------------------------------------------------------------
