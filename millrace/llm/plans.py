@@ -5,9 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, mixing, quality_rules, token_counts
+from millrace.llm import (
+    chat,
+    decontaminate,
+    html_text,
+    mixing,
+    quality_net,
+    quality_rules,
+    token_counts,
+    toxicity,
+)
+from millrace.llm.labels import is_held_out
 from millrace.tables import load
 
+QUALITY_THRESHOLD = 0.7
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -150,3 +162,38 @@ def count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     counted = token_counts.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"))
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+@query("op5_quality_classifier")
+def classify_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_net.fit_model(docs, load(spark, sf_dir, "labels"))
+    return quality_net.score(docs, model).select(
+        "doc_id",
+        is_held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+@query("op6_toxicity")
+def classify_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = toxicity.fit_model(docs, load(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, chain)
+    return scored.select(
+        "doc_id", "p_insult", "p_contempt", "p_toxic", (F.col("p_toxic") >= 0.5).alias("toxic")
+    )
+
+
+@query("op3_decontaminate")
+def find_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.find_leaks(docs, load(spark, sf_dir, "benchmark"))
+
+
+@query("op4_html_extraction")
+def extract_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = load(spark, sf_dir, "pages")
+    text = html_text.extract(pages, html_text.fit_model(pages))
+    return text.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
