@@ -44,6 +44,8 @@ SIDE_WORDS = frozenset(
 MAIN_WORDS = frozenset("article body content entry main post story text page".split())
 TEXT_TAGS = frozenset("p li h1 h2 h3 h4 h5 h6 blockquote pre td dd dt b i em strong span a".split())
 
+GROUP = 64  # pages that one call of the trees judges
+
 _NAME = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _WORD = re.compile(r"[a-z]+")
 _MARKS = re.compile(r"[.,;:!?]")
@@ -132,7 +134,10 @@ class Tree:
         return label
 
     def decode(self, p: np.ndarray) -> list[bool]:
-        """The likeliest choice in which nothing below a left-out element is kept."""
+        """The likeliest choice in which nothing below a left-out element is kept.
+
+        A page without elements is plain text and kept.
+        """
         keep, drop = np.log(np.clip(p, 1e-6, 1)), np.log(np.clip(1 - p, 1e-6, 1))
         out, best = drop.copy(), keep.copy()
         for i in range(self.size - 1, 0, -1):
@@ -194,12 +199,19 @@ def fit_model(pages: DataFrame, html: str = "html", sample_pages: int = 150, pag
     return boosting.fit(features, labels)
 
 
+def main_texts(sources: list[str | None], model) -> list[str]:
+    """The main text of each page; the trees judge the elements of all pages together."""
+    pages = [dom.read(s) for s in sources]
+    if model is None:
+        return [dom.text_of(p, [True] * len(p.tags)) for p in pages]
+    trees = [Tree(p) for p in pages]
+    judged = model.probability(np.concatenate([t.features for t in trees])) if trees else np.zeros(0)
+    parts = np.split(judged, np.cumsum([t.size for t in trees])[:-1])
+    return [dom.text_of(t.page, t.decode(p)) for t, p in zip(trees, parts, strict=False)]
+
+
 def main_text(source: str | None, model) -> str:
-    page = dom.read(source)
-    if len(page.tags) == 1 or model is None:
-        return dom.text_of(page, [True] * len(page.tags))
-    tree = Tree(page)
-    return dom.text_of(page, tree.decode(model.probability(tree.features)))
+    return main_texts([source], model)[0]
 
 
 def extract(pages: DataFrame, model, html: str = "html", out: str = "text") -> DataFrame:
@@ -209,6 +221,10 @@ def extract(pages: DataFrame, model, html: str = "html", out: str = "text") -> D
     @F.pandas_udf("string")
     def extracted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for sources in batches:
-            yield pd.Series([main_text(s, shared.value) for s in sources])
+            pages = list(sources)
+            yield pd.Series(
+                [t for i in range(0, len(pages), GROUP) for t in main_texts(pages[i : i + GROUP], shared.value)],
+                dtype="object",
+            )
 
     return pages.withColumn(out, extracted(F.col(html)))

@@ -9,6 +9,7 @@ from millrace.llm import (
     chat,
     decontaminate,
     html_text,
+    jaccard,
     mixing,
     quality_net,
     quality_rules,
@@ -197,3 +198,8 @@ def extract_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = load(spark, sf_dir, "pages")
     text = html_text.extract(pages, html_text.fit_model(pages))
     return text.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+@query("op7_jaccard_join")
+def join_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(load(spark, sf_dir, "documents"))
