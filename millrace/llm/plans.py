@@ -13,6 +13,7 @@ from millrace.llm import (
     mixing,
     quality_net,
     quality_rules,
+    suffix_dedup,
     token_counts,
     toxicity,
 )
@@ -203,3 +204,10 @@ def extract_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_jaccard_join")
 def join_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(load(spark, sf_dir, "documents"))
+
+
+@query("op1_suffix_dedup")
+def remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    found = suffix_dedup.remove_repeats(docs, keep_text=False)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -26,26 +26,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _tables(n: int) -> None:
-    global _powers, _inverse
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least ``n`` powers of the base of the rolling sums, and their inverses."""
     if len(_powers) < n:
         n = max(n, SEGMENT)
         for name, base in (("_powers", _BASE), ("_inverse", pow(_BASE, -1, 1 << 64))):
             steps = np.full(n, base, np.uint64)
             steps[0] = 1
             globals()[name] = np.cumprod(steps, dtype=np.uint64)
+    return _powers, _inverse
 
 
 def _word_numbers(part: np.ndarray) -> np.ndarray:
     """One number per word of ``part``, which cuts no word."""
-    _tables(len(part) + 1)
+    powers, inverse = power_tables(len(part) + 1)
     space = np.ones(len(part) + 2, bool)
     space[1:-1] = _SPACE[part]
     edges = np.flatnonzero(space[1:] != space[:-1])
     starts, ends = edges[::2], edges[1::2]
     sums = np.zeros(len(part) + 1, np.uint64)
-    np.cumsum((_LOWER[part].astype(np.uint64) + np.uint64(1)) * _powers[: len(part)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * _inverse[starts] + (ends - starts).astype(np.uint64))
+    np.cumsum((_LOWER[part].astype(np.uint64) + np.uint64(1)) * powers[: len(part)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
 def word_numbers(data: bytes) -> np.ndarray:
