@@ -8,7 +8,7 @@ judged on the input.
    windows choose alike; one suffix stands for some 75 neighbouring windows.  Suffixes whose
    mark (a hash of their first bytes) occurs once cannot matter and stay at home.
 2. The others are sorted in each task, with the mark in front, and sent to the task of
-   their mark as front-coded runs: only what differs from the suffix before travels.
+   their mark as front-coded runs: only what differs from the suffix before travels, deflated.
 3. Each task merges its runs with a loser tree that knows the prefixes the heads share with
    the last suffix and never compares them again.  The merge yields the prefix that neighbours
    share, which with the bytes before the suffixes tells for every window whether it occurs twice.
@@ -23,6 +23,7 @@ columns named like results are replaced.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -85,10 +86,10 @@ def _runs(buckets: int, length: int):
             part = rows[begin:end]
             shared, rest = front_code([r[1] for r in part])
             yield {
-                "bucket": part[0][0], "shared": shared, "sizes": [len(x) for x in rest], "rest": b"".join(rest),
+                "bucket": part[0][0], "shared": shared, "sizes": [len(x) for x in rest], "rest": zlib.compress(b"".join(rest), 1),
                 "id": [r[2] for r in part], "check": [r[3] for r in part], "place": [r[4] for r in part],
                 "nearest": [r[5] for r in part], "farthest": [r[6] for r in part],
-                "before": b"".join(r[7] for r in part),
+                "before": zlib.compress(b"".join(r[7] for r in part), 1),
             }
             begin = end
 
@@ -117,7 +118,8 @@ def _merge(length: int):
 
     def spans(group: pd.DataFrame) -> pd.DataFrame:
         runs = []
-        for sizes, rest, shared in zip(group["sizes"], group["rest"], group["shared"], strict=True):
+        for sizes, packed, shared in zip(group["sizes"], group["rest"], group["shared"], strict=True):
+            rest = zlib.decompress(packed)
             ends = np.cumsum(sizes).tolist()
             runs.append(front_decode(list(shared), [rest[a:b] for a, b in zip([0, *ends], ends, strict=False)]))
         order = merge(runs)
@@ -126,7 +128,7 @@ def _merge(length: int):
         shared = np.array([n for _, _, n in order], np.int64) - 8
         column = {n: np.concatenate(list(group[n])).astype(np.int64)[at] for n in ("id", "check", "place", "nearest", "farthest")}
         farthest = np.concatenate(list(group["farthest"])).astype(np.int64)
-        flat = np.frombuffer(b"".join(group["before"]), np.uint8)
+        flat = np.frombuffer(b"".join(map(zlib.decompress, group["before"])), np.uint8)
         left = np.zeros((len(at), length - GRAM), np.uint8)
         left[np.arange(left.shape[1]) < farthest[:, None]] = flat
         found = repeated_windows(shared, left[at], column["nearest"], column["farthest"], length)
