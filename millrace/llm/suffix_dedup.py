@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.suffixes import GRAM, front_code, front_decode, marked_suffixes, merge, repeated_windows
 from millrace.operators.keys import spread
-from millrace.scratch import persist_table
+from millrace.scratch import persist_table, release_table
 
 LENGTH = 200
 BUCKET_ROWS = 40_000  # suffixes that one merge expects
@@ -156,6 +156,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     shared = every.join(twice.select("mark"), "mark")
     suffix = F.struct("mark", "place", "nearest", "farthest")
     by_doc = persist_table(shared.groupBy("id", "check").agg(F.collect_set(suffix).alias("found")), "suffixes")
+    release_table(every)
     total = by_doc.agg(F.sum(F.size("found"))).first()[0] or 0
     buckets = -(-total // BUCKET_ROWS) or 1
     texts = keyed.select("__id", "__check", F.col(text).alias("text")).join(
