@@ -48,3 +48,14 @@ def release_scratch(spark: SparkSession) -> None:
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if fs.exists(path):
         fs.delete(path, True)
+
+
+def release_table(df: DataFrame) -> None:
+    """Delete the files of a frame that ``persist_table`` returned; nothing may read it any more."""
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        if spark.sparkContext.applicationId not in folder:
+            raise ValueError(f"{folder} is no scratch table")
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
