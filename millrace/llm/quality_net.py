@@ -144,10 +144,14 @@ def score_texts(model: Model, texts: list[str | None]) -> np.ndarray:
 
 
 def fit(
-    chunks: list[bytes], owners: np.ndarray, labels: np.ndarray, epochs: int = 6, batch: int = 48, seed: int = 5
+    chunks: list[bytes], owners: np.ndarray, labels: np.ndarray, epochs: int | None = None, batch: int = 32, seed: int = 5
 ) -> Model:
-    """Fit by gradient descent (Adam).  ``owners`` maps chunks to documents, ``labels`` is 0/1 per document."""
+    """Fit by gradient descent (Adam).  ``owners`` maps chunks to documents, ``labels`` is 0/1 per document.
+
+    Small samples are gone through more often, so that each fit takes a few hundred steps.
+    """
     rng = np.random.default_rng(seed)
+    epochs = epochs or int(np.clip(300 * batch // max(len(labels), 1), 5, 40))
     normal = lambda *shape: rng.normal(size=shape).astype(np.float32)
     wide = WIDTH * (VECTOR + 1)
     model: Model = {
