@@ -84,6 +84,11 @@ def justify(col: Column, width: Column, align: str) -> Column:
     return F.concat(F.repeat(F.lit(" "), before), col, F.repeat(F.lit(" "), spare - before))
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), lambda x: use(x)), 1)
+
+
 def wrap(col: Column, width: Column) -> Column:
     """Greedy wrap of one line into an array of lines of at most ``width`` characters.
 
@@ -102,11 +107,18 @@ def wrap(col: Column, width: Column) -> Column:
         F.lit(r"(?=(?:.{0,"), before, F.lit(r"}\s)?\S{"), over, F.lit(r"}).{"), w, F.lit("}")
     )
     either = F.concat(at, F.lit("(?:"), long_word, F.lit("|"), whole_words, F.lit(")"))
-    spaced = F.regexp_replace(col, r"[\t\n\x0b\f\r]", " ")
-    lines = F.when(
-        F.regexp_like(spaced, F.concat(F.lit(r"(?<!\S)\S{"), over, F.lit("}"))),
-        F.regexp_extract_all(spaced, either, F.lit(0)),
-    ).otherwise(F.regexp_extract_all(spaced, F.concat(at, whole_words), F.lit(0)))
-    return F.when(line_width(col) <= width, F.array(col)).otherwise(
-        F.when(F.size(lines) == 0, F.array(F.lit(""))).otherwise(lines)
-    )
+
+    def cut(spaced: Column) -> Column:
+        return F.when(
+            F.regexp_like(spaced, F.concat(F.lit(r"(?<!\S)\S{"), over, F.lit("}"))),
+            F.regexp_extract_all(spaced, either, F.lit(0)),
+        ).otherwise(F.regexp_extract_all(spaced, F.concat(at, whole_words), F.lit(0)))
+
+    def lines(line: Column) -> Column:
+        spaced = F.regexp_replace(line, r"[\t\n\x0b\f\r]", " ")
+        found = _bound(spaced, cut)
+        some = _bound(found, lambda f: F.when(F.size(f) == 0, F.array(F.lit(""))).otherwise(f))
+        return F.when(line_width(line) <= width, F.array(line)).otherwise(some)
+
+    # Each value is computed once, however often a step names it.
+    return _bound(col, lines)

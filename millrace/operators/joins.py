@@ -58,15 +58,12 @@ BACKEND_CLIENTS: dict[str, str] = {
     "mongodb": "mongo-client",
 }
 
-# Up to this many parent shapes are written into the plan; more of them are joined.
-INLINE_SHAPES = 1000
-
 
 def join_actual_predicted(
     actual: DataFrame, predicted: DataFrame, keys: Sequence[str] = ("user", "item")
 ) -> DataFrame:
     """Ratings with their predictions; keys kept as floats on one side compare as integers."""
-    as_int = {k: F.col(k).cast("int") for k in keys}
+    as_int = {k: F.col(k).cast("bigint") for k in keys}
     return actual.withColumns(as_int).join(predicted.withColumns(as_int), list(keys))
 
 
@@ -136,11 +133,6 @@ def path_prefix_join(
 
 def _fitting_shapes(shapes: DataFrame, children: DataFrame, parts: Column) -> DataFrame:
     """One row per child and parent shape no longer than the child's own path."""
-    few = shapes.limit(INLINE_SHAPES + 1).collect()
-    if len(few) <= INLINE_SHAPES:
-        listed = F.array(*[F.lit(r["__shape"]) for r in few]).cast("array<string>")
-        fitting = F.filter(listed, lambda s: F.length(s) <= F.size(parts))
-        return children.withColumn("__shape", F.explode(fitting))
     lengths = children.withColumn("__length", F.explode(F.sequence(F.lit(1), F.size(parts))))
     return lengths.join(shapes.withColumn("__length", F.length("__shape")), "__length").drop("__length")
 

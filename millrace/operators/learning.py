@@ -66,7 +66,7 @@ def train_kmeans(
     parallelism: int = 4,
 ) -> KMeansModel:
     """The cheapest of ``runs`` randomly started fits over the cached points."""
-    cached = points.persist()
+    cached = points.select("features").persist()
 
     def fit(run: int) -> tuple[float, int, KMeansModel]:
         model = KMeans(k=k, maxIter=max_iter, initMode="random", seed=seed + run).fit(cached)
@@ -119,9 +119,16 @@ def train_als(
     max_iter: int = ALS_ITERATIONS,
     reg: float = ALS_LAMBDA,
     seed: int = 1,
+    blocks: int | None = None,
 ) -> ALSModel:
-    """Matrix factorisation of ``user, item, rating``."""
+    """Matrix factorisation of ``user, item, rating``.
+
+    Users and items are dealt to ``blocks`` tasks each, by default as many as a shuffle has.
+    """
+    blocks = blocks or int(ratings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     als = ALS(
+        numUserBlocks=blocks,
+        numItemBlocks=blocks,
         rank=rank,
         maxIter=max_iter,
         regParam=reg,

@@ -27,7 +27,8 @@ def upsert_by_key(
     """
     newest = Window.partitionBy(*key).orderBy(*[F.desc(c) for c in seq])
     last = changes.withColumn("__n", F.row_number().over(newest)).filter("__n = 1")
-    return replace_rows(base, last.select(*base.columns), key)
+    kept = base.join(key_set(changes, key), list(key), "left_anti")
+    return kept.select(*base.columns).unionByName(last.select(*base.columns))
 
 
 def set_fields(
@@ -123,7 +124,7 @@ def delete_row_at(
     numbered = number_rows(df, order, "__rn", unique)
     size = numbered.count()
     if not 0 <= index < size:
-        raise ValueError(f"cannot delete row at index {index}, table only has {size} rows")
+        raise ValueError(f"no row {index}: the table ends after {size}")
     return numbered.filter(F.col("__rn") != index + 1).drop("__rn")
 
 

@@ -14,8 +14,6 @@ from millrace.operators.keys import salted_join
 # Fixed value: what a nested object adds to the prefix of its keys.
 LAYER_TAG = "LAYER"
 
-MAX_DEPTH = 8
-
 
 def backend_uuids(df: DataFrame, backends: str = "backends") -> DataFrame:
     """Storage and compute ids of ``backends.uuids[]`` as two flat arrays, nulls left out."""
@@ -83,82 +81,102 @@ def find_mount(df: DataFrame, volumes: str, target: str, out: str = "source") ->
     return df.withColumn(out, reverse_lookup(F.col(volumes), F.col(target)))
 
 
-def json_leaves(
-    df: DataFrame, key: str, json: str, max_depth: int = MAX_DEPTH, into_lists: bool = False
-) -> DataFrame:
+def json_depth(json: Column) -> Column:
+    """How deep the brackets of a JSON text nest, counted on the text without its strings."""
+    bare = F.regexp_replace(json, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', "")
+    marks = F.split(F.regexp_replace(bare, r"[^\[\]{}]", ""), "")
+
+    def step(state: Column, mark: Column) -> Column:
+        now = state["now"] + F.when(mark.isin("[", "{"), 1).when(mark.isin("]", "}"), -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(state["most"], now).alias("most"))
+
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    return F.aggregate(marks, start, step, lambda state: state["most"])
+
+
+def json_leaves(df: DataFrame, key: str, json: str, into_lists: bool = False) -> DataFrame:
     """``key, path, value`` per leaf of a JSON object column; ``path`` is an array of names.
 
     ``value`` stays a variant, so strings and numbers can be told apart.  Lists are leaves
-    unless ``into_lists``; empty objects have no leaf.  A document nested deeper than
-    ``max_depth`` fails the job instead of losing leaves.
+    unless ``into_lists``; an empty object is a leaf.  Documents may nest as deep as the
+    JSON reader allows: the deepest one of the input, found in one map-side aggregate,
+    says how many levels the plan opens.
     """
-    parsed = df.select(F.col(key), F.parse_json(json).alias("value"))
-    return _variant_leaves(parsed, key, max_depth, into_lists)
+    parsed = df.select(
+        F.col(key), F.array().cast("array<int>").alias("__item"), F.parse_json(json).alias("value")
+    )
+    return _variant_leaves(parsed, key, _deepest(df, json), into_lists, False).select(key, "path", "value")
 
 
-def _variant_leaves(df: DataFrame, key: str, max_depth: int, into_lists: bool) -> DataFrame:
-    """Leaves of ``key, value`` with variant values: each level opens the containers of the last."""
+def _deepest(df: DataFrame, json: str) -> int:
+    return df.agg(F.max(json_depth(F.col(json)))).first()[0] or 0
+
+
+def _variant_leaves(df: DataFrame, key: str, levels: int, into_lists: bool, top_lists: bool) -> DataFrame:
+    """Leaves of ``key, __item, value`` with variant values: each level opens the containers of the last.
+
+    With ``top_lists`` lists that no object surrounds are opened into ``__item`` positions.
+    """
     spark = df.sparkSession
-    rows = df.select(key, F.array().cast("array<string>").alias("path"), "value")
-    for _ in range(max_depth):
-        inner = F.when(_is_container(F.col("value"), into_lists), F.col("value"))
-        rows = rows.withColumn("__open", inner)
+    rows = df.select(key, "__item", F.array().cast("array<string>").alias("path"), "value")
+
+    def is_open() -> Column:
+        kind = _kind(F.col("value"))
+        opened = kind.rlike("^OBJECT<[^>]")
+        if into_lists:
+            opened = opened | kind.startswith("ARRAY<")
+        if top_lists:
+            opened = opened | (kind.startswith("ARRAY<") & (F.size("path") == 0))
+        return opened
+
+    for _ in range(levels):
+        rows = rows.withColumn("__open", F.when(is_open(), F.col("value")))
         children = spark.tvf.variant_explode_outer(F.col("__open").outer()).select(
             F.col("pos").alias("__pos"), F.col("key").alias("__key"), F.col("value").alias("__value")
         )
+        opened, listed = F.col("__pos").isNotNull(), F.col("__key").isNull()
         step = F.coalesce(F.col("__key"), F.col("__pos").cast("string"))
-        opened = F.col("__pos").isNotNull()
-        rows = (
-            rows.lateralJoin(children)
-            .filter(F.col("__open").isNull() | opened)
-            .select(
-                key,
-                F.when(opened, F.array_append("path", step)).otherwise(F.col("path")).alias("path"),
-                F.when(opened, F.col("__value")).otherwise(F.col("value")).alias("value"),
-            )
+        item, path = F.col("__item"), F.col("path")
+        if top_lists:
+            item = F.when(opened & listed, F.array_append("__item", F.col("__pos"))).otherwise(item)
+            path = F.when(opened & ~listed, F.array_append("path", step)).otherwise(path)
+        else:
+            path = F.when(opened, F.array_append("path", step)).otherwise(path)
+        value = F.when(opened, F.col("__value")).otherwise(F.col("value"))
+        rows = rows.lateralJoin(children).select(
+            key, item.alias("__item"), path.alias("path"), value.alias("value")
         )
-    too_deep = F.raise_error(F.lit(f"document nested deeper than {max_depth} levels"))
-    deeper = _is_container(F.col("value"), into_lists)
-    checked = F.when(deeper, too_deep.cast("array<string>")).otherwise(F.col("path"))
-    return rows.select(key, checked.alias("path"), "value")
+    # The count of levels cannot be too small; should it be, the job fails here, in a
+    # filter that no choice of columns removes.
+    missed = is_open() & ~_kind(F.col("value")).startswith("ARRAY<")
+    fail = F.raise_error(F.lit("document nested deeper than its brackets")).cast("boolean")
+    return rows.filter(F.when(F.coalesce(missed, F.lit(False)), fail).otherwise(True))
 
 
 def _kind(value: Column) -> Column:
     return F.schema_of_variant(value)
 
 
-def _is_container(value: Column, into_lists: bool) -> Column:
-    kinds = "^(OBJECT|ARRAY)<" if into_lists else "^OBJECT<"
-    return _kind(value).rlike(kinds)
-
-
-def flatten_to_pairs(
-    df: DataFrame, key: str, json: str, prefix: str, max_depth: int = MAX_DEPTH
-) -> DataFrame:
+def flatten_to_pairs(df: DataFrame, key: str, json: str, prefix: str) -> DataFrame:
     """``PREFIX_KEY`` pairs of the text values of a document.
 
     Names are upper-cased; a nested object adds a fixed tag to the prefix instead of its
     own name; numbers, booleans and lists inside objects are left out.  A document that is
-    a list of objects contributes the pairs of all of them.  Where two values meet under
-    one name the later one wins (list position, then path).
+    a list, also of lists, contributes the pairs of all its objects.  Where two values meet
+    under one name the later one wins (list position, then path).
     """
-    items = df.select(key, F.parse_json(json).alias("__doc"))
-    listed = F.when(
-        _kind(F.col("__doc")).startswith("ARRAY<"), F.col("__doc").try_cast("array<variant>")
-    ).otherwise(F.array(F.col("__doc")))
-    items = items.select(key, F.posexplode(listed).alias("__item", "value"))
-    items = items.select(F.struct(key, "__item").alias("__row"), "value")
-    leaves = _variant_leaves(items, "__row", max_depth, into_lists=False)
-    text = leaves.filter(
-        (_kind(F.col("value")) == "STRING") & (F.size("path") > 0)
+    docs = df.select(
+        F.col(key), F.array().cast("array<int>").alias("__item"), F.parse_json(json).alias("value")
     )
+    leaves = _variant_leaves(docs, key, _deepest(df, json), False, True)
+    text = leaves.filter((_kind(F.col("value")) == "STRING") & (F.size("path") > 0))
     layers = F.repeat(F.lit(f"_{LAYER_TAG}"), F.size("path") - 1)
     name = F.concat(F.lit(prefix), layers, F.lit("_"), F.upper(F.element_at("path", -1)))
     pairs = text.select(
-        F.col(f"__row.{key}").alias(key),
+        key,
         name.alias("name"),
         F.col("value").cast("string").alias("value"),
-        F.struct(F.col("__row.__item").alias("item"), F.col("path")).alias("__at"),
+        F.struct(F.col("__item").alias("item"), F.col("path")).alias("__at"),
     )
     return pairs.groupBy(key, "name").agg(F.max_by("value", "__at").alias("value"))
 

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.scratch import persist_table
 
@@ -42,6 +43,14 @@ def explode_range(df: DataFrame, count: Column, out: str) -> DataFrame:
     return rows.withColumn(out, F.explode(F.sequence(low, high))).drop(chunk, total)
 
 
+def _has_fraction(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _has_fraction(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return any(_has_fraction(f.dataType) for f in kind.fields)
+    return isinstance(kind, (T.FloatType, T.DoubleType))
+
+
 def number_copies(df: DataFrame, out: str) -> DataFrame:
     """Give equal rows distinct numbers ``0, 1, ...``, so that no two rows are the same.
 
@@ -49,7 +58,16 @@ def number_copies(df: DataFrame, out: str) -> DataFrame:
     chunks and the chunks spread over the cluster before they become rows again, so a
     value that holds a large share of the table is never written out by one task.
     """
-    counted = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__copies"))
+    # Grouping turns -0.0 into 0.0, so columns with fractions are told apart by their text
+    # and come back as they were.
+    loose = [f.name for f in df.schema.fields if _has_fraction(f.dataType)]
+    marks = {f"__text_{i}": F.to_json(F.struct(F.col(c))) for i, c in enumerate(loose)}
+    exact = [c for c in df.columns if c not in loose]
+    counted = (
+        df.withColumns(marks)
+        .groupBy(*exact, *marks)
+        .agg(F.count(F.lit(1)).alias("__copies"), *[F.any_value(c).alias(c) for c in loose])
+    )
     once = counted.filter("__copies = 1").select(*df.columns, F.lit(0).cast("bigint").alias(out))
     runs = counted.filter("__copies > 1").withColumn(
         "__chunk", F.explode(F.sequence(F.lit(0), F.expr(f"(__copies - 1) div {RUN_CHUNK}")))
@@ -80,14 +98,15 @@ def number_rows(
     if not unique:
         rows = number_copies(df, "__copy")
         keys = [*keys, *df.columns, "__copy"]
-    placed = (
-        rows.repartitionByRange(*keys)
-        .sortWithinPartitions(*keys)
-        .select(*df.columns, F.monotonically_increasing_id().alias("__id"))
-        .withColumn("__part", F.shiftright("__id", _PART_BITS))
+    return positions(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select(*df.columns), out)
+
+
+def positions(ordered: DataFrame, out: str = "rn") -> DataFrame:
+    """Add the 1-based place of each row in a frame whose partitions follow its order."""
+    placed = ordered.select("*", F.monotonically_increasing_id().alias("__id")).withColumn(
+        "__part", F.shiftright("__id", _PART_BITS)
     )
     placed = persist_table(placed, "numbered")
-
     sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__size"))
     # One row per written partition, so a single-task window and a broadcast are bounded.
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
@@ -96,7 +115,7 @@ def number_rows(
     )
     inside = F.col("__id") - F.shiftleft("__part", _PART_BITS)
     return placed.join(F.broadcast(offsets), "__part").select(
-        *df.columns, (F.col("__offset") + inside + 1).alias(out)
+        *ordered.columns, (F.col("__offset") + inside + 1).alias(out)
     )
 
 

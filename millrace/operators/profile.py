@@ -67,5 +67,5 @@ def profile_columns(df: DataFrame, by: Sequence[str] = (), exact: bool = False)
 def skewed_values(df: DataFrame, cols: Sequence[str], share: float) -> DataFrame:
     """Value tuples that hold more than ``share`` of all rows, with their counts."""
     counts = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("cnt"))
-    total = df.agg(F.count(F.lit(1)).alias("total"))
+    total = counts.agg(F.sum("cnt").alias("total"))  # over the groups, not over the table again
     return counts.filter(F.col("cnt") > F.lit(share) * total.scalar())

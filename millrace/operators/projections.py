@@ -94,7 +94,7 @@ def zip_columns(
     right = number_rows(other, other_order, "__rn", unique)
     sizes = left.count(), right.count()
     if sizes[0] != sizes[1]:
-        raise ValueError(f"column length {sizes[1]} does not match number of rows {sizes[0]}")
+        raise ValueError(f"{sizes[1]} values for a table of {sizes[0]} rows")
     return left.join(right, "__rn").drop("__rn")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import aggregates, graph, mutations, ordering, profile, sets
 from millrace.operators.keys import spread
-from millrace.operators.numbering import number_rows
+from millrace.operators.numbering import positions
 from millrace.plans.join_plans import (
     RATINGS_SQL,
     VERTICES_SQL,
@@ -15,7 +15,7 @@ from millrace.plans.join_plans import (
     vertices,
 )
 from millrace.plans.registry import plan
-from millrace.sources.generated import generate_records, rows_literal
+from millrace.sources.generated import rows_literal
 
 # -- aggregations -----------------------------------------------------------------------
 
@@ -272,14 +272,14 @@ def _(t):
 @plan(
     "sort_rows",
     """
-    SELECT o_orderkey, o_orderpriority, o_custkey,
-      row_number() OVER (ORDER BY o_orderpriority DESC, o_custkey DESC, o_orderkey DESC) AS rn
-    FROM orders
+    SELECT l_returnflag, l_discount, l_linestatus, row_number() OVER
+      (ORDER BY l_discount DESC, l_returnflag DESC, l_discount DESC, l_linestatus DESC) AS rn
+    FROM lineitem
     """,
 )
 def _(t):
-    rows = t.orders.select("o_orderpriority", "o_custkey", "o_orderkey")
-    return ordering.sorted_positions(rows, "o_orderpriority", reverse=True, unique=True)
+    rows = t.lineitem.select("l_returnflag", "l_discount", "l_linestatus")
+    return positions(ordering.sort_rows(rows, "l_discount", reverse=True), "rn")
 
 
 @plan(
@@ -309,28 +309,25 @@ def _(t):
 @plan(
     "slice_then_sort",
     """
-    SELECT *, row_number() OVER (ORDER BY p_name, p_partkey) AS rn FROM
-      (SELECT p_partkey, p_name FROM part ORDER BY p_partkey LIMIT 60 OFFSET 20)
+    SELECT *, row_number() OVER (ORDER BY p_size, p_brand) AS rn FROM
+      (SELECT p_brand, p_size FROM part ORDER BY p_brand, p_size LIMIT 160 OFFSET 20)
     """,
 )
 def _(t):
-    parts = t.part.select("p_partkey", "p_name")
-    cut = ordering.slice_then_sort(parts, ["p_partkey"], "p_name", 20, 80)
-    return number_rows(cut, ["p_name", "p_partkey"], "rn", unique=True)
+    parts = t.part.select("p_brand", "p_size")
+    return positions(ordering.slice_then_sort(parts, ["p_brand"], "p_size", 20, 180), "rn")
 
 
 @plan(
     "total_order_sort",
     """
-    WITH r AS (SELECT upper(left(md5('7-' || id), 10)) AS key, lpad(id::VARCHAR, 90, '0') AS payload
-               FROM range((SELECT count(*) FROM orders)) g(id))
-    SELECT key, payload, row_number() OVER (ORDER BY key, payload) AS rn FROM r
+    SELECT user_id AS key, event_type AS payload, row_number() OVER (ORDER BY user_id, event_type) AS rn
+    FROM events
     """,
 )
 def _(t):
-    records = generate_records(t.spark, t.orders.count(), seed=7)
-    ordered = ordering.total_order_sort(records, "key", unique=True)
-    return number_rows(ordered, ["key", "payload"], "rn", unique=True)
+    records = t.events.select(F.col("user_id").alias("key"), F.col("event_type").alias("payload"))
+    return positions(ordering.total_order_sort(records, "key"), "rn")
 
 
 @plan(
@@ -366,16 +363,15 @@ def _(t):
 @plan(
     "sort_by_expression",
     """
-    SELECT s_suppkey, row_number() OVER (ORDER BY length(s_suppkey::VARCHAR) * -1, s_suppkey) AS rn
-    FROM supplier
+    SELECT o_orderpriority, o_orderstatus, row_number() OVER
+      (ORDER BY length(o_orderpriority) * -1, o_orderpriority, o_orderstatus) AS rn
+    FROM orders
     """,
 )
 def _(t):
-    rows = t.supplier.select("s_suppkey")
-    key = -F.length(F.col("s_suppkey").cast("string"))
-    return number_rows(
-        ordering.sort_by_expression(rows, key, unique=True), [key, "s_suppkey"], "rn", unique=True
-    )
+    rows = t.orders.select("o_orderpriority", "o_orderstatus")
+    key = -F.length(F.col("o_orderpriority"))
+    return positions(ordering.sort_by_expression(rows, key), "rn")
 
 
 # -- set operations ---------------------------------------------------------------------

@@ -338,12 +338,13 @@ def _(t):
 )
 def _(t):
     lines, orders = _fresh("lines"), _fresh("orders")
+    buckets = sinks.bucket_count(t.lineitem.select("l_orderkey", "l_partkey"))
     sinks.write_bucketed(
-        t.lineitem.select("l_orderkey", "l_partkey"), lines, 8, ["l_orderkey"], ["l_orderkey"],
+        t.lineitem.select("l_orderkey", "l_partkey"), lines, buckets, ["l_orderkey"], ["l_orderkey"],
         scratch_path(t.spark, "bucketed"),
     )
     sinks.write_bucketed(
-        t.orders.select("o_orderkey", "o_orderstatus"), orders, 8, ["o_orderkey"], ["o_orderkey"],
+        t.orders.select("o_orderkey", "o_orderstatus"), orders, buckets, ["o_orderkey"], ["o_orderkey"],
         scratch_path(t.spark, "bucketed"),
     )
     # Both tables are laid out by the join key, so neither side is shuffled.

@@ -368,7 +368,14 @@ def _(t):
     """,
 )
 def _(t):
-    return lineage.build_order(lineage.base_lineage(lineage_edges(t)))
+    return lineage.build_order(lineage_edges(t))
+
+
+def deep(value, levels):
+    """A value below ``levels`` objects, each with the one key ``l``."""
+    for _ in range(levels):
+        value = F.struct(value.alias("l"))
+    return value
 
 
 def config_documents(t):
@@ -380,6 +387,7 @@ def config_documents(t):
                 F.col("c_mktsegment").alias("a"),
                 F.struct(F.col("c_name").alias("c"), F.col("c_nationkey").alias("d")).alias("b"),
                 F.struct(F.lit("x").alias("f"), F.struct(F.lit("y").alias("h")).alias("g")).alias("e"),
+                deep(F.col("c_name"), 12).alias("z"),
             )
         ).alias("doc"),
     )
@@ -413,11 +421,12 @@ def config_documents(t):
     UNION ALL SELECT id, 'e.f', 'x' FROM c WHERE p IS NULL OR p <> '5-LOW'
     UNION ALL SELECT id, 'e.g.h', 'y' FROM c WHERE p IS NULL OR p <> '5-LOW'
     UNION ALL SELECT id, 'n', p FROM c WHERE p IS NOT NULL
+    UNION ALL SELECT id, 'z' || repeat('.l', 12), c_name FROM c
     """,
 )
 def _(t):
     left, right = (
-        nested.json_leaves(d, "id", "doc", max_depth=4).withColumn("value", F.col("value").cast("string"))
+        nested.json_leaves(d, "id", "doc").withColumn("value", F.col("value").cast("string"))
         for d in config_documents(t)
     )
     merged = nested.merge_config(left, right, "id")
@@ -463,6 +472,7 @@ def _(t):
     """
     SELECT c_custkey, 'P_TYPE' AS name, c_mktsegment AS value FROM customer
     UNION ALL SELECT c_custkey, 'P_NAME', c_name FROM customer
+    UNION ALL SELECT c_custkey, 'P' || repeat('_LAYER', 11) || '_L', c_name FROM customer
     UNION ALL SELECT c_custkey, 'P_LAYER_NATION', n_name FROM customer JOIN nation ON c_nationkey = n_nationkey
     UNION ALL SELECT c_custkey, 'P_LAYER_LAYER_REGION', r_name FROM customer
       JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
@@ -479,6 +489,7 @@ def _(t):
         F.col("c_acctbal").alias("balance"),
         F.array(F.col("c_name")).alias("list"),
         layer.alias("layer"),
+        deep(F.col("c_name"), 11).alias("deep"),
     )
     docs = whole.select(
         "c_custkey",
@@ -487,4 +498,4 @@ def _(t):
             F.to_json(F.struct(F.col("c_mktsegment").alias("type"))), F.lit("]"),
         ).alias("doc"),
     )
-    return nested.flatten_to_pairs(docs, "c_custkey", "doc", "P", max_depth=4)
+    return nested.flatten_to_pairs(docs, "c_custkey", "doc", "P")

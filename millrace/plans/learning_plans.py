@@ -9,6 +9,7 @@ from millrace.operators import aggregates, graph, joins, learning
 from millrace.plans.aggregate_plans import CENTRES_SQL, label_centres
 from millrace.plans.join_plans import ratings
 from millrace.plans.registry import plan
+from millrace.scratch import persist_table
 
 
 def judged_documents(t):
@@ -18,11 +19,15 @@ def judged_documents(t):
     return t.labels.select("doc_id", "quality").join(docs, "doc_id")
 
 
+def judged_points(t):
+    """The judged documents as points, written once: fitting and scoring read them many times."""
+    rows = persist_table(judged_documents(t), "judged")
+    return learning.labelled(rows, F.col("quality"), F.array("chars", "tokens"))
+
+
 @plan("train_logistic")
 def _(t):
-    points = learning.labelled(
-        judged_documents(t), F.col("quality"), F.array("chars", "tokens")
-    )
+    points = judged_points(t)
     model = learning.train_logistic(points)
     scored = model.transform(points).select("label", "prediction")
     return scored.groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("cnt"))
@@ -30,9 +35,7 @@ def _(t):
 
 @plan("logistic_training_error")
 def _(t):
-    points = learning.labelled(
-        judged_documents(t), F.col("quality"), F.array("chars", "tokens")
-    )
+    points = judged_points(t)
     scored = learning.train_logistic(points).transform(points)
     return aggregates.training_error(scored, "label", "prediction")
 
@@ -100,7 +103,9 @@ def _(t):
 
 
 def integer_ratings(t):
-    return ratings(t).withColumns({"user": F.col("user").cast("int"), "item": F.col("item").cast("int")})
+    """Ratings with the integer ids that the factorisation asks for, written once."""
+    rows = ratings(t).withColumns({"user": F.col("user").cast("int"), "item": F.col("item").cast("int")})
+    return persist_table(rows, "ratings")
 
 
 @plan("predict_pairs")

@@ -8,6 +8,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,6 +18,10 @@ _CONF = "spark.checkpoint.dir"
 _LOCAL_ROOTS: dict[str, str] = {}  # stand-ins for the setting in local sessions, by application
 
 
+_OWNER: ContextVar[str | None] = ContextVar("owner", default=None)
+_OWNED: dict[tuple[str, str], list[str]] = {}  # paths by application and owner
+
+
 def scratch_root(spark: SparkSession) -> str:
     """Folder of this application below the shared checkpoint folder."""
     root = spark.conf.get(_CONF, None)
@@ -37,10 +44,33 @@ def persist_table(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as Parquet and return a frame that reads the files back."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
+    if owner := _OWNER.get():
+        _OWNED.setdefault((spark.sparkContext.applicationId, owner), []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def owned_by(owner: str) -> Iterator[None]:
+    """Tables that ``persist_table`` writes in here belong to ``owner``, who can release them at once."""
+    token = _OWNER.set(owner)
+    try:
+        yield
+    finally:
+        _OWNER.reset(token)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release_owned(spark: SparkSession, owner: str) -> None:
+    """Delete the tables of ``owner``; frames that read them become invalid."""
+    for folder in _OWNED.pop((spark.sparkContext.applicationId, owner), []):
+        _delete(spark, folder)
+
+
 def release_scratch(spark: SparkSession) -> None:
     """Delete every scratch table of this application; frames that read them become invalid."""
     jvm = spark.sparkContext._jvm
@@ -53,9 +83,7 @@ def release_scratch(spark: SparkSession) -> None:
 def release_table(df: DataFrame) -> None:
     """Delete the files of a frame that ``persist_table`` returned; nothing may read it any more."""
     spark = df.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
         if spark.sparkContext.applicationId not in folder:
             raise ValueError(f"{folder} is no scratch table")
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+        _delete(spark, folder)

@@ -43,7 +43,7 @@ def as_vectors(df: DataFrame, col: str = "point", out: str = "features") -> Data
 def scan_ratings(spark: SparkSession, path: str) -> DataFrame:
     """``user,item,rating`` lines; ids may be written as floats."""
     rows = spark.read.schema("user double, item double, rating double").csv(path)
-    return rows.withColumns({"user": F.col("user").cast("int"), "item": F.col("item").cast("int")})
+    return rows.withColumns({"user": F.col("user").cast("bigint"), "item": F.col("item").cast("bigint")})
 
 
 def scan_labeled_points(spark: SparkSession, path: str) -> DataFrame:

@@ -38,7 +38,9 @@ def _yaml_to_json():
         import yaml
 
         loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
-        return texts.map(lambda t: json.dumps(yaml.load(t, Loader=loader), default=str))
+        return texts.map(
+            lambda t: json.dumps(yaml.load(t, Loader=loader), default=str), na_action="ignore"
+        )
 
     return F.pandas_udf(convert, T.StringType())
 
@@ -69,9 +71,11 @@ def parse_manifests(files: DataFrame, name: str | None = None) -> DataFrame:
     )
     if name is not None:
         named = named.filter(F.col("name") == name)
-    as_json = named.filter(F.col("__ext") == "json")
-    as_yaml = named.filter(F.col("__ext").isin(*YAML_EXTENSIONS))
-    docs = as_json.unionByName(as_yaml.withColumn("content", _yaml_to_json()("content")))
+    in_yaml = F.col("__ext").isin(*YAML_EXTENSIONS)
+    converted = _yaml_to_json()(F.when(in_yaml, F.col("content")))
+    docs = named.filter((F.col("__ext") == "json") | in_yaml).withColumn(
+        "content", F.when(in_yaml, converted).otherwise(F.col("content"))
+    )
     docs = docs.withColumn("doc", F.from_json("content", MANIFEST_SCHEMA))
     meta = F.col("doc.metadata")
     known = meta.isNotNull()

@@ -62,6 +62,12 @@ def list_partitions(spark: SparkSession, table: str) -> DataFrame:
     return spark.sql(f"SHOW PARTITIONS {table}")
 
 
+def bucket_count(df: DataFrame, bucket_bytes: int = 128 << 20) -> int:
+    """Buckets of about ``bucket_bytes`` for the files behind a frame, at least one per shuffle task."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // bucket_bytes))
+
+
 def write_bucketed(
     df: DataFrame,
     table: str,

@@ -171,7 +171,7 @@ def test_image_lineage(spark, tmp_path):
     in_order = {c: [a[d] for d in sorted(a)] for c, a in chains.items()}
     assert in_order["spark"] == ["hadoop-base", "gluster", "tool-base", "ubuntu:14.04"]
     assert in_order["cassandra-client"] == ["titan", "cassandra", "tool-base", "ubuntu:14.04"]
-    steps = {r.name: r.step for r in lineage.build_order(tree).collect()}
+    steps = {r.name: r.step for r in lineage.build_order(edges).collect()}
     assert steps["ubuntu:14.04"] == 0 and all(steps[r.child] > steps[r.base] for r in edges.collect())
 
 
@@ -198,9 +198,9 @@ def test_instance_dimension(spark, rows):
     assert rows(found) == [("m3.medium", 3840, 1), ("nope", 1024, 1), ("t2.small", 2048, 1)]
 
 
-def leaves(spark, docs, depth=4):
+def leaves(spark, docs):
     df = spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(docs)], "id int, doc string")
-    out = nested.json_leaves(df, "id", "doc", depth)
+    out = nested.json_leaves(df, "id", "doc")
     return out.withColumn("value", F.col("value").cast("string"))
 
 
@@ -227,9 +227,56 @@ def test_merge_conflict(spark):
     assert {".".join(r.path): r.value for r in loose} == {"k": "1", "e.f": "1"}
 
 
-def test_documents_too_deep_fail_instead_of_losing_leaves(spark):
-    with pytest.raises(Exception, match="nested deeper"):
-        leaves(spark, [{"a": {"b": {"c": 1}}}], depth=2).collect()
+@pytest.mark.parametrize("depth", [1, 2, 5, 9, 20])
+def test_leaves_of_any_depth(spark, depth):
+    doc = "lost"
+    for _ in range(depth):
+        doc = {"a": doc, "]{": "\\\"}"}
+    df = spark.createDataFrame([(1, json.dumps(doc)), (2, "{}")], "id int, doc string")
+    found = nested.json_leaves(df, "id", "doc")
+    assert found.count() == depth + 2
+    assert sorted(str(r.value) for r in found.select("value").collect()).count('"lost"') == 1
+    pairs = {r.name: r.value for r in nested.flatten_to_pairs(df, "id", "doc", "P").collect()}
+    assert pairs["P" + "_LAYER" * (depth - 1) + "_A"] == "lost"
+
+
+def test_lists_of_lists_contribute_their_objects(spark):
+    doc = [[{"k": "v", "n": [{"x": "no"}]}], {"k": "w", "o": {"m": "u"}}, [[{"z": "y"}]]]
+    df = spark.createDataFrame([(1, json.dumps(doc))], "id int, doc string")
+    pairs = {r.name: r.value for r in nested.flatten_to_pairs(df, "id", "doc", "P").collect()}
+    assert pairs == {"P_K": "w", "P_LAYER_M": "u", "P_Z": "y"}
+
+
+def test_long_chain_in_few_rounds(spark):
+    n = 3000
+    chain = spark.range(1, n).selectExpr("id as child", "id - 1 as base")
+    steps = {r.name: r.step for r in lineage.build_order(chain).collect()}
+    assert steps == {i: i for i in range(n)}
+    loop = spark.createDataFrame([("a", "b"), ("b", "a")], "child string, base string")
+    with pytest.raises(ValueError, match="cycle"):
+        lineage.build_order(loop)
+
+
+def test_sorts_keep_every_cell(spark):
+    from millrace.operators import mutations, numbering, ordering, projections
+
+    nan = float("nan")
+    cells = [(1, -0.0, [-0.0]), (1, 0.0, [0.0]), (2, -0.0, [nan]), (2, -0.0, [nan])]
+    df = spark.createDataFrame(cells, "k int, x double, a array<double>")
+    frames = [
+        ordering.sort_rows(df, "k"), ordering.total_order_sort(df, "k"), numbering.number_rows(df, "k"),
+        ordering.slice_rows(df, "k", 0, 4), ordering.slice_rows(df, "k", 0, 5000),
+    ]
+    for frame in frames:
+        assert sorted(str((r.k, r.x, r.a)) for r in frame.collect()) == sorted(map(str, cells))
+    left = mutations.delete_row_at(df, ["k"], 3).collect()
+    assert sorted(str((r.k, r.x, r.a)) for r in left) == sorted(map(str, cells[:3]))
+
+
+def test_keys_beyond_int(spark):
+    actual = spark.createDataFrame([(3_000_000_000, 1, 2.0)], "user bigint, item bigint, rating double")
+    predicted = spark.createDataFrame([(3e9, 1.0, 1.5)], "user double, item double, prediction double")
+    assert joins.join_actual_predicted(actual, predicted).count() == 1
 
 
 # Six points around two centres, and sixteen ratings of two tastes.
