@@ -11,27 +11,48 @@ duplicates and repeat each other; an empty table gives an empty mix; extra colum
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, jaccard, mixing, quality_net, suffix_dedup
-from millrace.scratch import persist_table
+from millrace.scratch import owned_by, release_owned, scratch_path
 from millrace.tables import load
 
 THRESHOLD = 0.7
+OWNER = "pipeline"
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def stage(function: Stage) -> Stage:
+    """A stage frees the scratch tables of the stage before, whose result is written by now."""
+
+    @wraps(function)
+    def started(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release_owned(spark, OWNER)
+        with owned_by(OWNER):
+            return function(spark, docs, sf_dir)
+
+    return started
 
 
+@stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that the classifier scores at ``THRESHOLD`` or more."""
     model = quality_net.fit_model(docs, load(spark, sf_dir, "labels"))
     return quality_net.score(docs, model, out="__score").filter(F.col("__score") >= THRESHOLD).drop("__score")
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each group of near duplicates."""
     return jaccard.one_of_each(docs)
 
 
+@stage
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Remove the passages of 200 bytes and more that occur twice; ``n_chars`` follows the text."""
     rows = suffix_dedup.remove_repeats(docs.withColumnsRenamed({c: f"__own_{c}" for c in _CLASHING if c in docs.columns}))
@@ -46,11 +67,13 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 _CLASHING = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
 
 
+@stage
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that hold a benchmark item."""
     return decontaminate.without_leaks(docs, load(spark, sf_dir, "benchmark"))
 
 
+@stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target weight asks for."""
     return mixing.emit_mix(docs)
@@ -70,6 +93,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = persist_table(stage(spark, docs, sf_dir), name)
+    for name, function in STAGES:
+        path = scratch_path(spark, name)
+        function(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    release_owned(spark, OWNER)
     return docs
