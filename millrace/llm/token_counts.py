@@ -23,13 +23,14 @@ gives no rows; other columns pass through, columns named like a result are repla
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 400_000
 CACHED_LENGTH = 64
 
 _WORKER: dict[str, object] = {}  # tokenizers and caches of this Python worker
@@ -43,6 +44,24 @@ def pre_token_pattern(config: dict) -> str:
     raise ValueError("the tokenizer does not split texts by a pattern of pre-tokens")
 
 
+# The visible stand-ins of byte-level tokenizers: printable bytes are themselves, the others
+# follow from 256 on.
+_SELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_STAND_INS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(_SELF))}
+
+
+def byte_level(piece: str) -> str:
+    return piece if piece.isascii() else piece.encode().decode("latin-1").translate(_STAND_INS)
+
+
+def _plain(entry: str) -> str:
+    """The text of a byte-level entry; empty if it holds bytes that stand for themselves nowhere."""
+    try:
+        return entry.encode("latin-1").decode("utf-8")
+    except UnicodeError:
+        return ""
+
+
 def frequent_lengths(tokenizer_json: str) -> dict[str, int]:
     """Token counts of all vocabulary entries that are whole pre-tokens."""
     import regex
@@ -54,8 +73,8 @@ def frequent_lengths(tokenizer_json: str) -> dict[str, int]:
     pattern = regex.compile(pre_token_pattern(config))
     special = {t["content"] for t in config["added_tokens"]}
     words = []
-    for entry, i in tokenizer.get_vocab(with_added_tokens=False).items():
-        word = tokenizer.decode([i], skip_special_tokens=False).strip() if entry.endswith(end) else ""
+    for entry in tokenizer.get_vocab(with_added_tokens=False):
+        word = _plain(entry.removesuffix(end)) if entry.endswith(end) else ""
         if word and word not in special and pattern.findall(word) == [word] and word == word.lower():
             words.append(word)
     encoded = tokenizer.encode_batch(words, add_special_tokens=False)
@@ -63,20 +82,24 @@ def frequent_lengths(tokenizer_json: str) -> dict[str, int]:
 
 
 class Lengths(dict):
-    """Tier one as a dictionary; lookups that miss it go to the worker's cache, then to the library."""
+    """Both tiers in one hash table of the worker.
+
+    What tier one (the broadcast) lacks is encoded by the library and kept beside it; when
+    ``CACHE_ENTRIES`` are kept, the table goes back to tier one.
+    """
 
     def __init__(self, frequent: dict[str, int], tokenizer):
         super().__init__(frequent)
-        self._tokenizer, self._cache = tokenizer, {}
+        self._frequent, self._tokenizer = frequent, tokenizer
 
     def __missing__(self, piece: str) -> int:
-        found = self._cache.get(piece)
-        if found is None:
-            found = len(self._tokenizer.encode(piece, add_special_tokens=False).ids)
-            if len(piece) <= CACHED_LENGTH:
-                if len(self._cache) >= CACHE_ENTRIES:
-                    self._cache.clear()
-                self._cache[piece] = found
+        # A piece of the plain alphabet is one pre-token already, so the merges alone decide.
+        found = len(self._tokenizer.model.tokenize(byte_level(piece)))
+        if len(piece) <= CACHED_LENGTH:
+            if len(self) >= len(self._frequent) + CACHE_ENTRIES:
+                self.clear()
+                self.update(self._frequent)
+            self[piece] = found
         return found
 
 
@@ -92,7 +115,7 @@ class Counter:
         self.lengths = Lengths(frequent, self.tokenizer)
         self.split = regex.compile(pre_token_pattern(config)).findall
         self.special = [t["content"] for t in config["added_tokens"]]
-        self.plain = regex.compile("[\t\n\r\x20-\x7e\xa0-ɏ]*").fullmatch
+        self.plain = re.compile("[\t\n\r\x20-\x7e\xa0-ɏ]*").fullmatch
 
     def count(self, text: str) -> int:
         if not self.plain(text) or any(s in text for s in self.special):

@@ -119,6 +119,9 @@ def test_tokens_are_those_of_the_library(spark, sf_dir):
 
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as file:
+        frequent = token_counts.frequent_lengths(file.read())
+    assert len(frequent) > 20_000 and frequent["the"] == 1 and frequent["é"] == 1
     texts = [r.text for r in tables.load(spark, sf_dir, "documents").collect()]
     texts += [None, "", " ", "<|endoftext|> a<|startoftext|>", "it's we'll 've''s", "İstanbul ΑΣ ẞ é", "日本語 ½ ²³ _a-b_",
               "\x85\x1c x", "z" * 100_000, "á Å 👩‍👩‍👧", "don't " * 30_000]
