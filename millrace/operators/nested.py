@@ -94,18 +94,23 @@ def json_depth(json: Column) -> Column:
     return F.aggregate(marks, start, step, lambda state: state["most"])
 
 
-def json_leaves(df: DataFrame, key: str, json: str, into_lists: bool = False) -> DataFrame:
+def json_leaves(
+    df: DataFrame, key: str, json: str, into_lists: bool = False, keep_empty: bool = False
+) -> DataFrame:
     """``key, path, value`` per leaf of a JSON object column; ``path`` is an array of names.
 
     ``value`` stays a variant, so strings and numbers can be told apart.  Lists are leaves
-    unless ``into_lists``; an empty object is a leaf.  Documents may nest as deep as the
+    unless ``into_lists``; an empty object is a leaf only with ``keep_empty``.  Documents may nest as deep as the
     JSON reader allows: the deepest one of the input, found in one map-side aggregate,
     says how many levels the plan opens.
     """
     parsed = df.select(
         F.col(key), F.array().cast("array<int>").alias("__item"), F.parse_json(json).alias("value")
     )
-    return _variant_leaves(parsed, key, _deepest(df, json), into_lists, False).select(key, "path", "value")
+    leaves = _variant_leaves(parsed, key, _deepest(df, json), into_lists, False)
+    if not keep_empty:
+        leaves = leaves.filter(_kind(F.col("value")) != "OBJECT<>")
+    return leaves.select(key, "path", "value")
 
 
 def _deepest(df: DataFrame, json: str) -> int:

@@ -234,7 +234,8 @@ def test_leaves_of_any_depth(spark, depth):
         doc = {"a": doc, "]{": "\\\"}"}
     df = spark.createDataFrame([(1, json.dumps(doc)), (2, "{}")], "id int, doc string")
     found = nested.json_leaves(df, "id", "doc")
-    assert found.count() == depth + 2
+    assert found.count() == depth + 1
+    assert nested.json_leaves(df, "id", "doc", keep_empty=True).count() == depth + 2
     assert sorted(str(r.value) for r in found.select("value").collect()).count('"lost"') == 1
     pairs = {r.name: r.value for r in nested.flatten_to_pairs(df, "id", "doc", "P").collect()}
     assert pairs["P" + "_LAYER" * (depth - 1) + "_A"] == "lost"
