@@ -183,7 +183,11 @@ def altered(source: str, rng: random.Random, words: list[str]) -> str:
 def fit_model(pages: DataFrame, html: str = "html", sample_pages: int = 150, page_chars: int = 100_000):
     """Trees learnt from ``sample_pages`` pages of at most ``page_chars``; None if there are none."""
     short = pages.select(html).filter(F.length(html).between(1, page_chars))
-    rows = short.orderBy(F.xxhash64(html), html).limit(sample_pages).collect()
+    # The hashes alone are ranked first, so that tasks send the driver no pages but the sample's.
+    hashed = short.select(html, F.xxhash64(html).alias("__hash"))
+    ranks = hashed.select("__hash").orderBy("__hash").limit(sample_pages).collect()
+    last = ranks[-1][0] if ranks else None
+    rows = hashed.filter(F.col("__hash") <= F.lit(last)).orderBy("__hash", html).limit(sample_pages).collect()
     rng = random.Random(4)
     sources = [r[0] for r in rows]
     words = [w for s in sources[:40] for w in main_text(s, None).split()][:20_000]
