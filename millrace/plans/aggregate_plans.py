@@ -560,14 +560,12 @@ def _(t):
     SELECT c_custkey AS uuid, coalesce(n, 0) + 1 AS num_snapshots, coalesce(last, -1) AS snapshot_uuid
     FROM customer LEFT JOIN (
       SELECT o_custkey, count(*) AS n, max_by(o_orderkey, (o_orderdate, o_orderkey)) AS last
-      FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey) ON c_custkey = o_custkey
+      FROM orders GROUP BY o_custkey) ON c_custkey = o_custkey + 10
     """,
 )
 def _(t):
     base = t.customer.selectExpr("c_custkey AS uuid", "1L AS num_snapshots", "-1L AS snapshot_uuid")
-    taken = t.orders.filter("o_orderstatus = 'F'").selectExpr(
-        "o_custkey AS uuid", "o_orderkey AS id", "o_orderdate AS ts"
-    )
+    taken = t.orders.selectExpr("o_custkey + 10 AS uuid", "o_orderkey AS id", "o_orderdate AS ts")
     return mutations.increment_counter(
         base, taken, "uuid", "num_snapshots", "snapshot_uuid", "id", "ts"
     )
@@ -594,7 +592,7 @@ def _(t):
 @plan(
     "insert_if_absent",
     """
-    WITH rules AS (SELECT 'F' AS ip, c_custkey AS port FROM customer WHERE c_mktsegment = 'BUILDING'),
+    WITH rules AS (SELECT 'F' AS ip, c_custkey + 10 AS port FROM customer),
     asked AS (SELECT o_orderstatus AS ip, o_custkey AS port, o_custkey AS source_port, o_orderkey AS seq
               FROM orders),
     free AS (SELECT * FROM asked WHERE source_port NOT IN (SELECT s_suppkey FROM supplier)
@@ -604,7 +602,7 @@ def _(t):
     """,
 )
 def _(t):
-    rules = t.customer.filter("c_mktsegment = 'BUILDING'").selectExpr("'F' AS ip", "c_custkey AS port")
+    rules = t.customer.selectExpr("'F' AS ip", "c_custkey + 10 AS port")
     asked = t.orders.selectExpr(
         "o_orderstatus AS ip", "o_custkey AS port", "o_custkey AS source_port", "o_orderkey AS seq"
     )

@@ -372,8 +372,7 @@ _STACK_LISTING = """
       'sc-' || o_custkey AS "Connectors",
       o_orderstatus AS "Status", o_orderpriority AS "Base",
       CASE WHEN c_custkey IS NULL THEN '' ELSE strftime(o_orderdate, '%m/%w/%Y (%I:%M %p)') END AS "Time"
-    FROM orders LEFT JOIN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')
-      ON c_custkey = o_custkey
+    FROM orders LEFT JOIN customer ON c_custkey + 10 = o_custkey
 """
 
 
@@ -393,7 +392,7 @@ def _(t):
         F.col("o_orderpriority").alias("base"),
         F.col("o_orderdate").alias("ts"),
     )
-    taken = t.customer.filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("snapshot_uuid"))
+    taken = t.customer.select((F.col("c_custkey") + 10).alias("snapshot_uuid"))
     return number_rows(report.stack_listing(stacks, taken), ["UUID"], "rn", unique=True)
 
 
@@ -403,7 +402,7 @@ def _(t):
     SELECT *, row_number() OVER (ORDER BY "Date", "UUID") AS rn FROM (
       SELECT 'sn-' || o_orderkey AS "UUID", c_mktsegment AS "Base",
         CASE WHEN o_orderstatus = 'P' THEN ' ' ELSE strftime(o_orderdate, '%m/%w/%Y (%I:%M %p)') END AS "Date"
-      FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment <> 'BUILDING')
+      FROM orders JOIN customer ON o_custkey = c_custkey + 10)
     """,
 )
 def _(t):
@@ -412,8 +411,8 @@ def _(t):
         F.col("o_custkey").alias("cluster_uuid"),
         F.when(F.col("o_orderstatus") != "P", F.col("o_orderdate")).alias("snapshot_ts"),
     )
-    known = t.customer.filter("c_mktsegment <> 'BUILDING'").select(
-        F.col("c_custkey").alias("uuid"), F.col("c_mktsegment").alias("base")
+    known = t.customer.select(
+        (F.col("c_custkey") + 10).alias("uuid"), F.col("c_mktsegment").alias("base")
     )
     return number_rows(report.snapshot_listing(taken, known), ["Date", "UUID"], "rn", unique=True)
 

@@ -58,7 +58,7 @@ def _(t):
 
 
 CLUSTERS_SQL = """
-    SELECT 'sa-' || o_orderkey AS uuid, o_orderpriority AS base FROM orders WHERE o_orderstatus <> 'P'
+    SELECT 'sa-' || (o_orderkey + 10) AS uuid, o_orderpriority AS base FROM orders
 """
 
 
@@ -71,8 +71,9 @@ def snapshots(t):
 
 
 def clusters(t):
-    return t.orders.filter("o_orderstatus <> 'P'").select(
-        F.concat(F.lit("sa-"), "o_orderkey").alias("uuid"), F.col("o_orderpriority").alias("base")
+    # Shifted, so that some snapshots have no cluster and some clusters no snapshot.
+    return t.orders.select(
+        F.concat(F.lit("sa-"), F.col("o_orderkey") + 10).alias("uuid"), F.col("o_orderpriority").alias("base")
     )
 
 
@@ -94,8 +95,7 @@ def _(t):
     SELECT o_orderkey AS uuid, o_custkey AS snapshot_uuid,
            CASE WHEN c_custkey IS NULL THEN ''
                 ELSE strftime(o_orderdate, '%m/%w/%Y (%I:%M %p)') END AS ts
-    FROM orders LEFT JOIN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')
-      ON c_custkey = o_custkey
+    FROM orders LEFT JOIN customer ON c_custkey + 10 = o_custkey
     """,
 )
 def _(t):
@@ -104,10 +104,8 @@ def _(t):
         F.col("o_custkey").alias("snapshot_uuid"),
         F.col("o_orderdate").alias("ts"),
     )
-    known = t.customer.filter("c_mktsegment = 'BUILDING'")
-    return joins.stacks_with_snapshot_time(
-        stacks, known.select(F.col("c_custkey").alias("snapshot_uuid"))
-    )
+    known = t.customer.select((F.col("c_custkey") + 10).alias("snapshot_uuid"))
+    return joins.stacks_with_snapshot_time(stacks, known)
 
 
 _INSTANCE = """
@@ -140,11 +138,11 @@ def _(t):
     "lookup_nation_with_default",
     """
     SELECT c_custkey, c_nationkey, coalesce(n_name, 'Unknown') AS n_name
-    FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey = 1) ON c_nationkey = n_nationkey
+    FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey + 5
     """,
 )
 def _(t):
-    nations = t.nation.filter("n_regionkey = 1").withColumnRenamed("n_nationkey", "c_nationkey")
+    nations = t.nation.select((F.col("n_nationkey") + 5).alias("c_nationkey"), "n_name")
     return joins.lookup_with_default(
         t.customer.select("c_custkey", "c_nationkey"), nations, "c_nationkey", {"n_name": "Unknown"}
     )
