@@ -14,6 +14,13 @@ judged on the input.
    share, which with the bytes before the suffixes tells for every window whether it occurs twice.
 4. Spans go back to their documents, joined by id and a hash of the text.
 
+A mark with more than ``HOT`` suffixes (a passage that many documents hold) is no group for one
+task.  Its windows are cut into blocks; the bytes that all windows of a block share make the
+mark of the block, so equal windows still meet.  Suffixes whose whole blocks are equal
+are counted, map-side first: two or more are all repeated, and one of them stands for the rest.
+If a mark then still has more than ``HOT`` different suffixes, its blocks are cut again, in the
+end to single windows, where counting decides.  No group of any size reaches one task.
+
 Cases: null texts are empty; texts below ``length`` bytes stay whole; very long texts are
 marked in segments, equal rows repeat each other and are removed; rows with null or equal ids
 are told apart by their text; an empty table gives no rows; other columns pass through, and
@@ -23,6 +30,7 @@ columns named like results are replaced.
 from __future__ import annotations
 
 import hashlib
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -38,12 +46,15 @@ from millrace.scratch import persist_table, release_table
 LENGTH = 200
 BUCKET_ROWS = 40_000  # suffixes that one merge expects
 RUN_ROWS = 40_000  # suffixes that a task sorts at a time
+HOT = 4_000  # suffixes of one mark that go to one merge; larger groups are split by content
+WIDTHS = (LENGTH, 16, 1)  # windows in a block, by round of splitting
 
 RUNS = (
     "bucket bigint, shared array<int>, sizes array<int>, rest binary, id array<bigint>, check array<int>, "
     "place array<bigint>, nearest array<int>, farthest array<int>, before binary"
 )
 SPANS = "id bigint, check int, `begin` bigint, `end` bigint"
+BLOCKS = "mark bigint, context bigint, id bigint, check int, place bigint, nearest int, farthest int"
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -148,22 +159,100 @@ def _merge(length: int):
     return spans
 
 
-def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
+def _number(content: bytes, *more: int) -> int:
+    """One 64-bit number for some bytes and numbers."""
+    packed = struct.pack(f"<{len(more)}q", *more) + content
+    return int.from_bytes(hashlib.blake2b(packed, digest_size=8).digest(), "little", signed=True)
+
+
+def _blocks(width: int, length: int):
+    """Cut the windows of suffixes into blocks of ``width``, marked by the bytes that a block's windows share."""
+    names = ["mark", "context", "id", "check", "place", "nearest", "farthest"]
+
+    def blocks(found: list) -> Iterator[tuple]:
+        for s in {(s["mark"], s["place"], s["nearest"], s["farthest"]) for s in found}:
+            mark, place, nearest, farthest = s
+            for b in range(nearest // width, farthest // width + 1):
+                begin, end = b * width, b * width + width - 1
+                yield mark, b, place, place - begin, place - end + length, max(nearest, begin), min(farthest, end)
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out: list[tuple] = []
+        for batch in batches:
+            for i, check, t, found in zip(batch["__id"], batch["__check"], batch["text"], batch["found"], strict=True):
+                data = t.encode("utf-8", "replace")
+                for mark, b, place, begin, end, low, high in blocks(found):
+                    key = _number(data[begin:end], mark, b)
+                    context = _number(data[place - high : place - low + length], low, high)
+                    out.append((key, context, i, check, place, low, high))
+                    if len(out) >= RUN_ROWS:
+                        yield pd.DataFrame(out, columns=names)
+                        out = []
+        yield pd.DataFrame(out, columns=names)
+
+    return cut
+
+
+def _by_doc(suffixes: DataFrame) -> DataFrame:
+    suffix = F.struct("mark", "place", F.col("nearest").cast("int").alias("nearest"), F.col("farthest").cast("int").alias("farthest"))
+    return suffixes.groupBy("id", "check").agg(F.collect_set(suffix).alias("found"))
+
+
+def _with_texts(keyed: DataFrame, text: str, by_doc: DataFrame) -> DataFrame:
+    texts = keyed.select("__id", "__check", F.col(text).alias("text"))
+    rows = texts.join(by_doc, (F.col("__id") == F.col("id")) & (F.col("__check") == F.col("check")))
+    return rows.select("__id", "__check", "text", "found")
+
+
+def _split(keyed: DataFrame, text: str, hot: DataFrame, length: int, most: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Split the marks of ``hot`` suffixes by content.
+
+    Gives suffixes that are left to merge, at most ``most`` of a mark, and spans known to be repeated.
+    """
+    left, known = [], []
+    for width in (min(w, length) for w in WIDTHS):
+        rows = _with_texts(keyed, text, _by_doc(hot)).mapInPandas(_blocks(width, length), BLOCKS)
+        rows = persist_table(rows, "blocks")
+        one = F.min(F.struct("id", "check", "place", "nearest", "farthest")).alias("one")
+        contexts = rows.groupBy("mark", "context", spread(["mark", "context"])).agg(F.count(F.lit(1)).alias("copies"), one)
+        contexts = persist_table(contexts.select("mark", "context", "copies", "one"), "contexts")
+        copied = rows.join(contexts.filter("copies > 1").select("mark", "context"), ["mark", "context"])
+        begin, end = F.col("place") - F.col("farthest"), F.col("place") - F.col("nearest") + length
+        known.append(copied.select("id", "check", begin.alias("begin"), end.alias("end")))
+        if width == 1:
+            break  # all suffixes of a mark are one window now
+        sizes = contexts.groupBy("mark", spread(["mark"])).agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+        unlike = contexts.join(sizes.select("mark", "size"), "mark").select("mark", "one.*", "size")
+        left.append(unlike.filter(F.col("size") <= most).drop("size"))
+        hot = unlike.filter(F.col("size") > most).drop("size")
+        if hot.isEmpty():
+            break
+    return left, known
+
+
+def repeated_spans(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, most: int = HOT
+) -> DataFrame:
     """``id, check, begin, end``: byte spans covered by repeated windows (they may touch or overlap)."""
     keyed = _keyed(docs.select(doc_id, text), doc_id, text)
     every = persist_table(marks(keyed, text, length), "marks")
-    twice = every.select("mark", spread(["mark"])).groupBy("mark", "__spread").count().filter("count > 1")
-    shared = every.join(twice.select("mark"), "mark")
-    suffix = F.struct("mark", "place", "nearest", "farthest")
-    by_doc = persist_table(shared.groupBy("id", "check").agg(F.collect_set(suffix).alias("found")), "suffixes")
+    twice = every.select("mark", spread(["mark"])).groupBy("mark", "__spread").agg(F.count(F.lit(1)).alias("rows"))
+    twice = persist_table(twice.filter("rows > 1").select("mark", "rows"), "counts")
+    by_doc = persist_table(_by_doc(every.join(twice.filter(F.col("rows") <= most), "mark")), "suffixes")
+    hot = persist_table(every.join(twice.filter(F.col("rows") > most), "mark").drop("rows"), "hot")
     release_table(every)
+    known: list[DataFrame] = []
+    if not hot.isEmpty():
+        left, known = _split(keyed, text, hot, length, most)
+        for rows in left:
+            by_doc = by_doc.unionByName(persist_table(_by_doc(rows), "suffixes"))
     total = by_doc.agg(F.sum(F.size("found"))).first()[0] or 0
     buckets = -(-total // BUCKET_ROWS) or 1
-    texts = keyed.select("__id", "__check", F.col(text).alias("text")).join(
-        by_doc, (F.col("__id") == F.col("id")) & (F.col("__check") == F.col("check"))
-    )
-    runs = texts.select("__id", "__check", "text", "found").mapInPandas(_runs(buckets, length), RUNS)
-    return runs.groupBy("bucket").applyInPandas(_merge(length), SPANS)
+    runs = _with_texts(keyed, text, by_doc).mapInPandas(_runs(buckets, length), RUNS)
+    spans = runs.groupBy("bucket").applyInPandas(_merge(length), SPANS)
+    for more in known:
+        spans = spans.unionByName(more)
+    return spans
 
 
 def merge_spans(spans) -> list[tuple[int, int]]:
@@ -178,7 +267,12 @@ def merge_spans(spans) -> list[tuple[int, int]]:
 
 
 def remove_repeats(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, keep_text: bool = True
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    length: int = LENGTH,
+    keep_text: bool = True,
+    most: int = HOT,
 ) -> DataFrame:
     """Add ``n_bytes, n_removed, n_spans, kept_sha256``, and ``kept_text`` unless it is not wanted.
 
@@ -203,7 +297,7 @@ def remove_repeats(
                 out.append((*row, rest.decode("utf-8", "ignore")) if keep_text else row)
             yield pd.DataFrame(out, columns=names)
 
-    spans = repeated_spans(docs, doc_id, text, length)
+    spans = repeated_spans(docs, doc_id, text, length, most)
     spans = spans.groupBy("id", "check").agg(F.collect_set(F.struct("begin", "end")).alias("__spans"))
     rows = _keyed(docs, doc_id, text).join(
         spans.withColumnsRenamed({"id": "__id", "check": "__check"}), ["__id", "__check"], "left"

@@ -121,7 +121,9 @@ def brute_repeats(texts, length):
     return out
 
 
-def test_repeats_against_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("most", [suffix_dedup.HOT, 1, 2, 5, 12])
+def test_repeats_against_brute_force(spark, monkeypatch, most):
+    """``most`` decides from which group size on marks are split by content."""
     monkeypatch.setattr(suffix_dedup, "RUN_ROWS", 20)
     monkeypatch.setattr(suffix_dedup, "BUCKET_ROWS", 30)
     rng = random.Random(6)
@@ -134,12 +136,33 @@ def test_repeats_against_brute_force(spark, monkeypatch):
     ids = [*range(len(texts) - 3), None, None, 4]
     rows = [(i, t, "own") for i, t in zip(ids, texts, strict=True)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, n_spans string")
-    got = suffix_dedup.remove_repeats(df).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    got = suffix_dedup.remove_repeats(df, most=most).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     expected = [(i, *r) for i, r in zip(ids, brute_repeats(texts, 200), strict=True)]
     assert Counter(map(tuple, got.collect())) == Counter(expected)
     assert suffix_dedup.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_no_merge_gets_a_hot_mark(spark):
+    """One passage in all documents, inside unlike texts, exactly copied texts besides."""
+    rng = random.Random(8)
+    said = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    passage, copy = said(230), said(900)
+    texts = [said(250) + passage + said(250) for _ in range(60)] + [copy] * 40
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    keyed = suffix_dedup._keyed(df, "doc_id", "text")
+    found = suffix_dedup.marks(keyed, "text", 200)
+    hot = found.join(found.groupBy("mark").count().filter("count > 10").select("mark"), "mark")
+    assert hot.count() > 60
+    left, known = suffix_dedup._split(keyed, "text", hot, 200, 10)
+    for rows in left:
+        sizes = rows.groupBy("mark").count().agg(F.max("count")).first()[0]
+        assert sizes is None or sizes <= 10
+    assert sum(k.count() for k in known) > 60
+    got = suffix_dedup.remove_repeats(df, most=10).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    expected = [(i, *r) for i, r in enumerate(brute_repeats(texts, 200))]
+    assert sorted(map(tuple, got.collect())) == expected
+
+
 def test_merge_of_front_coded_runs():
     rng = random.Random(9)
     for _ in range(200):
