@@ -14,12 +14,14 @@ judged on the input.
    share, which with the bytes before the suffixes tells for every window whether it occurs twice.
 4. Spans go back to their documents, joined by id and a hash of the text.
 
-A mark with more than ``HOT`` suffixes (a passage that many documents hold) is no group for one
-task.  Its windows are cut into blocks; the bytes that all windows of a block share make the
-mark of the block, so equal windows still meet.  Suffixes whose whole blocks are equal
-are counted, map-side first: two or more are all repeated, and one of them stands for the rest.
-If a mark then still has more than ``HOT`` different suffixes, its blocks are cut again, in the
-end to single windows, where counting decides.  No group of any size reaches one task.
+Passages that many documents share must not meet in one task:
+
+* Suffixes with equal contexts (all bytes of their windows) are counted, map-side first.  Two or
+  more are all repeated; one of them stands for the rest in the sort.
+* A mark that still has more than ``HOT`` suffixes is split: its windows are cut into blocks, and
+  the bytes that all windows of a block share make the mark of the block, so equal windows still
+  meet.  Equal blocks are counted as above, and what stays hot is cut again, in the end
+  to single windows, where counting decides.
 
 Cases: null texts are empty; texts below ``length`` bytes stay whole; very long texts are
 marked in segments, equal rows repeat each other and are removed; rows with null or equal ids
@@ -46,8 +48,8 @@ from millrace.scratch import persist_table, release_table
 LENGTH = 200
 BUCKET_ROWS = 40_000  # suffixes that one merge expects
 RUN_ROWS = 40_000  # suffixes that a task sorts at a time
-HOT = 4_000  # suffixes of one mark that go to one merge; larger groups are split by content
-WIDTHS = (LENGTH, 16, 1)  # windows in a block, by round of splitting
+HOT = BUCKET_ROWS  # suffixes of one mark that go to one merge; larger groups are split by content
+WIDTHS = (16, 1)  # windows in a block, by round of splitting
 
 RUNS = (
     "bucket bigint, shared array<int>, sizes array<int>, rest binary, id array<bigint>, check array<int>, "
@@ -65,23 +67,21 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def marks(docs: DataFrame, text: str, length: int) -> DataFrame:
-    """``mark, id, check, place, nearest, farthest`` of the suffixes that stand for all windows."""
+    """The suffixes that stand for all windows, as in ``BLOCKS``."""
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for i, check, t in zip(batch["__id"], batch["__check"], batch["text"], strict=True):
-                mark, place, first, last = marked_suffixes((t or "").encode("utf-8", "replace"), length)
-                if len(mark):
-                    out.append((mark, np.full(len(mark), i), np.full(len(mark), check), place, place - last, place - first))
-            columns = zip(*out, strict=True) if out else [[np.zeros(0, np.int64)]] * 6
-            names = ["mark", "id", "check", "place", "nearest", "farthest"]
+                mark, place, first, last, context = marked_suffixes((t or "").encode("utf-8", "replace"), length)
+                if n := len(mark):
+                    out.append((mark, context, np.full(n, i), np.full(n, check), place, place - last, place - first))
+            columns = zip(*out, strict=True) if out else [[np.zeros(0, np.int64)]] * 7
+            names = ["mark", "context", "id", "check", "place", "nearest", "farthest"]
             yield pd.DataFrame({n: np.concatenate(list(c)) for n, c in zip(names, columns, strict=True)})
 
     rows = docs.select("__id", "__check", F.col(text).alias("text")).filter(F.octet_length("text") >= length)
-    return rows.mapInPandas(
-        find, "mark bigint, id bigint, check int, place bigint, nearest short, farthest short"
-    )
+    return rows.mapInPandas(find, BLOCKS)
 
 
 def _runs(buckets: int, length: int):
@@ -194,7 +194,7 @@ def _blocks(width: int, length: int):
 
 
 def _by_doc(suffixes: DataFrame) -> DataFrame:
-    suffix = F.struct("mark", "place", F.col("nearest").cast("int").alias("nearest"), F.col("farthest").cast("int").alias("farthest"))
+    suffix = F.struct("mark", "place", "nearest", "farthest")
     return suffixes.groupBy("id", "check").agg(F.collect_set(suffix).alias("found"))
 
 
@@ -204,30 +204,39 @@ def _with_texts(keyed: DataFrame, text: str, by_doc: DataFrame) -> DataFrame:
     return rows.select("__id", "__check", "text", "found")
 
 
-def _split(keyed: DataFrame, text: str, hot: DataFrame, length: int, most: int) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Split the marks of ``hot`` suffixes by content.
+def _unlike(rows: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """Spans of the suffixes with equal contexts, and one suffix of each context.
 
-    Gives suffixes that are left to merge, at most ``most`` of a mark, and spans known to be repeated.
+    The suffixes come with ``size``, how many their mark has left; one alone is left out.
     """
-    left, known = [], []
-    for width in (min(w, length) for w in WIDTHS):
-        rows = _with_texts(keyed, text, _by_doc(hot)).mapInPandas(_blocks(width, length), BLOCKS)
-        rows = persist_table(rows, "blocks")
-        one = F.min(F.struct("id", "check", "place", "nearest", "farthest")).alias("one")
-        contexts = rows.groupBy("mark", "context", spread(["mark", "context"])).agg(F.count(F.lit(1)).alias("copies"), one)
-        contexts = persist_table(contexts.select("mark", "context", "copies", "one"), "contexts")
-        copied = rows.join(contexts.filter("copies > 1").select("mark", "context"), ["mark", "context"])
-        begin, end = F.col("place") - F.col("farthest"), F.col("place") - F.col("nearest") + length
-        known.append(copied.select("id", "check", begin.alias("begin"), end.alias("end")))
-        if width == 1:
-            break  # all suffixes of a mark are one window now
-        sizes = contexts.groupBy("mark", spread(["mark"])).agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-        unlike = contexts.join(sizes.select("mark", "size"), "mark").select("mark", "one.*", "size")
-        left.append(unlike.filter(F.col("size") <= most).drop("size"))
+    one = F.min(F.struct("id", "check", "place", "nearest", "farthest")).alias("one")
+    contexts = rows.groupBy("mark", "context", spread(["mark", "context"])).agg(F.count(F.lit(1)).alias("copies"), one)
+    contexts = persist_table(contexts.select("mark", "context", "copies", "one"), "contexts")
+    copied = rows.join(contexts.filter("copies > 1").select("mark", "context"), ["mark", "context"])
+    begin, end = F.col("place") - F.col("farthest"), F.col("place") - F.col("nearest") + length
+    sizes = contexts.groupBy("mark", spread(["mark"])).agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    unlike = contexts.join(sizes.select("mark", "size"), "mark").select("mark", "one.*", "size")
+    return copied.select("id", "check", begin.alias("begin"), end.alias("end")), unlike
+
+
+def unlike_suffixes(keyed: DataFrame, text: str, length: int, most: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Suffixes to merge, at most ``most`` of a mark, and spans that are known to be repeated."""
+    every = persist_table(marks(keyed, text, length), "marks")
+    twice = every.select("mark", spread(["mark"])).groupBy("mark", "__spread").count().filter("count > 1")
+    shared = persist_table(every.join(twice.select("mark"), "mark"), "shared")
+    release_table(every)
+    known, unlike = _unlike(shared, length)
+    spans, left = [known], [unlike.filter(F.col("size") <= most).drop("size")]
+    for width in WIDTHS:
         hot = unlike.filter(F.col("size") > most).drop("size")
         if hot.isEmpty():
             break
-    return left, known
+        blocks = _with_texts(keyed, text, _by_doc(hot)).mapInPandas(_blocks(min(width, length), length), BLOCKS)
+        known, unlike = _unlike(persist_table(blocks, "blocks"), length)
+        spans.append(known)
+        if width > 1:  # else all suffixes of a mark are one window
+            left.append(unlike.filter(F.col("size") <= most).drop("size"))
+    return left, spans
 
 
 def repeated_spans(
@@ -235,17 +244,11 @@ def repeated_spans(
 ) -> DataFrame:
     """``id, check, begin, end``: byte spans covered by repeated windows (they may touch or overlap)."""
     keyed = _keyed(docs.select(doc_id, text), doc_id, text)
-    every = persist_table(marks(keyed, text, length), "marks")
-    twice = every.select("mark", spread(["mark"])).groupBy("mark", "__spread").agg(F.count(F.lit(1)).alias("rows"))
-    twice = persist_table(twice.filter("rows > 1").select("mark", "rows"), "counts")
-    by_doc = persist_table(_by_doc(every.join(twice.filter(F.col("rows") <= most), "mark")), "suffixes")
-    hot = persist_table(every.join(twice.filter(F.col("rows") > most), "mark").drop("rows"), "hot")
-    release_table(every)
-    known: list[DataFrame] = []
-    if not hot.isEmpty():
-        left, known = _split(keyed, text, hot, length, most)
-        for rows in left:
-            by_doc = by_doc.unionByName(persist_table(_by_doc(rows), "suffixes"))
+    left, known = unlike_suffixes(keyed, text, length, most)
+    suffixes = left[0]
+    for rows in left[1:]:
+        suffixes = suffixes.unionByName(rows)
+    by_doc = persist_table(_by_doc(suffixes), "suffixes")
     total = by_doc.agg(F.sum(F.size("found"))).first()[0] or 0
     buckets = -(-total // BUCKET_ROWS) or 1
     runs = _with_texts(keyed, text, by_doc).mapInPandas(_runs(buckets, length), RUNS)

@@ -12,13 +12,18 @@ GRAM = 48  # bytes that mark a suffix
 SEGMENT = 1 << 18  # windows looked at in one go
 
 
-def _rolling(part: np.ndarray, gram: int) -> np.ndarray:
-    """A number for each ``gram`` bytes of ``part``."""
-    powers, inverse = power_tables(len(part) + 1)
+def _sums(part: np.ndarray) -> np.ndarray:
+    """Prefix sums from which a number for any run of bytes of ``part`` follows."""
+    powers, _ = power_tables(len(part) + 1)
     sums = np.zeros(len(part) + 1, np.uint64)
     np.cumsum((part.astype(np.uint64) + np.uint64(1)) * powers[: len(part)], out=sums[1:])
-    count = len(part) - gram + 1
-    return mix((sums[gram:] - sums[:count]) * inverse[:count])
+    return sums
+
+
+def _numbers(sums: np.ndarray, begin: np.ndarray | slice, end: np.ndarray | slice) -> np.ndarray:
+    """A number for the bytes of each run from ``begin`` to ``end``."""
+    _, inverse = power_tables(len(sums))
+    return mix((sums[end] - sums[begin]) * inverse[: len(sums)][begin])
 
 
 def _smallest(values: np.ndarray, width: int) -> np.ndarray:
@@ -32,27 +37,31 @@ def _smallest(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def marked_suffixes(data: bytes, length: int, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """``mark, place, first, last``: suffixes that stand for all windows of ``length`` bytes.
+    """``mark, place, first, last, context``: suffixes that stand for all windows of ``length`` bytes.
 
     Each window is represented by the suffix at its gram with the smallest number.  Equal
     windows choose alike, so a window can only be repeated if the mark of its suffix is;
     neighbouring windows mostly share a suffix.  ``first`` to ``last`` are the starts of
-    the windows that the suffix at ``place`` represents.
+    the windows that the suffix at ``place`` represents, and ``context`` is a number for all
+    bytes of these windows and the place of the suffix in them.
     """
     flat = np.frombuffer(data, np.uint8)
     width = length - gram + 1
     found = []
     for begin in range(0, len(flat) - length + 1, SEGMENT):
         part = flat[begin : begin + SEGMENT + length - 1]
-        numbers = _rolling(part, gram)
+        sums = _sums(part)
+        numbers = _numbers(sums, slice(0, len(part) - gram + 1), slice(gram, None))
         packed = (numbers & ~np.uint64((1 << 20) - 1)) | np.arange(len(numbers), dtype=np.uint64)
         place = (_smallest(packed, width) & np.uint64((1 << 20) - 1)).astype(np.int64)
         first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
         last = np.r_[first[1:], len(place)] - 1
         at = place[first]
-        found.append((numbers[at].view(np.int64), at + begin, first + begin, last + begin))
+        inside = ((at - first) << 32 | (last - first)).astype(np.uint64)
+        context = mix(_numbers(sums, first, last + length) + mix(inside)).view(np.int64)
+        found.append((numbers[at].view(np.int64), at + begin, first + begin, last + begin, context))
     if not found:
-        return tuple(np.zeros(0, np.int64) for _ in range(4))
+        return tuple(np.zeros(0, np.int64) for _ in range(5))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 

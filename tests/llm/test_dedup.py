@@ -150,10 +150,8 @@ def test_no_merge_gets_a_hot_mark(spark):
     texts = [said(250) + passage + said(250) for _ in range(60)] + [copy] * 40
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     keyed = suffix_dedup._keyed(df, "doc_id", "text")
-    found = suffix_dedup.marks(keyed, "text", 200)
-    hot = found.join(found.groupBy("mark").count().filter("count > 10").select("mark"), "mark")
-    assert hot.count() > 60
-    left, known = suffix_dedup._split(keyed, "text", hot, 200, 10)
+    left, known = suffix_dedup.unlike_suffixes(keyed, "text", 200, 10)
+    assert len(left) > 1
     for rows in left:
         sizes = rows.groupBy("mark").count().agg(F.max("count")).first()[0]
         assert sizes is None or sizes <= 10
@@ -184,7 +182,7 @@ def test_equal_windows_choose_alike(monkeypatch):
         monkeypatch.setattr(suffixes, "SEGMENT", segment)
         data = bytes(rng.choices(b"abc", k=3000))
         chosen = {}
-        for _, place, first, last in zip(*suffixes.marked_suffixes(data + data, 200), strict=True):
+        for _, place, first, last, _ in zip(*suffixes.marked_suffixes(data + data, 200), strict=True):
             for i in range(first, last + 1):
                 assert chosen.setdefault(int(i), int(place - i)) == place - i
         assert sorted(chosen) == list(range(len(data) * 2 - 199))
