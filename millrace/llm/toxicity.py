@@ -6,9 +6,11 @@ over the probabilities of the categories before it.  While fitting, those earlie
 probabilities are out of fold: a row gets them from models that have not seen it, so later
 models learn how far the earlier ones can be trusted.
 
-As the models are linear and see each distinct word once, a text's score is a sum of
-one number per distinct word, which workers cache.  Fitting uses a bounded sample on the
-driver; scoring runs inside the map tasks over whole texts, without a shuffle.
+A feature counts the distinct words that have it, up to ``MOST``, in fitting and in scoring.
+Workers cache the features of a word; the counts belong to a text, as the limit makes them more
+than a sum over words.  Fitting uses a bounded sample of rows, whole texts of it; the driver gets
+the counts of features of at least ``MIN_ROWS`` rows, as no others can be chosen.  Scoring runs
+inside the map tasks over whole texts, without a shuffle.
 
 Cases: null and empty texts have no words and get the models' base rates; very long texts
 are read whole; equal texts get equal scores; an empty table gives no rows; a category
@@ -29,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.labels import labelled_sample
+from millrace.scratch import persist_table, release_table
 
 # Words whose presence in a toxic row marks it as an example of a category.
 INSULT = ("idiot", "moron", "loser", "clown", "scum")
@@ -39,8 +42,8 @@ BEGINNINGS = (4, 5, 6, 7)
 FOLDS = 4
 FEATURES = 1200
 MIN_ROWS = 3
+MOST = 3  # what a feature counts at most in a text
 CACHE_ENTRIES = 300_000
-FIT_WORDS = 20_000  # distinct words that one row of the sample may bring to the driver
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -75,7 +78,7 @@ class Sample:
         place = {f: i for i, f in enumerate(self.names)}
         self.cells = [
             (np.array([place[f] for f in row if f in place], np.int64),
-             np.array([min(n, 3) for f, n in row.items() if f in place], np.float32))
+             np.array([min(n, MOST) for f, n in row.items() if f in place], np.float32))
             for row in rows
         ]
 
@@ -161,35 +164,51 @@ def fit_model(
 ) -> list[Linear]:
     """Learn the chain from a bounded sample of the labelled rows that are not held out."""
 
+    lists = [set(list_) for _, list_ in categories]
+
     @F.pandas_udf("array<string>")
-    def listed(texts: pd.Series) -> pd.Series:
-        return pd.Series([sorted(distinct_words(t))[:FIT_WORDS] for t in texts])
+    def named(texts: pd.Series) -> pd.Series:
+        return pd.Series([list(counts_of(distinct_words(t))) for t in texts])
 
     sample = labelled_sample(docs.select(doc_id, text), labels, label, rows_per_class, doc_id)
-    rows = sample.select(doc_id, "__label", listed(F.col(text)).alias("w")).collect()
+    sample = persist_table(sample, "sample")
+    common = sample.select(F.explode(named(F.col(text))).alias("f")).groupBy("f").count().filter(F.col("count") >= MIN_ROWS)
+    shared = docs.sparkSession.sparkContext.broadcast({r["f"] for r in common.select("f").collect()})
+
+    @F.pandas_udf("names array<string>, counts array<int>, listed array<boolean>")
+    def counted(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for t in texts:
+            words = distinct_words(t)
+            found = sorted((f, min(n, MOST)) for f, n in counts_of(words).items() if f in shared.value)
+            out.append(([f for f, _ in found], [n for _, n in found], [bool(words & list_) for list_ in lists]))
+        return pd.DataFrame(out, columns=["names", "counts", "listed"])
+
+    rows = sample.select(doc_id, "__label", counted(F.col(text)).alias("w")).select(doc_id, "__label", "w.*").collect()
+    release_table(sample)
     rows.sort(key=lambda r: r[doc_id])
-    words = [set(r["w"]) for r in rows]
-    known = np.array([r["__label"] for r in rows], np.float32)
     marks = np.array(
-        [[y if not list_ or w & set(list_) else 0.0 for _, list_ in categories] for w, y in zip(words, known, strict=True)],
+        [[r["__label"] if not list_ or here else 0.0 for list_, here in zip(lists, r["listed"], strict=True)] for r in rows],
         np.float32,
     ).reshape(len(rows), len(categories))
     if not len(rows):
         return [Linear({}, [0.0] * k, 0.0) for k in range(len(categories))]
-    return fit_chain([counts_of(w) for w in words], marks)
+    return fit_chain([Counter(dict(zip(r["names"], r["counts"], strict=True))) for r in rows], marks)
 
 
 class Chain:
-    """Scores texts in one Python worker; what a word adds to each category is cached."""
+    """Scores texts in one Python worker; the features of a word that have weights are cached."""
 
     def __init__(self, chain: list[Linear]):
         self.chain, self.words = chain, {}
+        names = sorted({f for m in chain for f in m.weights})
+        self.place = {f: i for i, f in enumerate(names)}
+        self.weights = np.array([[m.weights.get(f, 0.0) for m in chain] for f in names]).reshape(len(names), len(chain))
 
-    def word(self, word: str) -> tuple[float, ...]:
+    def word(self, word: str) -> list[int]:
         found = self.words.get(word)
         if found is None:
-            names = features_of(word)
-            found = tuple(sum(m.weights.get(f, 0.0) for f in names) for m in self.chain)
+            found = [self.place[f] for f in features_of(word) if f in self.place]
             if len(self.words) >= CACHE_ENTRIES:
                 self.words.clear()
             self.words[word] = found
@@ -197,10 +216,11 @@ class Chain:
 
     def score(self, text: str | None) -> list[float]:
         sums = [m.base for m in self.chain]
-        if text:
-            for added in map(self.word, distinct_words(text)):
-                if any(added):
-                    sums = [s + a for s, a in zip(sums, added, strict=True)]
+        seen = [f for found in map(self.word, distinct_words(text)) for f in found]
+        if seen:
+            counts = np.bincount(seen)
+            here = np.flatnonzero(counts)
+            sums = sums + np.minimum(counts[here], MOST) @ self.weights[here]
         out: list[float] = []
         for z, model in zip(sums, self.chain, strict=True):
             z += sum(w * p for w, p in zip(model.before, out, strict=True))

@@ -113,6 +113,35 @@ def test_models_on_odd_rows(spark):
     assert len(chain[2].before) == 2
 
 
+def test_toxicity_of_long_texts_scores_as_fitted():
+    many = "you idiot " + " ".join(f"idio{i:05d}".translate(str.maketrans("0123456789", "abcdefghij")) for i in range(5000))
+    texts = ["you idiot here", "nice day here", many, "good one " + many[10:]] * 5
+    seen = [toxicity.counts_of(toxicity.distinct_words(t)) for t in texts]
+    marks = np.array([[1, 1], [0, 0], [1, 1], [0, 0]] * 5, np.float32)
+    chain = toxicity.fit_chain(seen, marks)
+    sample, every = toxicity.Sample(seen), np.arange(len(seen))
+    before = np.zeros((len(seen), 0), np.float32)
+    for k, model in enumerate(chain):
+        features = np.arange(len(sample.names))
+        fitted = toxicity._scores(model, sample, every, features, before)
+        scored = [toxicity.Chain(chain).score(t)[k] for t in texts]
+        assert scored == pytest.approx(list(fitted), abs=1e-4)
+        before = np.column_stack([before, fitted])
+    assert any(w and f.startswith("idio") for m in chain for f, w in m.weights.items())
+
+
+def test_toxicity_learns_from_every_word(spark):
+    """The telling words come last in the alphabet, behind more words than any limit let through."""
+    filler = " ".join("a" + f"{i:05d}".translate(str.maketrans("0123456789", "abcdefghij")) for i in range(21_000))
+    docs = [(i, f"{filler} {'worthless zzz' if i % 2 else 'weather'}") for i in range(16)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(16)], "doc_id bigint, toxic int")
+    chain = toxicity.fit_model(df, labels)
+    assert chain[1].weights.get("=worthless", 0) > 0 and chain[2].weights.get("=zzz", 0) > 0
+    rows = toxicity.score(df, chain).collect()
+    assert all((r.p_toxic > 0.5) == (r.p_contempt > 0.5) == bool(r.doc_id % 2) for r in rows)
+
+
 def test_tokens_are_those_of_the_library(spark, sf_dir):
     import public_tokenizers
     from tokenizers import Tokenizer
