@@ -14,7 +14,8 @@ are under the mask, marks never are.
 
 Cases: a null or malformed record and one in an unknown layout have a null ``layout`` and
 no turns; a null text or role is empty; empty lists give no turns; other columns of the
-input pass through, a column named like a result is replaced; an empty table gives no rows.
+input pass through, a column named like a result is replaced; an empty table gives no rows;
+strings of a record may have any length that Java holds (2^31 - 1 characters).
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TURNS = "array<struct<role:string,text:string>>"
+#: The parser's default would give nulls for records with a string of more than 20,000,000 characters.
+WHOLE = {"maxStringLen": str(2**31 - 1)}
 
 
 @dataclass(frozen=True)
@@ -166,7 +169,7 @@ def canonical_turns(
 ) -> DataFrame:
     """Add ``fingerprint``, ``layout`` and ``turns`` to records with a JSON column."""
     record = F.col(payload)
-    rows = records.withColumn("__parsed", F.from_json(record, _schema(layouts)))
+    rows = records.withColumn("__parsed", F.from_json(record, _schema(layouts), WHOLE))
     parsed = F.col("__parsed")
     rows = rows.withColumn("fingerprint", _digest(field_paths(record, parsed, layouts, ignored)))
     name, turns = F.lit(None).cast("string"), F.array().cast(TURNS)

@@ -161,3 +161,21 @@ def test_conversations_become_records(spark):
     assert len({r.layout for r in out.collect()}) == 3
     assert chat.turns_to_records(df.limit(0)).count() == 0
     assert hashlib.sha256(b"").hexdigest() == out.limit(1).select(F.sha2(F.lit(""), 256)).first()[0]
+
+
+@pytest.mark.parametrize("others", [1, 2])
+def test_turns_above_the_parsers_default_length(spark, others):
+    """One turn above 20,000,000 characters, as a prompt with its response and in a list."""
+    n = 20_000_100
+    rows = spark.range(others + 1).select(
+        F.lit(1).cast("bigint").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"),
+        F.when(F.col("id") == 0, F.repeat(F.lit("x"), n)).otherwise("short").alias("text"),
+    )
+    out = chat.format_chats(chat.turns_to_records(rows)).select(
+        "layout", F.transform("turns", lambda t: F.length(t["text"])).alias("n"), F.length("formatted").alias("all")
+    )
+    row = out.first()
+    assert row.layout == ("prompt_response" if others == 1 else "conversations")
+    assert row.n == [n] + [5] * others and row["all"] > n
