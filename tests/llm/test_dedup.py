@@ -226,3 +226,24 @@ def test_pipeline_of_nothing(spark, sf_dir):
     docs = load(spark, sf_dir, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES[2:]:
         assert stage(spark, docs, sf_dir).count() == 0
+
+
+def said_words(seed):
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choices("abcdefghijkl", k=6)) for _ in range(60))
+
+
+def test_repeated_rows_leave_one(spark):
+    """A repeated row, null-id copies and a null id alone: one of each stays, with its whole text."""
+    from millrace.scratch import persist_table
+
+    a, b, c, d = (said_words(s) for s in range(4))
+    rows = [(1, a), (1, a), (2, b), (None, b), (None, c), (None, c), (3, d), (3, None), (3, None), (None, "")]
+    df = spark.createDataFrame([(*r, "en", "s", 400) for r in rows], SCHEMA)
+    kept = jaccard.one_of_each(df)
+    assert kept.columns == df.columns
+    left = Counter((r.doc_id, r.text) for r in kept.collect())
+    assert left == Counter([(1, a), (2, b), (None, c), (3, d), (3, None), (3, None), (None, "")])
+    unlike = persist_table(corpus_pipeline.near_duplicates(spark, df, ""), "near")
+    out = corpus_pipeline.repeated_passages(spark, unlike, "")
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == left
