@@ -247,3 +247,16 @@ def test_repeated_rows_leave_one(spark):
     unlike = persist_table(corpus_pipeline.near_duplicates(spark, df, ""), "near")
     out = corpus_pipeline.repeated_passages(spark, unlike, "")
     assert Counter((r.doc_id, r.text) for r in out.collect()) == left
+
+
+def test_equal_ids_with_unlike_texts(spark):
+    """Rows of one id with unlike texts, against brute force; only the copies of a removed one go."""
+    texts = texts_for_join()
+    ids = [i % 7 if i < 110 else i for i in range(len(texts))]
+    df = spark.createDataFrame([(i, t, "n", "x") for i, t in zip(ids, texts, strict=True)], "doc_id bigint, text string, cls string, n string")
+    expected = brute_components(ids, texts)
+    assert Counter(map(tuple, jaccard.near_duplicates(df).collect())) == Counter(expected)
+    a, b, c = (said_words(s) for s in range(3))
+    df = spark.createDataFrame([(5, a), (4, a), (5, b), (5, c), (6, c)], "doc_id bigint, text string")
+    left = sorted(map(tuple, jaccard.one_of_each(df).collect()))
+    assert left == sorted([(4, a), (5, b), (5, c)])
