@@ -16,6 +16,7 @@ from millrace.llm import (
     suffix_dedup,
     token_counts,
     toxicity,
+    turn_repair,
 )
 from millrace.llm.labels import is_held_out
 from millrace.tables import load
@@ -211,3 +212,122 @@ def remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     found = suffix_dedup.remove_repeats(docs, keep_text=False)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def _letters(v: str, cost: int, letter: str, line: str = "''") -> str:
+    """SQL for a derivation ``v`` (cost, audit, chr(1), repaired lines) with one more edit."""
+    return (
+        f"CASE WHEN {v} IS NOT NULL THEN printf('%012d', substr({v}, 1, 12)::BIGINT + {cost})"
+        f" || substr({v}, 13, strpos({v}, chr(1)) - 13) || '{letter}' || substr({v}, strpos({v}, chr(1))) || {line} END"
+    )
+
+
+def _steps(letter: str, froms: str) -> str:
+    """SQL for the lightest way to read a row that may stay as ``letter``."""
+    role = {"u": "user", "a": "assistant"}[letter]
+    ways = []
+    for v in froms.split():
+        kept, new = "chr(2) || role || ':' || text", f"chr(2) || '{role}:' || text"
+        for extra, when in ((0, "NOT truncated"), (5, "truncated")):
+            ways.append(f"CASE WHEN NOT gone AND {when} AND initial = '{letter}' THEN {_letters(v, extra, 'K', kept)} END")
+            ways.append(f"CASE WHEN NOT gone AND {when} AND initial <> '{letter}' THEN {_letters(v, extra + 1, 'R', new)} END")
+    return ", ".join(ways)
+
+
+def _inserted(v: str, role: str) -> str:
+    return _letters(v, 5, "I", f"chr(2) || '{role}:'")
+
+
+#: The same states from left to right, a row of every conversation at a time.
+REPAIR_SQL = rf"""
+WITH RECURSIVE crcs AS (
+  SELECT list(list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384)) ORDER BY b) AS t
+  FROM (SELECT unnest(range(256)) AS b)),
+hashed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce(list_prepend(4294967295, list_transform(
+               string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ord(c)::BIGINT)),
+             lambda x, y: xor(x >> 8, t[(xor(x, y) & 255) + 1])), 4294967295) % 20 AS h
+  FROM conversations, crcs),
+damaged AS (
+  SELECT conv_id, turn, CASE h WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE h WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM hashed WHERE h <> 0),
+ordered AS (
+  SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i
+  FROM damaged),
+judged AS (
+  SELECT *, substr(role, 1, 1) AS initial, NOT regexp_matches(text, '[^ 	-]') AS blank,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+         NOT regexp_matches(text, '[.!?][ 	-]*\z') AS unended,
+         lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS previous
+  FROM ordered),
+turns AS (
+  SELECT *, blank OR again AS gone, NOT blank AND NOT again AND unended AS truncated,
+         i > 1 AND previous || initial NOT IN ('su', 'ua', 'au') AS illegal
+  FROM judged),
+faults AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count_if(blank)::BIGINT AS blank,
+         count_if(again AND NOT blank)::BIGINT AS duplicate, count_if(truncated)::BIGINT AS truncated,
+         count_if(illegal)::BIGINT AS illegal, max(i) AS n
+  FROM turns GROUP BY conv_id),
+ways AS (
+  SELECT conv_id, 0::BIGINT AS i, v0, NULL::VARCHAR AS v1, v2, {_inserted("v2", "assistant")} AS v3
+  FROM (SELECT conv_id, v0, {_inserted("v0", "user")} AS v2 FROM (SELECT conv_id, '000000000000' || chr(1) AS v0 FROM faults))
+  UNION ALL
+  SELECT conv_id, i, v0, v1, v2, least(v3, {_inserted("v2", "assistant")}) AS v3
+  FROM (
+    SELECT conv_id, i, v0, v1, v3, least(v2, {_inserted("v0", "user")}, {_inserted("v1", "user")}, {_inserted("v3", "user")}) AS v2
+    FROM (
+      SELECT w.conv_id, t.i, {_letters("v0", 2, "D")} AS v0,
+             least({_letters("v1", 2, "D")},
+                   CASE WHEN NOT gone AND initial = 's' THEN CASE WHEN truncated THEN {_letters("v0", 5, "K", "chr(2) || role || ':' || text")}
+                        ELSE {_letters("v0", 0, "K", "chr(2) || role || ':' || text")} END END) AS v1,
+             least({_letters("v2", 2, "D")}, {_steps("u", "v0 v1 v3")}) AS v2,
+             least({_letters("v3", 2, "D")}, {_steps("a", "v2")}) AS v3
+      FROM ways w JOIN turns t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.i = w.i + 1))),
+best AS (
+  SELECT f.*, least(w.v0, w.v3) AS v FROM faults f JOIN ways w ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.n = w.i)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(substr(v, 1, 12)::BIGINT, 0) AS cost,
+       coalesce(substr(v, 13, strpos(v, chr(1)) - 13), '') AS audit,
+       sha256(coalesce(replace(substr(v, strpos(v, chr(1)) + 2), chr(2), chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN best b ON a.conv_id IS NOT DISTINCT FROM b.conv_id"""
+
+
+def damage_turns(rows: DataFrame) -> DataFrame:
+    """Drop, empty, cut, repeat or rename turns by the hash of their conversation and number."""
+    space = F.lit(" ")
+    name = F.concat(
+        F.coalesce(F.col("conv_id").cast("string"), space), F.lit(":"), F.coalesce(F.col("turn").cast("string"), space)
+    )
+    fate, said = F.crc32(name) % 20, F.coalesce("text", space)
+    text = F.when(F.col("fate") == 1, "").when(F.col("fate") == 2, F.regexp_replace(said, "[.!?]", "")).otherwise(said)
+    copies = F.when(F.col("fate") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return (
+        rows.withColumn("fate", fate)
+        .filter("fate <> 0")
+        .withColumn("copy", F.explode(copies))
+        .select("conv_id", "turn", F.when(F.col("fate") == 4, "user").otherwise(F.coalesce("role", space)).alias("role"), text.alias("text"))
+    )
+
+
+@query("op11_repair_conversations", REPAIR_SQL)
+def repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "conversations")
+    repair = turn_repair.repair_turns(damage_turns(rows))
+    key = turn_repair.conversation_key(F.col("conv_id"))
+    ids = rows.select("conv_id").distinct().withColumn("key", key)
+    report = repair.report.withColumn("key", key).drop("conv_id")
+    zeros = [F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return (
+        ids.join(report, "key", "left")
+        .join(turn_repair.digest_turns(repair.turns), "key", "left")
+        .select(
+            "conv_id",
+            *zeros,
+            F.coalesce("audit", F.lit("")).alias("audit"),
+            F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+        )
+    )
