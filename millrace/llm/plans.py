@@ -10,6 +10,7 @@ from millrace.llm import (
     decontaminate,
     html_text,
     jaccard,
+    language_id,
     mixing,
     quality_net,
     quality_rules,
@@ -258,9 +259,11 @@ ordered AS (
   SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i
   FROM damaged),
 judged AS (
-  SELECT *, substr(role, 1, 1) AS initial, NOT regexp_matches(text, '[^ 	-]') AS blank,
+  SELECT *, substr(role, 1, 1) AS initial, NOT regexp_matches(text, '[^ 	-
+]') AS blank,
          row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
-         NOT regexp_matches(text, '[.!?][ 	-]*\z') AS unended,
+         NOT regexp_matches(text, '[.!?][ 	-
+]*\z') AS unended,
          lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS previous
   FROM ordered),
 turns AS (
@@ -331,3 +334,11 @@ def repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
         )
     )
+
+
+@query("op13_language_id")
+def identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language_id.predict_language(docs.drop("lang"), language_id.fit_model(docs))
+    held_out = language_id.is_held_out(F.col("doc_id")).alias("held_out")
+    return found.select("doc_id", held_out, "lang_pred", "score")
