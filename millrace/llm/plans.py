@@ -11,6 +11,7 @@ from millrace.llm import (
     html_text,
     jaccard,
     language_id,
+    lexical_search,
     mixing,
     quality_net,
     quality_rules,
@@ -342,3 +343,37 @@ def identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = language_id.predict_language(docs.drop("lang"), language_id.fit_model(docs))
     held_out = language_id.is_held_out(F.col("doc_id")).alias("held_out")
     return found.select("doc_id", held_out, "lang_pred", "score")
+
+
+# The maximal runs of term characters in SQL, only A to Z lower-cased.
+_TERMS = (
+    r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),"
+    r" '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+)
+
+
+@query(
+    "op12_lexical_search",
+    rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, doc_id, {_TERMS} AS terms, len(terms)::BIGINT AS n FROM documents WHERE len(terms) > 0),
+totals AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS length FROM d),
+tf AS (
+  SELECT id, doc_id, n, term, count(*) AS tf FROM (SELECT id, doc_id, n, unnest(terms) AS term FROM d) GROUP BY ALL),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM tf, totals GROUP BY term, n_docs),
+q AS (
+  SELECT DISTINCT item, item_id, unnest(terms) AS term
+  FROM (SELECT row_number() OVER () AS item, item_id, {_TERMS} AS terms FROM benchmark)),
+scored AS (
+  SELECT item, item_id, id, doc_id,
+         sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // length))))::BIGINT AS score
+  FROM q JOIN tf USING (term) JOIN weights USING (term), totals GROUP BY ALL)
+SELECT item_id, rank::INT AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM scored WHERE score > 0)
+WHERE rank <= 10""",
+)
+def search_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical_search.build_index(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return lexical_search.search(index, load(spark, sf_dir, "benchmark"))

@@ -308,7 +308,9 @@ def repair_turns(
         "turns",
     )
 
-    slim = turns.select("block", "place", "key", "initial", "kind")
+    # A fixed number of partitions: these rows are short, and adaptive execution would merge the work by their bytes.
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slim = turns.select("block", "place", "key", "initial", "kind").repartition(tasks, "block")
     solved = persist_table(slim.groupBy("block").applyInPandas(_solve_block, _STRETCH), "stretches")
     # Only the first and the last conversation of a block can go on in another.
     parts = solved.filter("NOT inside")
