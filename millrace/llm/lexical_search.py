@@ -43,6 +43,7 @@ FIRST_SHARE = 8  # one shard in so many is searched first
 BLOCK = 32  # documents of a block
 CELLS = 1 << 25  # impacts that a task holds at a time, documents times terms
 SKETCH = 8
+COUNTED = 128  # texts whose terms a task holds before it passes them on
 
 # ASCII other than letters and digits separates terms, A to Z are lower-cased.
 _TERM_BYTES = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)).lower()
@@ -59,14 +60,15 @@ def term_counts(text: Column) -> Column:
     @F.pandas_udf("struct<n:bigint,terms:array<string>,times:array<int>>")
     def counted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            every = [Counter(terms_of(t)) if t else Counter() for t in texts]
-            yield pd.DataFrame(
-                {
-                    "n": [c.total() for c in every],
-                    "terms": [[t.decode() for t in c] for c in every],
-                    "times": [list(c.values()) for c in every],
-                }
-            )
+            for low in range(0, len(texts), COUNTED):
+                every = [Counter(terms_of(t)) if t else Counter() for t in texts.iloc[low : low + COUNTED]]
+                yield pd.DataFrame(
+                    {
+                        "n": [c.total() for c in every],
+                        "terms": [[t.decode() for t in c] for c in every],
+                        "times": [np.fromiter(c.values(), np.int32, len(c)) for c in every],
+                    }
+                )
 
     return counted(text)
 
