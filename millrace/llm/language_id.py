@@ -20,6 +20,7 @@ one language every text with letters is of it; without any, or with an empty tab
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from itertools import combinations
 from typing import NamedTuple
@@ -72,7 +73,9 @@ def gram_counts(text: str) -> np.ndarray:
 
 def features(counts: np.ndarray) -> np.ndarray:
     """Square roots of shares; rows of length one."""
-    return np.sqrt(counts / np.maximum(counts.sum(-1, keepdims=True), 1)).astype(np.float32)
+    counts = counts.astype(np.float32, copy=False)
+    shares = counts / np.maximum(counts.sum(-1, keepdims=True), 1)
+    return np.sqrt(shares, out=shares)
 
 
 def fit_machine(gram: np.ndarray, signs: np.ndarray, seed: int = 13) -> np.ndarray:
@@ -127,8 +130,9 @@ def fit(languages: list[str], counts: np.ndarray, labels: np.ndarray) -> Model:
     columns = []
 
     def machine(rows: np.ndarray, positive: np.ndarray) -> None:
-        found = fit_machine(gram[np.ix_(rows, rows)], np.where(positive, 1.0, -1.0))
-        columns.append(np.append(x[rows].T @ found, found.sum()))
+        found = np.zeros(len(labels), np.float32)
+        found[rows] = fit_machine(gram[np.ix_(rows, rows)], np.where(positive, 1.0, -1.0))
+        columns.append(np.append(found @ x, found.sum()))
 
     for family in families if len(families) > 1 else []:
         machine(np.arange(len(labels)), np.isin(labels, family))
@@ -168,17 +172,15 @@ def fit_model(
     doc_id: str = "doc_id",
     text: str = "text",
     lang: str = "lang",
-    sample_rows: int = 1600,
+    sample_rows: int = 1200,
     languages: int = 64,
 ) -> Model | None:
     """Learn from a bounded sample of the rows that are not held out; None if there is nothing to learn."""
 
-    @F.pandas_udf("struct<bucket:array<int>,count:array<int>>")
-    def sparse_counts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("binary")
+    def packed_counts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            every = [gram_counts(t) for t in texts]
-            held = [np.flatnonzero(c) for c in every]
-            yield pd.DataFrame({"bucket": held, "count": [c[i] for c, i in zip(every, held, strict=True)]})
+            yield pd.Series([zlib.compress(gram_counts(t).tobytes(), 1) for t in texts])
 
     known = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).filter(
         F.col("id").isNotNull() & F.col("lang").isNotNull() & ~is_held_out(F.col("id")) & has_letter(F.col("text"))
@@ -193,11 +195,11 @@ def fit_model(
     picked = known.select("lang", "h").filter(F.col("lang").isin(names)).distinct()
     picked = picked.withColumn("rank", rank).filter(F.col("rank") <= max(sample_rows // len(names), 1)).drop("rank")
     sample = known.join(F.broadcast(picked), ["lang", "h"]).dropDuplicates(["lang", "h"])
-    rows = sample.select("lang", "h", sparse_counts("text").alias("c")).collect()
+    rows = sample.select("lang", "h", packed_counts("text").alias("c")).collect()
     rows.sort(key=lambda r: (r["lang"], r["h"]))
-    counts = np.zeros((len(rows), SIZE), np.float32)
+    counts = np.empty((len(rows), SIZE), np.float32)
     for i, r in enumerate(rows):
-        counts[i, r["c"]["bucket"]] = r["c"]["count"]
+        counts[i] = np.frombuffer(zlib.decompress(r["c"]), np.int64)
     return fit(names, counts, np.array([names.index(r["lang"]) for r in rows]))
 
 
