@@ -52,17 +52,20 @@ HOT = BUCKET_ROWS  # suffixes of one mark that go to one merge; larger groups ar
 WIDTHS = (16, 1)  # windows in a block, by round of splitting
 
 RUNS = (
-    "bucket bigint, shared array<int>, sizes array<int>, rest binary, id array<bigint>, check array<int>, "
+    "bucket bigint, shared array<int>, sizes array<int>, rest binary, id array<bigint>, check array<bigint>, "
     "place array<bigint>, nearest array<int>, farthest array<int>, before binary"
 )
-SPANS = "id bigint, check int, `begin` bigint, `end` bigint"
-BLOCKS = "mark bigint, context bigint, id bigint, check int, place bigint, nearest int, farthest int"
+SPANS = "id bigint, check bigint, `begin` bigint, `end` bigint"
+BLOCKS = "mark bigint, context bigint, id bigint, check bigint, place bigint, nearest int, farthest int"
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     whole = F.coalesce(F.col(text), F.lit(""))
     return docs.withColumns(
-        {"__id": F.coalesce(F.col(doc_id).cast("bigint"), F.xxhash64(whole)), "__check": F.hash(whole)}
+        {
+            "__id": F.coalesce(F.col(doc_id).cast("bigint"), F.xxhash64(whole)),
+            "__check": F.xxhash64(F.lit("check"), whole),
+        }
     )
 
 
@@ -150,7 +153,7 @@ def _merge(length: int):
         return pd.DataFrame(
             {
                 "id": column["id"][row],
-                "check": column["check"][row].astype(np.int32),
+                "check": column["check"][row],
                 "begin": place - (high - 1),
                 "end": place - low + length,
             }
@@ -209,10 +212,20 @@ def _unlike(rows: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
 
     The suffixes come with ``size``, how many their mark has left; one alone is left out.
     """
-    one = F.min(F.struct("id", "check", "place", "nearest", "farthest")).alias("one")
-    contexts = rows.groupBy("mark", "context", spread(["mark", "context"])).agg(F.count(F.lit(1)).alias("copies"), one)
-    contexts = persist_table(contexts.select("mark", "context", "copies", "one"), "contexts")
-    copied = rows.join(contexts.filter("copies > 1").select("mark", "context"), ["mark", "context"])
+    # The suffixes of one context that a task reads travel as one row, so that a passage of many documents
+    # is a row for each task here; the verdict goes back to these rows by keys that occur once.
+    suffix = F.struct("id", "check", "place", "nearest", "farthest")
+    rows = rows.withColumn("part", F.spark_partition_id())
+    local = rows.groupBy("mark", "context", "part").agg(F.collect_list(suffix).alias("members"))
+    local = persist_table(local, "local")
+    contexts = local.groupBy("mark", "context", spread(["mark", "context"])).agg(
+        F.sum(F.size("members")).alias("copies"),
+        F.min(F.array_min("members")).alias("one"),
+        F.collect_list("part").alias("parts"),
+    )
+    contexts = persist_table(contexts.select("mark", "context", "copies", "one", "parts"), "contexts")
+    repeated = contexts.filter("copies > 1").select("mark", "context", F.explode("parts").alias("part"))
+    copied = local.join(repeated, ["mark", "context", "part"]).select(F.inline("members"))
     begin, end = F.col("place") - F.col("farthest"), F.col("place") - F.col("nearest") + length
     sizes = contexts.groupBy("mark", spread(["mark"])).agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     unlike = contexts.join(sizes.select("mark", "size"), "mark").select("mark", "one.*", "size")

@@ -249,6 +249,17 @@ def test_repeated_rows_leave_one(spark):
     assert Counter((r.doc_id, r.text) for r in out.collect()) == left
 
 
+def test_texts_with_equal_short_hashes_are_told_apart(spark):
+    """Two texts of one id whose 32-bit hashes agree: only the one that repeats elsewhere loses bytes."""
+    text = F.concat(F.lpad(F.col("id").cast("string"), 12, "0"), *[F.sha2(F.concat(F.col("id").cast("string"), F.lit(f"/{k}")), 256) for k in range(5)])
+    many = spark.range(400_000).select(F.col("id"), F.hash(text).alias("h"))
+    twins = many.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").first()
+    a, b = (spark.range(n, n + 1).select(text.alias("t")).first().t for n in (twins.a, twins.b))
+    df = spark.createDataFrame([(5, a), (5, b), (6, a + "tail")], "doc_id bigint, text string")
+    got = {(r.doc_id, r.text): r.n_removed for r in suffix_dedup.remove_repeats(df).collect()}
+    assert got[5, b] == 0 and got[5, a] > 0 and got[6, a + "tail"] > 0
+
+
 def test_equal_ids_with_unlike_texts(spark):
     """Rows of one id with unlike texts, against brute force; only the copies of a removed one go."""
     texts = texts_for_join()
