@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.functions.json_scan import leaves
 from millrace.functions.maps import reverse_lookup
 from millrace.operators.keys import salted_join
 
@@ -81,85 +83,50 @@ def find_mount(df: DataFrame, volumes: str, target: str, out: str = "source") ->
     return df.withColumn(out, reverse_lookup(F.col(volumes), F.col(target)))
 
 
-def json_depth(json: Column) -> Column:
-    """How deep the brackets of a JSON text nest, counted on the text without its strings."""
-    bare = F.regexp_replace(json, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', "")
-    marks = F.split(F.regexp_replace(bare, r"[^\[\]{}]", ""), "")
-
-    def step(state: Column, mark: Column) -> Column:
-        now = state["now"] + F.when(mark.isin("[", "{"), 1).when(mark.isin("]", "}"), -1).otherwise(0)
-        return F.struct(now.alias("now"), F.greatest(state["most"], now).alias("most"))
-
-    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
-    return F.aggregate(marks, start, step, lambda state: state["most"])
-
-
 def json_leaves(
     df: DataFrame, key: str, json: str, into_lists: bool = False, keep_empty: bool = False
 ) -> DataFrame:
     """``key, path, value`` per leaf of a JSON object column; ``path`` is an array of names.
 
-    ``value`` stays a variant, so strings and numbers can be told apart.  Lists are leaves
-    unless ``into_lists``; an empty object is a leaf only with ``keep_empty``.  Documents may nest as deep as the
-    JSON reader allows: the deepest one of the input, found in one map-side aggregate,
-    says how many levels the plan opens.
+    ``value`` is a variant, so strings and numbers can be told apart.  Lists are leaves
+    unless ``into_lists``; an empty object is a leaf only with ``keep_empty``; null has no leaves.
+    Documents may nest to any depth: each is read in one pass over its tokens, in its own task.
     """
-    parsed = df.select(
-        F.col(key), F.array().cast("array<int>").alias("__item"), F.parse_json(json).alias("value")
-    )
-    leaves = _variant_leaves(parsed, key, _deepest(df, json), into_lists, False)
+    found = _scan(df, key, json, into_lists, False)
     if not keep_empty:
-        leaves = leaves.filter(_kind(F.col("value")) != "OBJECT<>")
-    return leaves.select(key, "path", "value")
+        found = found.filter(~F.col("value").rlike(r"^\{\s*\}$"))
+    return found.select(key, "path", F.parse_json("value").alias("value"))
 
 
-def _deepest(df: DataFrame, json: str) -> int:
-    return df.agg(F.max(json_depth(F.col(json)))).first()[0] or 0
+LEAVES_AT_A_TIME = 10_000
 
 
-def _variant_leaves(df: DataFrame, key: str, levels: int, into_lists: bool, top_lists: bool) -> DataFrame:
-    """Leaves of ``key, __item, value`` with variant values: each level opens the containers of the last.
+def _scan(df: DataFrame, key: str, json: str, into_lists: bool, top_lists: bool) -> DataFrame:
+    """``key, item, path, value`` per leaf; ``value`` is its JSON text.  Rows stay in their tasks."""
 
-    With ``top_lists`` lists that no object surrounds are opened into ``__item`` positions.
-    """
-    spark = df.sparkSession
-    rows = df.select(key, "__item", F.array().cast("array<string>").alias("path"), "value")
-
-    def is_open() -> Column:
-        kind = _kind(F.col("value"))
-        opened = kind.rlike("^OBJECT<[^>]")
-        if into_lists:
-            opened = opened | kind.startswith("ARRAY<")
-        if top_lists:
-            opened = opened | (kind.startswith("ARRAY<") & (F.size("path") == 0))
-        return opened
-
-    for _ in range(levels):
-        rows = rows.withColumn("__open", F.when(is_open(), F.col("value")))
-        children = spark.tvf.variant_explode_outer(F.col("__open").outer()).select(
-            F.col("pos").alias("__pos"), F.col("key").alias("__key"), F.col("value").alias("__value")
-        )
-        opened, listed = F.col("__pos").isNotNull(), F.col("__key").isNull()
-        step = F.coalesce(F.col("__key"), F.col("__pos").cast("string"))
-        item, path = F.col("__item"), F.col("path")
-        if top_lists:
-            item = F.when(opened & listed, F.array_append("__item", F.col("__pos"))).otherwise(item)
-            path = F.when(opened & ~listed, F.array_append("path", step)).otherwise(path)
-        else:
-            path = F.when(opened, F.array_append("path", step)).otherwise(path)
-        value = F.when(opened, F.col("__value")).otherwise(F.col("value"))
-        rows = rows.lateralJoin(children).select(
-            key, item.alias("__item"), path.alias("path"), value.alias("value")
-        )
-    # The count of levels cannot be too small; should it be, the job fails here, in a
-    # filter that no choice of columns removes.
-    missed = is_open() & ~_kind(F.col("value")).startswith("ARRAY<")
-    fail = F.raise_error(F.lit("document nested deeper than its brackets")).cast("boolean")
-    return rows.filter(F.when(F.coalesce(missed, F.lit(False)), fail).otherwise(True))
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, found = [], []
+
+            def rows() -> pa.RecordBatch:
+                columns = zip(*found, strict=True) if found else ((), (), ())
+                kinds = (pa.list_(pa.int32()), pa.list_(pa.string()), pa.string())
+                arrays = [pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)]
+                own = batch.column(0).take(pa.array(keys, pa.int64()))
+                return pa.RecordBatch.from_arrays([own, *arrays], names=[key, "item", "path", "value"])
 
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                for leaf in leaves(text, into_lists, top_lists) if text is not None else ():
+                    keys.append(i)
+                    found.append(leaf)
+                    if len(keys) >= LEAVES_AT_A_TIME:
+                        yield rows()
+                        keys.clear()
+                        found.clear()
+            yield rows()
 
-def _kind(value: Column) -> Column:
-    return F.schema_of_variant(value)
+    fields = [df.schema[key], *T._parse_datatype_string("item array<int>, path array<string>, value string").fields]
+    return df.select(key, F.col(json).alias("__json")).mapInArrow(read, T.StructType(fields))
 
 
 def flatten_to_pairs(df: DataFrame, key: str, json: str, prefix: str) -> DataFrame:
@@ -170,18 +137,15 @@ def flatten_to_pairs(df: DataFrame, key: str, json: str, prefix: str) -> DataFra
     a list, also of lists, contributes the pairs of all its objects.  Where two values meet
     under one name the later one wins (list position, then path).
     """
-    docs = df.select(
-        F.col(key), F.array().cast("array<int>").alias("__item"), F.parse_json(json).alias("value")
-    )
-    leaves = _variant_leaves(docs, key, _deepest(df, json), False, True)
-    text = leaves.filter((_kind(F.col("value")) == "STRING") & (F.size("path") > 0))
+    found = _scan(df, key, json, False, True)
+    text = found.filter(F.col("value").startswith('"') & (F.size("path") > 0))
     layers = F.repeat(F.lit(f"_{LAYER_TAG}"), F.size("path") - 1)
     name = F.concat(F.lit(prefix), layers, F.lit("_"), F.upper(F.element_at("path", -1)))
     pairs = text.select(
         key,
         name.alias("name"),
-        F.col("value").cast("string").alias("value"),
-        F.struct(F.col("__item").alias("item"), F.col("path")).alias("__at"),
+        F.parse_json("value").cast("string").alias("value"),
+        F.struct("item", "path").alias("__at"),
     )
     return pairs.groupBy(key, "name").agg(F.max_by("value", "__at").alias("value"))
 
@@ -191,30 +155,33 @@ def merge_config(left: DataFrame, right: DataFrame, key: str, strict: bool = Tru
 
     A right leaf replaces the left leaf at its path and the whole left subtree below it.
     A left leaf where the right side has a subtree fails the job if ``strict``, else it goes.
+    On each side no path may lead on from another, which holds for the leaves of a document.
+
+    The leaves of a document meet in one shuffle and are sorted by path.  Whatever stands between a
+    path and one that leads on from it leads on from it too, so a left leaf need only look
+    at the right leaf before it and the one after it.
     """
-    steps = F.posexplode(_prefixes(F.col("path"))).alias("__at", "__lead")
-    ends = F.col("__at") == F.size("path") - 1
-    # Every place on the way to a right leaf: is it the leaf itself, or does the path go on?
-    taken = right.select(key, "path", steps).groupBy(key, "__lead").agg(
-        F.bool_or(ends).alias("__leaf"), F.bool_or(~ends).alias("__inner")
+    sides = left.select(key, "path", "value", F.lit(1).alias("__side")).unionByName(
+        right.select(key, "path", "value", F.lit(0).alias("__side"))
     )
-    leads = left.select(key, "path", "value", steps).withColumn("__own", ends)
-    met = leads.join(taken, [key, "__lead"], "left")
-    judged = met.groupBy(key, "path").agg(
-        F.any_value("value").alias("value"),
-        F.coalesce(F.bool_or("__leaf"), F.lit(False)).alias("__replaced"),
-        F.coalesce(F.bool_or(F.col("__own") & F.col("__inner")), F.lit(False)).alias("__clash"),
+    other = F.when(F.col("__side") == 0, F.col("path"))
+    until_here = (Window.unboundedPreceding, Window.currentRow)
+    up = Window.partitionBy(key).orderBy("path", "__side").rowsBetween(*until_here)
+    down = Window.partitionBy(key).orderBy(F.desc("path"), F.desc("__side")).rowsBetween(*until_here)
+    rows = sides.withColumns(
+        {"__before": F.last(other, ignorenulls=True).over(up), "__after": F.last(other, ignorenulls=True).over(down)}
     )
-    clash = F.col("__clash") & ~F.col("__replaced")
+    own = F.col("__side") == 1
+    replaced = own & F.coalesce(_leads_to(F.col("__before"), F.col("path")), F.lit(False))
+    clash = own & ~replaced & F.coalesce(_leads_to(F.col("path"), F.col("__after")), F.lit(False))
     if strict:
         text = F.concat(F.lit("a plain value meets a subtree at "), F.array_join("path", "."))
-        stays = F.when(clash, F.raise_error(text).cast("boolean")).otherwise(~F.col("__replaced"))
+        stays = F.when(clash, F.raise_error(text).cast("boolean")).otherwise(~replaced)
     else:
-        stays = ~F.col("__replaced") & ~clash
-    kept = judged.filter(stays)
-    return kept.select(key, "path", "value").unionByName(right.select(key, "path", "value"))
+        stays = ~replaced & ~clash
+    return rows.filter(stays).select(key, "path", "value")
 
 
-def _prefixes(path: Column) -> Column:
-    """All leading parts of a path, the path itself last."""
-    return F.transform(F.sequence(F.lit(1), F.size(path)), lambda n: F.slice(path, F.lit(1), n))
+def _leads_to(path: Column, other: Column) -> Column:
+    """Is ``other`` the path itself, or does it lead on from it?"""
+    return F.slice(other, F.lit(1), F.size(path)) == path
