@@ -19,8 +19,9 @@ from millrace.operators import report
 from millrace.operators.aggregates import column_widths
 from millrace.operators.numbering import number_rows
 from millrace.plans.registry import plan
-from millrace.scratch import persist_table
-from millrace.sources.manifests import parse_manifests
+from millrace.scratch import persist_table, scratch_path
+from millrace.sources import trees
+from millrace.sources.manifests import parse_manifests, scan_manifests
 
 _VERSION = """
     CASE WHEN p_size < 5 THEN p_brand ELSE concat_ws('.', p_size // 10, p_size, p_partkey || 'rc1', 'x') END
@@ -471,7 +472,10 @@ def manifest_files(t):
     """,
 )
 def _(t):
-    return parse_manifests(manifest_files(t)).select(
+    root = scratch_path(t.spark, "plans")
+    made = manifest_files(t)
+    trees.write_files(made, root, F.replace("path", F.lit("file:/apps/"), F.lit("")), F.col("content"))
+    return scan_manifests(t.spark, root).select(
         "name", "author", "version", "short", "icon",
         F.array_join("tags", ",").alias("tags"),
         F.size("questions").alias("questions"),

@@ -10,7 +10,7 @@ from millrace.functions.dates import epoch_seconds
 from millrace.plans.join_plans import ratings
 from millrace.plans.registry import plan
 from millrace.scratch import scratch_path
-from millrace.sources import files, generated, graph_json, manifests, sinks
+from millrace.sources import files, generated, graph_json, manifests, sinks, trees
 
 
 def _fresh(name: str) -> str:
@@ -78,7 +78,7 @@ def _(t):
 @plan(
     "scan_ratings",
     """
-    SELECT o_custkey::INTEGER AS user, l_partkey::INTEGER AS item, round(avg(l_quantity), 4) AS rating
+    SELECT o_custkey::BIGINT AS user, l_partkey::BIGINT AS item, round(avg(l_quantity), 4) AS rating
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL
     """,
 )
@@ -166,15 +166,16 @@ def _(t):
     )
 
 
-def directive_files(t):
-    """Each part as a directive file with one or two names and one or two bases."""
+def directive_tree(t):
+    """A folder with a directive file of one or two names and one or two bases for each part."""
     content = F.concat(
         F.lit("\nname  part-"), "p_partkey", F.lit("\n\nFROM repo/sub/"), "p_type", F.lit("\n"),
         F.when(F.col("p_size") > 25, F.concat(F.lit("NAME alias-"), "p_partkey", F.lit("\nfrom other/base\n")))
         .otherwise(F.lit("RUN echo NAME none\n")),
     )
-    path = F.concat(F.lit("/images/part"), "p_partkey", F.lit("/Dockerfile"))
-    return t.part.select(path.alias("path"), content.alias("content"))
+    root = scratch_path(t.spark, "images")
+    trees.write_files(t.part, root, F.concat(F.lit("images/part"), "p_partkey", F.lit("/Dockerfile")), content)
+    return root
 
 
 @plan(
@@ -188,7 +189,9 @@ def directive_files(t):
     """,
 )
 def _(t):
-    return manifests.parse_directives(directive_files(t), ["name", "FROM"])
+    root = directive_tree(t)
+    found = manifests.scan_directives(t.spark, root, ["name", "FROM"])
+    return found.withColumn("path", F.replace("path", F.lit(root), F.lit("")))
 
 
 @plan(
@@ -199,7 +202,7 @@ def _(t):
     """,
 )
 def _(t):
-    return manifests.directive_bases(manifests.parse_directives(directive_files(t), ["NAME", "FROM"]))
+    return manifests.directive_bases(manifests.scan_directives(t.spark, directive_tree(t), ["NAME", "FROM"]))
 
 
 @plan(
@@ -216,9 +219,10 @@ def _(t):
         .when(F.col("event_type") == "error", "connectors")
         .otherwise("compute")
     )
-    path = F.concat_ws("/", F.lit("/logs"), F.concat(F.lit("sa-"), "user_id"), place, "event_type", F.lit("node.log"))
-    lines = t.events.select(path.alias("path"), F.concat(F.lit("event "), "event_id").alias("line"))
-    return manifests.parse_logs(lines)
+    path = F.concat_ws("/", F.lit("logs"), F.concat(F.lit("sa-"), "user_id"), place, "event_type", F.lit("node.log"))
+    root = scratch_path(t.spark, "logs")
+    trees.write_files(t.events, root, path, F.concat(F.lit("event "), "event_id", F.lit("\n")), ["event_id"])
+    return manifests.collect_logs(t.spark, root)
 
 
 @plan(
@@ -226,8 +230,9 @@ def _(t):
     "SELECT DISTINCT p_brand || '/' || p_name AS name FROM part",
 )
 def _(t):
-    path = F.concat_ws("/", F.lit("file:/apps"), "p_brand", "p_name")
-    return manifests.relative_paths(t.part.select(path.alias("path")), "/apps/")
+    root = scratch_path(t.spark, "apps")
+    trees.write_files(t.part, root, F.concat_ws("/", "p_brand", "p_name"), F.concat("p_type", F.lit("\n")), ["p_partkey"])
+    return manifests.relative_names(t.spark, root)
 
 
 @plan(

@@ -46,7 +46,7 @@ def actual_predicted(t):
     "join_actual_predicted",
     f"""
     WITH {RATINGS_SQL}
-    SELECT user::INTEGER AS user, item::INTEGER AS item, round(rating, 4) AS rating,
+    SELECT user::BIGINT AS user, item::BIGINT AS item, round(rating, 4) AS rating,
            round(prediction, 4) AS prediction
     FROM ratings JOIN predictions USING (user)
     """,

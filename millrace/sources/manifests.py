@@ -11,10 +11,11 @@ from pyspark.sql import types as T
 
 from millrace.functions.strings import file_extension, file_stem, words
 from millrace.operators.projections import PREVIEW_CHARS, truncate_description
+from millrace.sources import trees
 
 # Extensions of manifests and the defaults of their optional fields.
-MANIFEST_GLOB = "*.{json,yaml,yml}"
 YAML_EXTENSIONS = ("yaml", "yml")
+EXTENSIONS = ("json", *YAML_EXTENSIONS)
 UNKNOWN = "Unknown"
 
 MANIFEST_SCHEMA = (
@@ -45,17 +46,23 @@ def _yaml_to_json():
     return F.pandas_udf(convert, T.StringType())
 
 
-def read_small_files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
+def read_small_files(spark: SparkSession, root: str, extensions: Sequence[str] | None = None) -> DataFrame:
     """``path, content`` of every file below ``root``."""
-    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
-    return files.select(
-        F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")
-    )
+    read = trees.read_files(trees.list_files(spark, root, extensions), root)
+    return read.select(_below(root).alias("path"), "content")
+
+
+def _below(root: str) -> Column:
+    return F.concat(F.lit(root.rstrip("/") + "/"), "name")
 
 
 def scan_manifests(spark: SparkSession, root: str, name: str | None = None) -> DataFrame:
     """Manifests in a directory tree, by extension, optionally one name only."""
-    return parse_manifests(read_small_files(spark, root, MANIFEST_GLOB), name)
+    listing = trees.list_files(spark, root, EXTENSIONS)
+    if name is not None:  # other files are not opened
+        listing = listing.filter(file_stem(F.col("name")) == name)
+    read = trees.read_files(listing, root)
+    return parse_manifests(read.select(_below(root).alias("path"), "content"), name)
 
 
 def parse_manifests(files: DataFrame, name: str | None = None) -> DataFrame:
@@ -140,22 +147,13 @@ def directive_bases(directives: DataFrame) -> DataFrame:
 
 def relative_names(spark: SparkSession, root: str) -> DataFrame:
     """Distinct ``dir/name`` of every file below ``root``; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return relative_paths(files.select("path"), root)
-
-
-def relative_paths(files: DataFrame, root: str) -> DataFrame:
-    """Distinct paths below ``root`` from a ``path`` column."""
-    lead = root.rstrip("/") + "/"
-    # A file system may put its scheme in front of the root.
-    tail = F.substring_index("path", lead, -1)
-    return files.filter(F.contains("path", F.lit(lead))).select(tail.alias("name")).distinct()
+    return trees.list_files(spark, root).select("name").distinct()
 
 
 def collect_logs(spark: SparkSession, root: str) -> DataFrame:
     """Lines of the log trees ``<stack>/{storage,compute}/...`` below ``root``."""
-    lines = spark.read.text(root, recursiveFileLookup=True)
-    return parse_logs(lines.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line")))
+    lines = trees.read_lines(trees.list_files(spark, root), root)
+    return parse_logs(lines.select(_below(root).alias("path"), "line"))
 
 
 def parse_logs(lines: DataFrame) -> DataFrame:
