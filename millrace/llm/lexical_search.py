@@ -1,19 +1,19 @@
 """Ranked lexical search with per-term geometric blocking: exact best documents for a set of queries.
 
-The index has a row for every document with a term: its terms, how often each occurs, and its length;
-the table of terms says how many documents hold each.  A document scores the sum over a
+The index has all documents with a term, packed into shards of about ``SHARD_POSTINGS`` postings: their
+terms, how often each occurs, and their lengths.  A document scores the sum over a
 query's terms of weight times impact, all in whole numbers:
 
     weight = floor(1000 ln((2 N + 2) / (2 df + 1)))     impact = 10^9 tf div (1000 tf + 8 m)
     m = 10 + 90 n N div L                               (N documents, L terms, n terms in this one)
 
-Documents are dealt by hash into shards of about ``SHARD_POSTINGS`` postings, queries into groups
-of about ``GROUP_TERMS`` terms; a shard and a group meet in one task.  There each posting list is
+Queries are dealt into groups of about ``GROUP_TERMS`` terms; a group meets a bundle of shards in one
+task, a shard at a time.  There each posting list is
 clustered by the similarity of its documents (nearest of some of them, by a random projection
 of the impacts), the clusters are cut into blocks, and a block keeps the coordinatewise maximum of
 its documents' impacts.  A query goes through its lists from the one that can give most; it
 stops when the lists left cannot reach the ``k``-th best score, and looks into a block only if the bound
-by its maxima does.  The bound is never too low, so results are exact.  The first shards
+by its maxima does.  The bound is never too low, so results are exact.  The first bundles
 give each query a score that its ``k`` best documents reach at least; the others start from it.
 
 Cases: null texts and texts without a term are neither found nor counted; a query without terms finds
@@ -24,6 +24,7 @@ score 0 give fewer rows; empty tables give no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import partial
@@ -39,11 +40,11 @@ from millrace.scratch import persist_table
 
 SHARD_POSTINGS = 400_000
 GROUP_TERMS = 4096
-FIRST_SHARE = 8  # one shard in so many is searched first
+BUNDLE = 4  # shards that meet a group of queries in one task, one after the other
+FIRST_SHARE = 8  # one bundle in so many is searched first
 BLOCK = 32  # documents of a block
 CELLS = 1 << 25  # impacts that a task holds at a time, documents times terms
 SKETCH = 8
-COUNTED = 128  # texts whose terms a task holds before it passes them on
 
 # ASCII other than letters and digits separates terms, A to Z are lower-cased.
 _TERM_BYTES = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)).lower()
@@ -54,52 +55,94 @@ def terms_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").translate(_TERM_BYTES).split()
 
 
-def term_counts(text: Column) -> Column:
-    """Length, distinct terms and how often each occurs."""
+class Index(NamedTuple):
+    shards: DataFrame
+    """A row for some documents: ``shard`` (its number), ``known``, ``ids``, ``lengths``, ``sizes`` and ``postings``, packed."""
+    documents: int
+    length: int
+    count: int
+    """Of shards."""
 
-    @F.pandas_udf("struct<n:bigint,terms:array<string>,times:array<int>>")
-    def counted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            for low in range(0, len(texts), COUNTED):
-                every = [Counter(terms_of(t)) if t else Counter() for t in texts.iloc[low : low + COUNTED]]
-                yield pd.DataFrame(
-                    {
-                        "n": [c.total() for c in every],
-                        "terms": [[t.decode() for t in c] for c in every],
-                        "times": [np.fromiter(c.values(), np.int32, len(c)) for c in every],
-                    }
-                )
 
-    return counted(text)
+def _ints(*arrays: list | np.ndarray) -> bytes:
+    return zlib.compress(b"".join(np.asarray(a, np.int32).tobytes() for a in arrays), 1)
 
 
-class Index(NamedTuple):
-    docs: DataFrame
-    """``row`` (a number of its own), ``known``, ``id``, ``n``, ``terms``, ``times``."""
-    documents: int
-    length: int
-    postings: int
+def _packed(known: list, ids: list, counters: list[Counter]) -> dict:
+    vocabulary: dict[bytes, int] = {}
+    places = [vocabulary.setdefault(t, len(vocabulary)) for c in counters for t in c]
+    return {
+        "known": known,
+        "ids": ids,
+        "lengths": [c.total() for c in counters],
+        "sizes": list(map(len, counters)),
+        "terms": zlib.compress(b"\n".join(vocabulary), 1),
+        "places": _ints(places),
+        "times": _ints([n for c in counters for n in c.values()]),
+    }
+
+
+def _numbers(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(packed), np.int32)
 
 
 def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Index:
     """Index every document that holds a term."""
     kind = docs.schema[doc_id].dataType
-    rows = docs.select(F.col(doc_id).alias("id"), term_counts(F.col(text)).alias("c")).filter("c.n > 0")
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, ids, counters, held = [], [], [], 0
+        for batch in batches:
+            for sure, i, t in zip(batch["known"].tolist(), batch["id"].tolist(), batch["text"], strict=True):
+                counter = Counter(terms_of(t))
+                if not counter:
+                    continue
+                known.append(sure)
+                ids.append(i)
+                counters.append(counter)
+                held += len(counter)
+                if held >= SHARD_POSTINGS:
+                    yield pd.DataFrame([_packed(known, ids, counters)])
+                    known, ids, counters, held = [], [], [], 0
+        if counters:
+            yield pd.DataFrame([_packed(known, ids, counters)])
+
     # The id travels with a mark for null, as Python would turn numbers beside nulls into fractions.
-    rows = rows.select(
-        F.monotonically_increasing_id().alias("row"),
-        F.col("id").isNotNull().alias("known"),
-        F.coalesce("id", F.lit("0").cast(kind)).alias("id"),
-        "c.*",
-    )
-    stored = persist_table(rows, "lexical-index")
-    total = stored.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.size("terms")), F.lit(0)))
-    return Index(stored, *map(int, total.first()))
+    rows = docs.select(
+        F.col(doc_id).isNotNull().alias("known"),
+        F.coalesce(doc_id, F.lit("0").cast(kind)).alias("id"),
+        F.col(text).alias("text"),
+    ).filter(F.octet_length("text") > 0)
+    fields = f"known array<boolean>, ids array<{kind.simpleString()}>, lengths array<bigint>, sizes array<int>"
+    packed = rows.mapInPandas(pack, fields + ", terms binary, places binary, times binary")
+    shards = persist_table(packed.select(F.monotonically_increasing_id().alias("shard"), "*"), "lexical-index")
+    length = F.sum(F.aggregate("lengths", F.lit(0).cast("bigint"), lambda s, n: s + n))
+    total = shards.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0)), F.coalesce(length, F.lit(0)), F.count(F.lit(1)))
+    return Index(shards, *map(int, total.first()))
 
 
 def document_counts(index: Index) -> DataFrame:
-    """How many documents hold each term."""
-    return index.docs.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    """How many documents hold each term, added up in each shard first."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for terms, places in zip(batch["terms"], batch["places"], strict=True):
+                names = [t.decode() for t in zlib.decompress(terms).split(b"\n")]
+                yield pd.DataFrame({"term": names, "df": np.bincount(_numbers(places), minlength=len(names))})
+
+    counted = index.shards.select("terms", "places").mapInPandas(count, "term string, df bigint")
+    return counted.groupBy("term").agg(F.sum("df").alias("df"))
+
+
+def query_terms(text: Column) -> Column:
+    """The distinct terms of a query."""
+
+    @F.pandas_udf("array<string>")
+    def distinct(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([[t.decode() for t in dict.fromkeys(terms_of(x))] if x else [] for x in texts])
+
+    return distinct(text)
 
 
 def weight(documents: int, df: Column) -> Column:
@@ -170,7 +213,7 @@ class Best:
 
     def __init__(self, k: int, bar: int):
         self.k, self.bar = k, max(bar, 1)
-        self.found: list[tuple] = []  # (-score, known, id, row)
+        self.found: list[tuple] = []  # (-score, known, id, shard, place)
 
     def add(self, found: list[tuple]) -> None:
         self.found = sorted(self.found + found)[: self.k]
@@ -215,35 +258,37 @@ def terms_near(asked: list[np.ndarray], size: int) -> list[np.ndarray]:
     return [x[0] if len(x) == 1 else np.unique(np.concatenate(x)) for x in by_term]
 
 
-def _search_group(docs: pd.DataFrame, queries: pd.DataFrame, documents: int, length: int, k: int) -> pd.DataFrame:
-    """All queries of a group against all documents of a shard, some documents at a time."""
+def _search_group(shards: pd.DataFrame, queries: pd.DataFrame, documents: int, length: int, k: int) -> pd.DataFrame:
+    """All queries of a group against some shards, one after the other, and some documents at a time."""
     found = []
-    if len(docs) and len(queries):
-        vocabulary = {t: i for i, t in enumerate(dict.fromkeys(chain.from_iterable(queries["terms"])))}
+    if len(shards) and len(queries):
+        vocabulary = {t.encode(): i for i, t in enumerate(dict.fromkeys(chain.from_iterable(queries["terms"])))}
         weights = np.zeros(len(vocabulary), np.int64)
         asked = []
         for terms, own, bar in zip(queries["terms"], queries["weights"], queries["bar"], strict=True):
-            places = np.array([vocabulary[t] for t in terms])
+            places = np.array([vocabulary[t.encode()] for t in terms])
             weights[places] = own
             asked.append((places, np.asarray(own, np.int64), Best(k, int(bar))))
         near = terms_near([places for places, _, _ in asked], len(vocabulary))
-        docs = docs.sort_values("row")
-        keys = list(zip(docs["known"].tolist(), docs["id"].tolist(), docs["row"].tolist(), strict=True))
         step = max(CELLS // max(len(vocabulary), 1), 1)
-        for low in range(0, len(docs), step):
-            some = docs.iloc[low : low + step]
-            sizes = some["terms"].map(len).to_numpy()
-            places = np.array([vocabulary.get(t, -1) for t in chain.from_iterable(some["terms"])], np.int64)
-            owners = np.repeat(np.arange(len(some)), sizes)
-            times = np.concatenate([np.asarray(x, np.int64) for x in some["times"]])
-            values = impacts(times, np.repeat(some["n"].to_numpy(np.int64), sizes), documents, length)
-            held = places >= 0
-            shard = Shard(owners[held], places[held], values[held], len(some), weights, near)
-            for places, own, best in asked:
-                search_shard(shard, places, own, best, keys[low : low + step])
+        for row in shards.sort_values("shard").itertuples():
+            names = zlib.decompress(row.terms).split(b"\n")
+            here = np.array([vocabulary.get(t, -1) for t in names])
+            sizes, lengths = np.asarray(row.sizes, np.int64), np.asarray(row.lengths, np.int64)
+            places = here[_numbers(row.places)]
+            owners = np.repeat(np.arange(len(sizes)), sizes)
+            values = impacts(_numbers(row.times).astype(np.int64), lengths[owners], documents, length)
+            known, ids = list(row.known), list(row.ids)
+            keys = [(bool(a), b, row.shard, i) for i, (a, b) in enumerate(zip(known, ids, strict=True))]
+            for low in range(0, len(sizes), step):
+                held = (places >= 0) & (owners >= low) & (owners < low + step)
+                size = min(step, len(sizes) - low)
+                shard = Shard(owners[held] - low, places[held], values[held], size, weights, near)
+                for own_places, own, best in asked:
+                    search_shard(shard, own_places, own, best, keys[low : low + step])
         for query, (_, _, best) in zip(queries["query"], asked, strict=True):
-            found += [(query, known, key, row, -score) for score, known, key, row in best.found]
-    return pd.DataFrame(found, columns=["query", "known", "id", "row", "score"])
+            found += [(query, known, key, shard, place, -score) for score, known, key, shard, place in best.found]
+    return pd.DataFrame(found, columns=["query", "known", "id", "shard", "place", "score"])
 
 
 def search(
@@ -251,45 +296,46 @@ def search(
 ) -> DataFrame:
     """The ``k`` best documents of each query: ``item_id``, ``rank``, ``doc_id``, ``score``."""
     spark = queries.sparkSession
-    kind = index.docs.schema["id"].dataType.simpleString()
+    kind = index.shards.schema["ids"].dataType.elementType.simpleString()
     asked = queries.select(F.monotonically_increasing_id().alias("query"), F.col(item_id).alias("item"), F.col(text).alias("text"))
-    asked = persist_table(asked.select("query", "item", term_counts(F.col("text"))["terms"].alias("terms")), "queries")
+    asked = persist_table(asked.select("query", "item", query_terms(F.col("text")).alias("terms")), "queries")
     counts = document_counts(index).withColumn("weight", weight(index.documents, F.col("df")))
     each = asked.select("query", F.explode("terms").alias("term")).join(counts.filter("weight > 0"), "term")
-    weighed = each.groupBy("query").agg(
-        F.sort_array(F.collect_list(F.struct("term", "weight"))).alias("w"), F.count(F.lit(1)).alias("size")
-    )
-    total = persist_table(weighed.select("query", "size", F.col("w.term").alias("terms"), F.col("w.weight").alias("weights")), "weighed")
-    groups = int(total.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]) // GROUP_TERMS + 1
-    shards = index.postings // SHARD_POSTINGS + 1
-    first = -(-shards // FIRST_SHARE)
+    weighed = each.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("term", "weight"))).alias("w"))
+    total = persist_table(weighed.select("query", F.col("w.term").alias("terms"), F.col("w.weight").alias("weights")), "weighed")
+    groups = int(total.agg(F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()[0]) // GROUP_TERMS + 1
+    bundles = index.count // BUNDLE + 1
+    first = -(-bundles // FIRST_SHARE)
 
     def dealt(low: int, high: int, bars: DataFrame) -> DataFrame:
-        """Each group of queries against each shard from ``low`` to ``high``."""
-        shard = F.pmod(F.xxhash64("row"), F.lit(shards))
-        docs = index.docs.withColumn("shard", shard).filter(F.col("shard").between(low, high - 1))
-        docs = docs.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+        """Each group of queries against each bundle of shards from ``low`` to ``high``."""
+        shards = index.shards.withColumn("bundle", F.pmod(F.xxhash64("shard"), F.lit(bundles)))
+        shards = shards.filter(F.col("bundle").between(low, high - 1))
+        shards = shards.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
         sent = total.join(bars, "query", "left").select(
-            F.explode(F.sequence(F.lit(low).cast("bigint"), F.lit(high - 1).cast("bigint"))).alias("shard"),
+            F.explode(F.sequence(F.lit(low).cast("bigint"), F.lit(high - 1).cast("bigint"))).alias("bundle"),
             F.pmod(F.hash("query"), F.lit(groups)).alias("group"),
             "query", "terms", "weights", F.coalesce("bar", F.lit(0).cast("bigint")).alias("bar"),
         )
         run = partial(_search_group, documents=index.documents, length=index.length, k=k)
-        both = docs.groupBy("shard", "group").cogroup(sent.groupBy("shard", "group"))
+        # A fixed number of partitions: adaptive execution would merge the work by its bytes.
+        tasks = min(int(spark.conf.get("spark.sql.shuffle.partitions")), (high - low) * groups)
+        both = shards.repartition(tasks, "bundle", "group").groupBy("bundle", "group").cogroup(sent.groupBy("bundle", "group"))
         return both.applyInPandas(
-            lambda docs, queries: run(docs, queries), f"query bigint, known boolean, id {kind}, row bigint, score bigint"
+            lambda shards, queries: run(shards, queries),
+            f"query bigint, known boolean, id {kind}, shard bigint, place bigint, score bigint",
         )
 
-    order = Window.partitionBy("query").orderBy(F.desc("score"), "known", "id", "row")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "known", "id", "shard", "place")
 
     def ranked(rows: DataFrame) -> DataFrame:
         return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
     nobody = spark.createDataFrame([], "query bigint, bar bigint")
     found = persist_table(dealt(0, first, nobody), "found")
-    if first < shards:
+    if first < bundles:
         bars = ranked(found).filter(F.col("rank") == k).select("query", F.col("score").alias("bar"))
-        found = found.unionByName(dealt(first, shards, bars))
+        found = found.unionByName(dealt(first, bundles, bars))
     return ranked(found).join(asked.select("query", "item"), "query").select(
         F.col("item").alias(item_id), "rank", F.when(F.col("known"), F.col("id")).alias(doc_id), "score"
     )

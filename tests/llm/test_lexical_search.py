@@ -56,7 +56,7 @@ def corpus(seed, n):
     return docs, items
 
 
-@pytest.mark.parametrize("sizes", [{}, {"SHARD_POSTINGS": 900, "GROUP_TERMS": 60, "BLOCK": 4, "CELLS": 2000}])
+@pytest.mark.parametrize("sizes", [{}, {"SHARD_POSTINGS": 900, "GROUP_TERMS": 60, "BLOCK": 4, "CELLS": 2000, "BUNDLE": 2}])
 def test_search_against_brute_force(spark, monkeypatch, sizes):
     for name, value in sizes.items():
         monkeypatch.setattr(lexical_search, name, value)
