@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.keys import key_set
 from millrace.operators.numbering import number_rows
+from millrace.scratch import persist_table
 
 # Which state an action needs, the state it leads to, and its refusal.
 TRANSITIONS = {"stop": ("running", "stopped"), "rm": ("stopped", "removed")}
@@ -78,23 +79,92 @@ def guarded_transition(requests: DataFrame, states: DataFrame, key: str) -> Data
     """``key, action, ok, msg, status``: apply an action only from the state it needs.
 
     Removing something that is not stopped is refused; stopping something that does not
-    run is accepted and changes nothing, as is any other action.
+    run is accepted and changes nothing, as is any other action.  All requests are judged on
+    the given states; ``transitions_in_turn`` lets each see what those before it did.
     """
     found = requests.join(states.select(key, F.col("status").alias("__prior")), key, "left")
-    action, prior = F.col("action"), F.col("__prior")
-    applies, target = F.lit(False), F.lit(None).cast("string")
-    for name, (needed, after) in TRANSITIONS.items():
+    return found.select(key, "action", *_judged(F.col("__prior"), TRANSITIONS))
+
+
+def _judged(prior: Column, transitions: Mapping[str, tuple[str, str]]) -> list[Column]:
+    action, applies, target = F.col("action"), F.lit(False), F.lit(None).cast("string")
+    for name, (needed, after) in transitions.items():
         fits = (action == name) & prior.eqNullSafe(F.lit(needed))
         applies = applies | fits
         target = F.when(fits, F.lit(after)).otherwise(target)
-    refused = (action == REFUSED_ACTION) & ~applies
-    return found.select(
-        key,
-        "action",
+    refused = F.coalesce((action == REFUSED_ACTION) & ~applies, F.lit(False))
+    return [
         (~refused).alias("ok"),
         F.when(refused, REFUSAL).when(applies, target).otherwise(IDLE_MESSAGE).alias("msg"),
         F.coalesce(target, prior).alias("status"),
+    ]
+
+
+TURNS = 256  # requests, or groups of them, whose effects are composed in one row
+
+
+def transitions_in_turn(
+    requests: DataFrame,
+    states: DataFrame,
+    key: str,
+    seq: Sequence[str],
+    transitions: Mapping[str, tuple[str, str]] = TRANSITIONS,
+) -> DataFrame:
+    """All columns of ``requests`` with ``ok, msg, status``, each judged on what those before it left.
+
+    Requests of a key follow ``seq``, then the whole row; a key without a state has a null one.
+
+    A request maps states to states, and such maps compose: those of ``TURNS`` neighbouring
+    requests become one, those of ``TURNS`` neighbouring groups one again, until a key has few; then the
+    states go down the same way.  So the requests of a hot key are spread over all tasks.
+    """
+    names = list(dict.fromkeys(s for pair in transitions.values() for s in pair))
+
+    def leads_to(state: str) -> Column:
+        moves = [F.when(F.col("action") == a, after) for a, (needed, after) in transitions.items() if needed == state]
+        return F.coalesce(*moves, F.lit(state))
+
+    effect = F.array(*[leads_to(s) for s in names])
+    placed = number_rows(requests, [key, *seq], "__place")
+    turns = placed.select(F.col(key).alias("k"), F.col("__place").alias("at"), effect.alias("effect"))
+    start = states.select(F.col(key).alias("k"), F.col("status").alias("state"))
+    judged = placed.join(_states_before(turns, start, names).select(F.col("at").alias("__place"), "state"), "__place")
+    return judged.select(*requests.columns, *_judged(F.col("state"), transitions))
+
+
+def _states_before(turns: DataFrame, start: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``k, at, state``: the state before each of ``k, at, effect``, from the states ``k, state`` of the keys.
+
+    An effect has the state that each of ``names`` leads to; other states stay what they are.
+    """
+    up = F.expr(f"at div {TURNS}").alias("up")
+    siblings = F.sort_array(F.collect_list(F.struct("at", "effect"))).alias("turns")
+    groups = persist_table(turns.groupBy("k", up).agg(siblings), "turns")
+
+    def after(state: Column, turn: Column) -> Column:
+        place = F.array_position(F.array(*map(F.lit, names)), state)
+        return F.coalesce(F.get(turn["effect"], place.cast("int") - 1), state)
+
+    if groups.groupBy("k").count().filter("count > 1").isEmpty():
+        known = start.withColumnRenamed("k", "__k")
+        begun = groups.join(known, F.col("k").eqNullSafe(F.col("__k")), "left").select("k", "turns", "state")
+    else:
+        whole = F.array(*[F.aggregate("turns", F.lit(s), after) for s in names])
+        parents = groups.select("k", F.col("up").alias("at"), whole.alias("effect"))
+        before = _states_before(parents, start, names).select(F.col("k").alias("__k"), F.col("at").alias("up"), "state")
+        begun = groups.join(before.withColumnRenamed("up", "__up"), (F.col("up") == F.col("__up")) & F.col("k").eqNullSafe(F.col("__k")))
+        begun = begun.select("k", "turns", "state")
+    none = F.array().cast("array<struct<at:bigint,state:string>>")
+    walked = F.aggregate(
+        "turns",
+        F.struct(F.col("state").alias("now"), none.alias("seen")),
+        lambda acc, turn: F.struct(
+            after(acc["now"], turn).alias("now"),
+            F.array_append(acc["seen"], F.struct(turn["at"].alias("at"), acc["now"].alias("state"))).alias("seen"),
+        ),
+        lambda acc: acc["seen"],
     )
+    return begun.select("k", F.inline(walked))
 
 
 def increment_counter(

@@ -554,6 +554,48 @@ def _(t):
     return mutations.guarded_transition(requests, states, "uuid").fillna({"status": "?"})
 
 
+_REQUESTS = [
+    "CASE WHEN l_orderkey % 97 = 0 THEN -1 ELSE l_orderkey END AS uuid",
+    "l_shipdate AS asked",
+    "l_partkey",
+    "l_suppkey",
+    "l_linenumber",
+    "CASE WHEN l_quantity < 20 THEN 'stop' WHEN l_quantity < 35 THEN 'start' WHEN l_quantity < 45 THEN 'rm' ELSE 'snapshot' END AS action",
+]
+
+
+@plan(
+    "transitions_in_turn",
+    f"""
+    WITH RECURSIVE s AS (SELECT o_orderkey AS uuid, {_STATUS} AS status FROM orders UNION ALL SELECT -1, 'running'),
+    r AS (SELECT *, row_number() OVER (PARTITION BY uuid ORDER BY asked, l_partkey, l_suppkey, l_linenumber, action) AS n
+          FROM (SELECT {', '.join(_REQUESTS)} FROM lineitem)),
+    turns AS (
+      SELECT uuid, 0::BIGINT AS n, NULL::TIMESTAMP AS asked, NULL::VARCHAR AS action, true AS ok, '' AS msg, status FROM s
+      UNION ALL
+      SELECT t.uuid, r.n, r.asked, r.action, NOT (r.action = 'rm' AND status <> 'stopped') AS ok,
+        CASE WHEN r.action = 'stop' AND status = 'running' THEN 'stopped'
+             WHEN r.action = 'rm' AND status = 'stopped' THEN 'removed'
+             WHEN r.action = 'start' AND status = 'stopped' THEN 'running'
+             WHEN r.action = 'rm' THEN 'Stack is running. Please stop first' ELSE 'running' END AS msg,
+        CASE WHEN r.action = 'stop' AND status = 'running' THEN 'stopped'
+             WHEN r.action = 'rm' AND status = 'stopped' THEN 'removed'
+             WHEN r.action = 'start' AND status = 'stopped' THEN 'running' ELSE status END AS status
+      FROM turns t JOIN r ON t.uuid = r.uuid AND r.n = t.n + 1)
+    SELECT uuid, asked, action, ok, msg, status FROM turns WHERE n > 0
+    """,
+)
+def _(t):
+    states = t.orders.select(F.col("o_orderkey").alias("uuid"), F.expr(_STATUS).alias("status"))
+    states = states.unionByName(t.spark.createDataFrame([(-1, "running")], "uuid bigint, status string"))
+    requests = t.lineitem.selectExpr(*_REQUESTS)
+    rules = mutations.TRANSITIONS | {"start": ("stopped", "running")}
+    done = mutations.transitions_in_turn(
+        requests, states, "uuid", ["asked", "l_partkey", "l_suppkey", "l_linenumber", "action"], rules
+    )
+    return done.select("uuid", "asked", "action", "ok", "msg", "status")
+
+
 @plan(
     "increment_counter",
     """
