@@ -99,3 +99,59 @@ def leaves(text: str, into_lists: bool = False, top_lists: bool = False) -> Iter
         want, empty = (_COMMA_OR_END if stack else _DONE), False
     if not _REST.match(text, pos):
         raise ValueError(f"no JSON at character {pos}")
+
+
+
+def indented(text: str, indent: int = 2, sort_keys: bool = True) -> str:
+    """The JSON text with a line for each member, by default in order of the keys' code points.
+
+    A first pass finds the members of all containers, a second one writes them in order from a stack,
+    so documents may nest to any depth.  Strings and numbers stay as they are written; of equal keys the last counts.
+    """
+    list(leaves(text))  # is it JSON?
+    tree: list = []  # containers: [bracket, members]; a member is (key, plain text or number of a container)
+    open_: list[int] = []
+    key, pos, root = None, 0, None
+    while token := _TOKEN.match(text, pos):
+        string, mark, scalar = token.groups()
+        pos = token.end()
+        if mark in ("}", "]"):
+            open_.pop()
+            continue
+        if mark in (",", ":"):
+            continue
+        if string and open_ and tree[open_[-1]][0] == "{" and key is None:
+            key = string
+            continue
+        member = string or scalar or len(tree)
+        if mark:
+            tree.append([mark, []])
+        if open_:
+            tree[open_[-1]][1].append((key, member))
+        else:
+            root = member
+        key = None
+        if mark:
+            open_.append(member)
+    out: list[str] = []
+    todo: list = [("", root, "", 0)]  # what stands before a value, the value, what follows it, its depth
+    while todo:
+        before, value, after, depth = todo.pop()
+        line = " " * (indent * depth) + before
+        if isinstance(value, str):
+            out.append(line + value + after)
+            continue
+        bracket, members = tree[value]
+        end = {"{": "}", "[": "]"}[bracket]
+        if bracket == "{":
+            members = list({string_value(k): (k, v) for k, v in members}.items())
+            members = [m for _, m in (sorted(members, key=lambda m: m[0]) if sort_keys else members)]
+        if not members:
+            out.append(line + bracket + end + after)
+            continue
+        out.append(line + bracket)
+        todo.append(("", end, after, depth))
+        for n in range(len(members) - 1, -1, -1):
+            k, v = members[n]
+            todo.append((f"{k}:" if k is not None else "", v, "," if n < len(members) - 1 else "", depth + 1))
+    return "\n".join(out)

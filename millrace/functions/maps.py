@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from millrace.functions.json_scan import indented
+
 
 def reverse_lookup(m: Column, value: Column) -> Column:
     """First key, in map order, whose value equals ``value``; null if there is none."""
@@ -25,3 +28,13 @@ def sorted_json(json: Column) -> Column:
 def json_value(json: Column, path: str) -> Column:
     """Text found at a JSON path such as ``$[0].Config.Cmd``."""
     return F.get_json_object(json, path)
+
+
+def indented_json(json: Column, indent: int = 2, sort_keys: bool = True) -> Column:
+    """The same document with a line for each member, of any depth; null stays null, other texts than JSON fail."""
+
+    @F.pandas_udf("string")
+    def write(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: indented(t, indent, sort_keys), na_action="ignore")
+
+    return write(json)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterator
+from typing import NamedTuple
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 
 from millrace.functions.arrays import distance
 from millrace.functions.hashing import unit_interval
+from millrace.operators.numbering import number_rows
+from millrace.scratch import persist_table
 
 # The training parameters of the jobs.
 KMEANS_CLUSTERS = 2
@@ -57,29 +61,84 @@ def closed_form_line(df: DataFrame, x: str, y: str) -> DataFrame:
     )
 
 
+class Clusters(NamedTuple):
+    """The centres of the cheapest run, and the sum of squared distances to them."""
+
+    centres: np.ndarray
+    cost: float
+
+    def clusterCenters(self) -> list[np.ndarray]:
+        return list(self.centres)
+
+
 def train_kmeans(
     points: DataFrame,
     k: int = KMEANS_CLUSTERS,
     max_iter: int = KMEANS_ITERATIONS,
     runs: int = KMEANS_RUNS,
     seed: int = 1,
-    parallelism: int = 4,
-) -> KMeansModel:
-    """The cheapest of ``runs`` randomly started fits over the cached points."""
-    cached = points.select("features").persist()
-
-    def fit(run: int) -> tuple[float, int, KMeansModel]:
-        model = KMeans(k=k, maxIter=max_iter, initMode="random", seed=seed + run).fit(cached)
-        return model.summary.trainingCost, run, model
+    tolerance: float = 1e-4,
+) -> Clusters:
+    """The cheapest of ``runs`` randomly started fits.
 
+    One pass over the points moves the centres of all runs: a task measures its points against ``runs * k``
+    centres and sends one sum for each, so the number of passes is that of the iterations.
+    Starts are distinct points picked by hash; a centre without points stays where it is.
+    """
+    cached = points.select(vector_to_array("features").alias("x")).filter("x is not null").persist()
     try:
-        with ThreadPoolExecutor(parallelism) as pool:
-            return min(pool.map(fit, range(runs)), key=lambda r: r[:2])[2]
+        by_hash = F.xxhash64(F.lit(seed), "x")
+        picked = cached.select("x", by_hash.alias("h")).distinct().orderBy("h").limit(runs * k).collect()
+        starts = np.array([r["x"] for r in picked])
+        if len(starts) < k:
+            raise ValueError(f"{len(starts)} distinct points are fewer than {k} clusters")
+        rng = np.random.default_rng(seed)
+        centres = np.stack([starts[rng.choice(len(starts), k, replace=False)] for _ in range(runs)])
+        for _ in range(max_iter):
+            counts, sums, _ = _lloyd_sums(cached, centres)
+            moved = np.where(counts[..., None] > 0, sums / np.maximum(counts, 1)[..., None], centres)
+            still = ((moved - centres) ** 2).sum(-1).max() <= tolerance**2
+            centres = moved
+            if still:
+                break
+        _, _, costs = _lloyd_sums(cached, centres)
+        best = int(costs.argmin())
+        return Clusters(centres[best], float(costs[best]))
     finally:
         cached.unpersist()
 
 
-def centres_frame(spark: SparkSession, model: KMeansModel) -> DataFrame:
+def _lloyd_sums(points: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each run and cluster the number and the sum of its nearest points, and each run's cost."""
+    runs, k, width = centres.shape
+    flat = centres.reshape(runs * k, width)
+
+    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts, sums, cost = np.zeros(runs * k), np.zeros((runs * k, width)), np.zeros(runs)
+        for batch in batches:
+            for low in range(0, len(batch), 4096):
+                x = np.stack(batch["x"].iloc[low : low + 4096])
+                squares = (x**2).sum(1)[:, None] - 2 * x @ flat.T + (flat**2).sum(1)
+                near = squares.reshape(len(x), runs, k).argmin(2)
+                own = near + np.arange(runs) * k
+                cost += np.maximum(np.take_along_axis(squares, own, 1), 0).sum(0)
+                counts += np.bincount(own.ravel(), minlength=runs * k)
+                chosen = np.zeros((len(x), runs * k))
+                np.put_along_axis(chosen, own, 1, 1)
+                sums += chosen.T @ x
+        values = np.column_stack([counts, sums, np.repeat(cost, k)])
+        yield pd.DataFrame({"place": np.arange(values.size), "value": values.ravel()})
+
+    # One number for each coordinate of each centre reaches the driver, whatever the number of points.
+    added = points.mapInPandas(add_up, "place int, value double").groupBy("place").agg(F.sum("value").alias("value"))
+    values = np.zeros((runs * k, width + 2))
+    for r in added.collect():
+        values.flat[r["place"]] = r["value"]
+    values = values.reshape(runs, k, width + 2)
+    return values[..., 0], values[..., 1:-1], values[:, 0, -1]
+
+
+def centres_frame(spark: SparkSession, model: Clusters) -> DataFrame:
     """``cluster, centre`` of a fitted model (k rows)."""
     rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
     return spark.createDataFrame(rows, "cluster int, centre array<double>")
@@ -113,6 +172,28 @@ def assign_clusters(
     )
 
 
+class Factors(NamedTuple):
+    """A fitted factorisation with the dense numbers of its users and items."""
+
+    model: ALSModel
+    users: DataFrame
+    items: DataFrame
+
+
+def dense_numbers(ids: DataFrame, name: str) -> DataFrame:
+    """``name, number``: the distinct ids, which may be of any type, numbered from 1; null has no number."""
+    numbered = number_rows(ids.select(name).filter(F.col(name).isNotNull()).distinct(), name, "number")
+    return persist_table(numbered, "numbers")
+
+
+def _numbered(pairs: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
+    """Add the numbers ``u, i`` of users and items; pairs with an unknown one go."""
+    known = pairs.join(users.withColumnRenamed("number", "u"), "user")
+    known = known.join(items.withColumnRenamed("number", "i"), "item")
+    # More than 2^31 users or items fail here, as the factorisation numbers them with integers.
+    return known.withColumns({"u": F.col("u").cast("int"), "i": F.col("i").cast("int")})
+
+
 def train_als(
     ratings: DataFrame,
     rank: int = ALS_RANK,
@@ -120,8 +201,8 @@ def train_als(
     reg: float = ALS_LAMBDA,
     seed: int = 1,
     blocks: int | None = None,
-) -> ALSModel:
-    """Matrix factorisation of ``user, item, rating``.
+) -> Factors:
+    """Matrix factorisation of ``user, item, rating``; ids may be of any type and size.
 
     Users and items are dealt to ``blocks`` tasks each, by default as many as a shuffle has.
     """
@@ -133,17 +214,19 @@ def train_als(
         maxIter=max_iter,
         regParam=reg,
         seed=seed,
-        userCol="user",
-        itemCol="item",
+        userCol="u",
+        itemCol="i",
         ratingCol="rating",
         coldStartStrategy="drop",
     )
-    return als.fit(ratings)
+    users, items = dense_numbers(ratings, "user"), dense_numbers(ratings, "item")
+    return Factors(als.fit(_numbered(ratings, users, items).select("u", "i", "rating")), users, items)
 
 
-def predict_pairs(model: ALSModel, pairs: DataFrame) -> DataFrame:
+def predict_pairs(factors: Factors, pairs: DataFrame) -> DataFrame:
     """Predicted rating of every (user, item) whose user and item were trained on."""
-    return model.transform(pairs.select("user", "item")).select(
+    known = _numbered(pairs.select("user", "item"), factors.users, factors.items)
+    return factors.model.transform(known).select(
         "user", "item", F.col("prediction").cast("double").alias("prediction")
     )
 

@@ -33,9 +33,7 @@ def except_names(a: DataFrame, b: DataFrame, col: str) -> DataFrame:
 def append_rows_checked(df: DataFrame, rows: DataFrame) -> DataFrame:
     """Append rows by position; a different number of columns is an error."""
     if len(rows.columns) != len(df.columns):
-        raise ValueError(
-            f"row has incorrect number of values, {len(rows.columns)} != {len(df.columns)}"
-        )
+        raise ValueError(f"cannot append rows of {len(rows.columns)} columns to a table of {len(df.columns)}")
     return df.union(rows)
 
 

@@ -15,6 +15,7 @@ from millrace.plans.join_plans import (
     vertices,
 )
 from millrace.plans.registry import plan
+from millrace.scratch import persist_table
 from millrace.sources.generated import rows_literal
 
 # -- aggregations -----------------------------------------------------------------------
@@ -266,6 +267,54 @@ def _(t):
     return profile.skewed_values(t.lineitem, ["l_returnflag", "l_linestatus"], 0.1)
 
 
+@plan(
+    "skewed_values_of_many",
+    """
+    SELECT l_quantity, l_returnflag, count(*) AS cnt FROM lineitem
+    GROUP BY ALL HAVING count(*) > 0.0067::DOUBLE * (SELECT count(*) FROM lineitem)
+    """,
+)
+def _(t):
+    return profile.skewed_values(t.lineitem, ["l_quantity", "l_returnflag"], 0.0067)
+
+
+@plan(
+    "merge_statistics",
+    """
+    WITH o AS (SELECT o_orderkey, o_totalprice, o_orderpriority, o_orderdate FROM orders),
+    each AS (
+      SELECT 'o_orderkey' AS column_name, count(*) - count(o_orderkey) AS num_nulls, min(o_orderkey) AS long_low,
+             max(o_orderkey) AS long_high, NULL::DOUBLE AS double_low, NULL::DOUBLE AS double_high,
+             NULL::DOUBLE AS avg_length, NULL::BIGINT AS max_length FROM o
+      UNION ALL SELECT 'o_totalprice', count(*) - count(o_totalprice), NULL, NULL, min(o_totalprice), max(o_totalprice), NULL, NULL FROM o
+      UNION ALL SELECT 'o_orderpriority', count(*) - count(o_orderpriority), NULL, NULL, NULL, NULL,
+             round(avg(length(o_orderpriority)), 6), max(length(o_orderpriority)) FROM o
+      UNION ALL SELECT 'o_orderdate', count(*) - count(o_orderdate), floor(epoch(min(o_orderdate)))::BIGINT,
+             floor(epoch(max(o_orderdate)))::BIGINT, NULL, NULL, NULL, NULL FROM o)
+    SELECT *, true AS distincts_close, true AS median_close FROM each
+    """,
+)
+def _(t):
+    """Statistics by status and priority, stored; one status comes later, and all are added up."""
+    orders = t.orders.select("o_orderstatus", "o_orderkey", "o_totalprice", "o_orderpriority", "o_orderdate")
+    late = F.col("o_orderstatus") == "F"
+    stored = persist_table(profile.partition_statistics(orders.filter(~late), ["o_orderstatus"]), "statistics")
+    new = profile.partition_statistics(orders.filter(late), ["o_orderstatus"])
+    whole = profile.read_statistics(profile.merge_statistics(stored.unionByName(new)))
+    columns = ["o_orderkey", "o_totalprice", "o_orderpriority", "o_orderdate"]
+    numbers = ["o_orderkey", "o_totalprice"]
+    distinct = F.create_map(*[x for c in columns for x in (F.lit(c), F.count_distinct(c))])
+    median = F.create_map(*[x for c in numbers for x in (F.lit(c), F.percentile(c, F.array(F.lit(0.45), F.lit(0.55))))])
+    checked = whole.crossJoin(orders.agg(distinct.alias("n"), median.alias("around")))
+    around, middle = F.col("around")[F.col("column_name")], F.col("quantiles")[0]
+    return checked.select(
+        "column_name", "num_nulls", "long_low", "long_high", "double_low", "double_high",
+        F.round("avg_length", 6).alias("avg_length"), "max_length",
+        (F.abs(F.col("num_distincts") / F.col("n")[F.col("column_name")] - 1) < 0.05).alias("distincts_close"),
+        F.coalesce(middle.between(around[0], around[1]), F.lit(True)).alias("median_close"),
+    )
+
+
 # -- sorting ----------------------------------------------------------------------------
 
 

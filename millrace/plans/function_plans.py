@@ -307,6 +307,23 @@ def _(t):
     )
 
 
+@plan(
+    "indented_json",
+    """
+    SELECT o_orderkey, '{' || chr(10) || '  "compute":[' || chr(10) || '    "a]{",' || chr(10) || '    {}' || chr(10) || '  ],' || chr(10)
+      || '  "status":"' || o_orderstatus || '",' || chr(10) || '  "storage":{' || chr(10)
+      || '    "class":"' || o_orderpriority || '",' || chr(10) || '    "custkey":' || o_custkey || chr(10) || '  }' || chr(10) || '}' AS text
+    FROM orders
+    """,
+)
+def _(t):
+    doc = F.concat(
+        F.lit('{"status": "'), "o_orderstatus", F.lit('", "storage": {"custkey":'), F.col("o_custkey").cast("string"),
+        F.lit(', "class" : "'), "o_orderpriority", F.lit('"}, "compute": ["a]{", {}]}'),
+    )
+    return t.orders.select("o_orderkey", maps.indented_json(doc).alias("text"))
+
+
 @plan(
     "register_function",
     "SELECT p_partkey, p_retailprice * 2 + p_size AS score FROM part",

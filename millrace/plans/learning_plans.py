@@ -102,21 +102,20 @@ def _(t):
     return placed.select("vec_id", F.col("label").alias("cluster"), F.round("distance", 5).alias("distance"))
 
 
-def integer_ratings(t):
-    """Ratings with the integer ids that the factorisation asks for, written once."""
-    rows = ratings(t).withColumns({"user": F.col("user").cast("int"), "item": F.col("item").cast("int")})
-    return persist_table(rows, "ratings")
+def written_ratings(t):
+    """Ratings, written once, as fitting and scoring read them many times."""
+    return persist_table(ratings(t), "ratings")
 
 
 @plan("predict_pairs")
 def _(t):
-    known = integer_ratings(t)
+    known = written_ratings(t)
     return learning.predict_pairs(learning.train_als(known), known)
 
 
 @plan("train_als")
 def _(t):
-    known = integer_ratings(t)
+    known = written_ratings(t)
     predicted = learning.predict_pairs(learning.train_als(known), known)
     both = joins.join_actual_predicted(known, predicted)
     return aggregates.mean_squared_error(both, "rating", "prediction")

@@ -8,11 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _name(dotted: str) -> str:
+    """A table or database name in SQL text; its parts may hold any characters but dots."""
+    return ".".join("`" + part.replace("`", "``") + "`" for part in dotted.split("."))
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def create_database(spark: SparkSession, name: str, location: str | None = None) -> None:
     """Create a database if it is missing, and make it the current one."""
-    where = f" LOCATION '{location}'" if location else ""
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {name}{where}")
-    spark.sql(f"USE {name}")
+    where = " LOCATION " + _text(location) if location else ""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {_name(name)}{where}")
+    spark.sql(f"USE {_name(name)}")
 
 
 def convert_to_columnar(df: DataFrame, table: str, path: str | None = None, fmt: str = "parquet") -> DataFrame:
@@ -35,7 +44,7 @@ def load_overwrite(df: DataFrame, table: str) -> None:
 
 
 def drop_table(spark: SparkSession, table: str) -> None:
-    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    spark.sql(f"DROP TABLE IF EXISTS {_name(table)}")
 
 
 def write_partitioned(
@@ -59,7 +68,7 @@ def _rebalanced(df: DataFrame, keys: Sequence[str], parts: int | None = None) ->
 
 def list_partitions(spark: SparkSession, table: str) -> DataFrame:
     """The key tuples of a partitioned table."""
-    return spark.sql(f"SHOW PARTITIONS {table}")
+    return spark.sql(f"SHOW PARTITIONS {_name(table)}")
 
 
 def bucket_count(df: DataFrame, bucket_bytes: int = 128 << 20) -> int:

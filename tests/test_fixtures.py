@@ -285,6 +285,34 @@ POINTS = [0.0, 0.1, 0.2, 9.0, 9.1, 9.2]
 TASTES = [(u, i, 5.0 if (u <= 2) == (i % 2 == 1) else 1.0) for u in range(1, 5) for i in range(1, 5)]
 
 
+def test_factors_of_large_and_named_ids(spark):
+    known = spark.createDataFrame([(u + 3_000_000_000, f"item {i}", r) for u, i, r in TASTES], "user bigint, item string, rating double")
+    factors = learning.train_als(known)
+    asked = known.select("user", "item").union(spark.createDataFrame([(7, "item 1"), (None, "item 1")], "user bigint, item string"))
+    predicted = learning.predict_pairs(factors, asked)
+    assert dict(predicted.dtypes)["user"] == "bigint" and predicted.count() == known.count()
+    assert {r.user for r in predicted.collect()} == {r.user for r in known.collect()}
+
+
+def test_kmeans_needs_as_many_points_as_clusters(spark):
+    one = learning.vectors(spark.createDataFrame([([1.0],), ([1.0],)], "p array<double>"), "p")
+    with pytest.raises(ValueError, match="distinct points"):
+        learning.train_kmeans(one)
+
+
+def test_names_and_places_that_need_quotes(spark, tmp_path):
+    name = f"{abs(hash(str(tmp_path)))}_select"
+    before = spark.catalog.currentDatabase()
+    sinks.create_database(spark, name, str(tmp_path / "it's here"))
+    try:
+        sinks.convert_to_columnar(spark.range(3), "table")
+        assert spark.table("`table`").count() == 3
+        sinks.drop_table(spark, f"{name}.table")
+    finally:
+        spark.catalog.setCurrentDatabase(before)
+        spark.sql(f"DROP DATABASE {sinks._name(name)} CASCADE")
+
+
 def test_kmeans_golden(spark, tmp_path):
     (tmp_path / "kmeans.data").write_text("".join(f"{p} {p} {p}\n" for p in POINTS))
     points = files.scan_vectors(spark, str(tmp_path))

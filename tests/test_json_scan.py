@@ -8,7 +8,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.functions.json_scan import leaves
+from millrace.functions import maps
+from millrace.functions.json_scan import indented, leaves
 from millrace.operators import nested
 
 
@@ -93,3 +94,23 @@ def test_keys_of_any_type_and_many_leaves(spark, monkeypatch):
     assert nested.json_leaves(df.limit(0), "id", "doc").count() == 0
     with pytest.raises(Exception, match="no JSON"):
         nested.json_leaves(spark.createDataFrame([(1, "{oops}")], "id int, doc string"), "id", "doc").collect()
+
+
+def test_indented_texts():
+    rng = random.Random(5)
+    for _ in range(500):
+        doc = random_value(rng, 5)
+        for sort_keys in (True, False):
+            want = json.dumps(doc, sort_keys=sort_keys, indent=2, separators=(",", ":"), ensure_ascii=False)
+            assert indented(json.dumps(doc, ensure_ascii=False), sort_keys=sort_keys) == want
+    assert indented('{"b":1,"a":2,"b":3}') == '{\n  "a":2,\n  "b":3\n}'
+    deep = indented(chain(3000))
+    assert deep.count("\n") == 6000
+    with pytest.raises(ValueError):
+        indented("{oops}")
+
+
+def test_indented_column(spark):
+    df = spark.createDataFrame([('{"k": [1, "]"]}',), (None,)], "doc string")
+    rows = [r.t for r in df.select(maps.indented_json(F.col("doc"), 1).alias("t")).collect()]
+    assert rows == ['{\n "k":[\n  1,\n  "]"\n ]\n}', None]
