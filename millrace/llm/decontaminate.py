@@ -22,14 +22,14 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ERROR_RATE = 0.06
 MIN_CHARS = 32
 BLOCK_BYTES = 1 << 20
 
-SCHEMA = "doc_id bigint, item_id bigint, edits int, `begin` int, `end` int"
+HITS = "known boolean, doc_id bigint, check bigint, item_id bigint, edits int, `begin` int, `end` int"
 
 
 def normal(text: str | None) -> str:
@@ -145,11 +145,26 @@ def find_leaks(
 
     ``begin`` and ``end`` count characters of the document's normal text.
     """
+    found = _hits(docs, benchmark, doc_id, text, item_id, item_text, error_rate, min_chars, block_bytes)
+    return found.select(F.when(F.col("known"), F.col("doc_id")).alias("doc_id"), "item_id", "edits", "begin", "end")
+
+
+def _hits(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    doc_id: str,
+    text: str,
+    item_id: str = "item_id",
+    item_text: str = "text",
+    error_rate: float = ERROR_RATE,
+    min_chars: int = MIN_CHARS,
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // block_bytes)
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(*_row_key(doc_id, text), F.col(text).alias("text"))
 
     def search(block: int) -> DataFrame:
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
@@ -159,22 +174,30 @@ def find_leaks(
             finder = Finder(shared.value, error_rate, min_chars)
             for batch in batches:
                 found = [
-                    (d, *hit)
-                    for d, t in zip(batch["doc_id"], batch["text"], strict=True)
+                    (known, d, check, *hit)
+                    for known, d, check, t in zip(batch["known"], batch["doc_id"], batch["check"], batch["text"], strict=True)
                     for hit in finder.search(t)
                 ]
-                out = pd.DataFrame(found, columns=["doc_id", "item_id", "edits", "begin", "end"])
-                yield out.astype({"doc_id": "Int64", "item_id": "Int64"})
+                out = pd.DataFrame(found, columns=["known", "doc_id", "check", "item_id", "edits", "begin", "end"])
+                yield out.astype({"item_id": "Int64"})
 
-        return rows.mapInPandas(scan, SCHEMA)
+        return rows.mapInPandas(scan, HITS)
 
-    found = spark.createDataFrame([], SCHEMA)
+    found = spark.createDataFrame([], HITS)
     for block in range(blocks):
         found = search(block) if block == 0 else found.unionByName(search(block))
     return found
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
-    """The documents in which no item was found.  Rows with a null id are kept: nothing names them."""
-    leaking = find_leaks(docs, benchmark, doc_id, **options).select(F.col("doc_id").alias("__leak"))
-    return docs.join(leaking.distinct(), F.col(doc_id) == F.col("__leak"), "left_anti")
+def _row_key(doc_id: str, text: str) -> list[Column]:
+    """Id and text hash, which tell rows apart; a null id is marked, as Python would turn ids beside nulls into fractions."""
+    number = F.coalesce(F.col(doc_id).cast("bigint"), F.lit(0).cast("bigint"))
+    return [F.col(doc_id).isNotNull().alias("known"), number.alias("doc_id"), F.xxhash64(text).alias("check")]
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows in whose text no item was found; rows that share an id are judged each by its own text."""
+    leaking = _hits(docs, benchmark, doc_id, text, **options).select("known", "doc_id", "check").distinct()
+    names = ["__known", "__doc", "__check"]
+    keyed = docs.withColumns(dict(zip(names, _row_key(doc_id, text), strict=True)))
+    return keyed.join(leaking.toDF(*names), names, "left_anti").drop(*names)

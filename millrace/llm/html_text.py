@@ -12,7 +12,7 @@ altered copies of them: main parts under other names and with foreign blocks put
 that the text and the siblings must speak where the markup is silent.
 
 Cases: null, empty and plain texts are pages without elements (plain text is kept); broken
-markup is read as far as it goes; very long pages are read whole; equal pages get equal
+markup is read in one forward scan, a tag that never ends is text; very long pages are read whole; equal pages get equal
 texts; an empty table gives no rows; other columns pass through, a column named like the
 result is replaced.
 """
@@ -181,13 +181,17 @@ def altered(source: str, rng: random.Random, words: list[str]) -> str:
 
 
 def fit_model(pages: DataFrame, html: str = "html", sample_pages: int = 150, page_chars: int = 100_000):
-    """Trees learnt from ``sample_pages`` pages of at most ``page_chars``; None if there are none."""
+    """Trees learnt from ``sample_pages`` distinct pages of at most ``page_chars``; None if there are none.
+
+    Both bound the sample, not the pages that are read afterwards.
+    """
     short = pages.select(html).filter(F.length(html).between(1, page_chars))
     # The hashes alone are ranked first, so that tasks send the driver no pages but the sample's.
     hashed = short.select(html, F.xxhash64(html).alias("__hash"))
-    ranks = hashed.select("__hash").orderBy("__hash").limit(sample_pages).collect()
+    # Each page counts once, however often it is repeated.
+    ranks = hashed.select("__hash").distinct().orderBy("__hash").limit(sample_pages).collect()
     last = ranks[-1][0] if ranks else None
-    rows = hashed.filter(F.col("__hash") <= F.lit(last)).orderBy("__hash", html).limit(sample_pages).collect()
+    rows = hashed.filter(F.col("__hash") <= F.lit(last)).dropDuplicates(["__hash"]).orderBy("__hash").collect()
     rng = random.Random(4)
     sources = [r[0] for r in rows]
     words = [w for s in sources[:40] for w in main_text(s, None).split()][:20_000]

@@ -187,7 +187,7 @@ def classify_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     chain = toxicity.fit_model(docs, load(spark, sf_dir, "labels"))
     scored = toxicity.score(docs, chain)
     return scored.select(
-        "doc_id", "p_insult", "p_contempt", "p_toxic", (F.col("p_toxic") >= 0.5).alias("toxic")
+        "doc_id", "p_group_1", "p_group_2", "p_toxic", (F.col("p_toxic") >= 0.5).alias("toxic")
     )
 
 

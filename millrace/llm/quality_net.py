@@ -7,9 +7,9 @@ short segments, and the segments' maxima enter twice: as their mean (how common
 is) and as their maximum (whether it occurs at all).  Chunks combine the same way, and a
 small dense layer turns the pooled answers into one probability.
 
-Fitting uses a bounded sample (``rows_per_class`` documents of each class, at most
-``fit_chunks`` chunks of each) on the driver; scoring runs inside the map tasks over every
-byte of every text, in blocks of bounded size, without a shuffle.
+Fitting uses whole texts of a bounded sample on the driver: ``rows_per_class`` documents of each class, drawn
+among those of at most ``text_bytes``.  Scoring runs inside the map tasks over every byte of every text,
+in blocks of bounded size, without a shuffle.
 
 Cases: null and empty texts are scored as one empty chunk; very long texts go through in
 blocks; equal texts get equal scores; an empty table gives no rows; without labels of both
@@ -165,7 +165,7 @@ def fit(
     }
     model["bytes"][0] = 0
     ids, lengths = as_matrix(chunks)
-    seen = repeats(ids)
+    seen = np.concatenate([repeats(ids[i : i + BLOCK]).astype(bool) for i in range(0, len(ids), BLOCK)])
     by_owner = np.argsort(owners, kind="stable")
     bounds = np.searchsorted(owners[by_owner], np.arange(len(labels) + 1))
     first = {k: np.zeros_like(v) for k, v in model.items()}
@@ -189,9 +189,11 @@ def fit(
 
 
 def _gradients(model, ids, seen, lengths, own, labels) -> Model:
+    """Gradients over the chunks of some documents; inputs are built ``BLOCK`` chunks at a time, twice."""
     n = len(labels)
-    rows = _inputs(model, ids, seen)
-    tops, at = _filter(model, rows)
+    blocks = [slice(i, i + BLOCK) for i in range(0, len(ids), BLOCK)]
+    found = [_filter(model, _inputs(model, ids[b], seen[b])) for b in blocks]
+    tops, at = (np.concatenate(x) for x in zip(*found, strict=True))
     held = _segments(lengths)[..., None]
     tops = tops * held
     count = np.zeros((n, 1), np.float32)
@@ -214,29 +216,32 @@ def _gradients(model, ids, seen, lengths, own, labels) -> Model:
     d_tops = ((d_pooled[:, :FILTERS] / count)[own])[:, None, :] * held
     winner = tops == largest[own][:, None, :]
     d_tops = (d_tops + winner * d_pooled[:, FILTERS:][own][:, None, :]) * (tops > 0)
-    # Only the place that won its segment hears of the error.
+    g["filters"], g["shift"] = np.zeros_like(model["filters"]), np.zeros_like(model["shift"])
+    g["bytes"] = np.zeros_like(model["bytes"])
+    for b in blocks:
+        _add_gradients(g, model, ids[b], seen[b], at[b], d_tops[b])
+    return g
+
+
+def _add_gradients(g: Model, model: Model, ids: np.ndarray, seen: np.ndarray, at: np.ndarray, d_tops: np.ndarray) -> None:
+    """Only the place that won its segment hears of the error."""
+    rows = _inputs(model, ids, seen)
     c, s, f = np.nonzero(d_tops)
     place = s * SEGMENT + at[c, s, f]
-    value = d_tops[c, s, f].astype(np.float32)
     places = rows.shape[1]
     d_answers = np.zeros((len(ids) * places, FILTERS), np.float32)
-    d_answers[c * places + place, f] = value
+    d_answers[c * places + place, f] = d_tops[c, s, f].astype(np.float32)
     flat = rows.reshape(len(ids) * places, -1)
     touched = np.unique(c * places + place)
     d_some = d_answers[touched]
-    g["filters"], g["shift"] = flat[touched].T @ d_some, d_some.sum(0)
+    g["filters"] += flat[touched].T @ d_some
+    g["shift"] += d_some.sum(0)
     d_rows = (d_some @ model["filters"].T).reshape(len(touched), WIDTH, VECTOR + 1)[..., :VECTOR]
     byte = ids[touched // places][
         np.arange(len(touched))[:, None], (touched % places)[:, None] * STRIDE + np.arange(WIDTH)
     ]
-    g["bytes"] = np.stack(
-        [
-            np.bincount(byte.ravel(), d_rows[..., v].ravel(), 257).astype(np.float32)
-            for v in range(VECTOR)
-        ],
-        1,
-    )
-    return g
+    for v in range(VECTOR):
+        g["bytes"][:, v] += np.bincount(byte.ravel(), d_rows[..., v].ravel(), 257).astype(np.float32)
 
 
 def fit_model(
@@ -246,29 +251,19 @@ def fit_model(
     text: str = "text",
     label: str = "quality",
     rows_per_class: int = 1200,
-    fit_chunks: int = 3,
+    text_bytes: int = 1 << 16,
 ) -> Model | float:
     """Learn from a bounded sample; a single number if there are not two classes to learn."""
-
-    @F.pandas_udf("array<binary>")
-    def some_chunks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            picked = []
-            for t in texts:
-                every = chunks_of((t or "").encode("utf-8", "replace"))
-                places = np.linspace(0, len(every) - 1, min(fit_chunks, len(every))).astype(int)
-                picked.append([every[i] for i in places])
-            yield pd.Series(picked)
-
-    sample = labelled_sample(docs.select(doc_id, text), labels, label, rows_per_class, doc_id)
-    rows = sample.select(doc_id, "__label", some_chunks(F.col(text)).alias("c")).collect()
+    # Both bound the rows of the sample; no text of it is cut.
+    short = docs.select(doc_id, text).filter(F.coalesce(F.octet_length(text), F.lit(0)) <= text_bytes)
+    sample = labelled_sample(short, labels, label, rows_per_class, doc_id, text)
+    rows = sample.select(doc_id, "__label", F.col(text).alias("t")).collect()
     rows.sort(key=lambda r: r[doc_id])
     known = np.array([r["__label"] for r in rows], np.float32)
     if not len(known) or known.min() == known.max():
         return float(known.mean()) if len(known) else 0.5
-    chunks = [bytes(c) for r in rows for c in r["c"]]
-    owners = np.repeat(np.arange(len(rows)), [len(r["c"]) for r in rows])
-    return fit(chunks, owners, known)
+    every = [chunks_of((r["t"] or "").encode("utf-8", "replace")) for r in rows]
+    return fit([c for chunks in every for c in chunks], np.repeat(np.arange(len(rows)), list(map(len, every))), known)
 
 
 def score(docs: DataFrame, model: Model | float, text: str = "text", out: str = "score") -> DataFrame:

@@ -12,8 +12,9 @@ copy of it.  Counts are those of ``Tokenizer.encode`` with ``add_special_tokens=
 special strings inside a text count as one token, as is the library's default.
 
 Texts made of printable ASCII and Latin letters up to U+024F, where normal form and
-character classes are beyond doubt, are split here; any other text, and any text with a
-special string, goes to the library whole.
+character classes are beyond doubt, are lower-cased and split by the tokenizer's pattern; other texts are
+normalised and split by its own steps.  Either way each pre-token is looked up.  Only a text with
+a special string, which cuts it in other places, is encoded by the library.
 
 Cases: null and empty texts have no tokens; very long texts and very long pre-tokens are
 counted whole (the latter are not cached); equal rows get equal counts; an empty table
@@ -51,7 +52,7 @@ _STAND_INS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in
 
 
 def byte_level(piece: str) -> str:
-    return piece if piece.isascii() else piece.encode().decode("latin-1").translate(_STAND_INS)
+    return piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(_STAND_INS)
 
 
 def _plain(entry: str) -> str:
@@ -118,9 +119,13 @@ class Counter:
         self.plain = re.compile("[\t\n\r\x20-\x7e\xa0-ɏ]*").fullmatch
 
     def count(self, text: str) -> int:
-        if not self.plain(text) or any(s in text for s in self.special):
+        if any(s in text for s in self.special):
             return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        return sum(map(self.lengths.__getitem__, self.split(text.lower())))
+        if self.plain(text):
+            return sum(map(self.lengths.__getitem__, self.split(text.lower())))
+        clean = self.tokenizer.normalizer.normalize_str(text)
+        pieces = self.tokenizer.pre_tokenizer.pre_tokenize_str(clean)
+        return sum(self.lengths[clean[begin:end]] for _, (begin, end) in pieces)
 
 
 def count_tokens(

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import random
+import time
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 from millrace import tables
 from millrace.llm import decontaminate, dom, html_text, plans, quality_net, token_counts, toxicity
-from millrace.llm.labels import is_held_out
+from millrace.llm.labels import is_held_out, labelled_sample
 
 DOCS = "doc_id bigint, text string, score string, n_tokens string"
 ODD = [(1, None, "own", "x"), (2, "", "own", "x"), (None, "text", "own", "x"), (3, "long words " * 20_000, "own", "x"),
@@ -105,6 +107,7 @@ def test_models_on_odd_rows(spark):
     assert quality_net.score(df.limit(0), model).count() == 0
 
     assert [m.weights for m in toxicity.fit_model(df, labels)] == [{}, {}, {}]
+    assert toxicity.score(df.limit(0), toxicity.fit_model(df, labels)).count() == 0
     seen = [toxicity.counts_of(toxicity.distinct_words(t)) for t in ["you idiot", "you moron", "nice day", "good one"] * 5]
     marks = np.array([[1, 0, 1], [1, 0, 1], [0, 0, 0], [0, 0, 0]] * 5, np.float32)
     chain = toxicity.fit_chain(seen, marks)
@@ -133,13 +136,61 @@ def test_toxicity_of_long_texts_scores_as_fitted():
 def test_toxicity_learns_from_every_word(spark):
     """The telling words come last in the alphabet, behind more words than any limit let through."""
     filler = " ".join("a" + f"{i:05d}".translate(str.maketrans("0123456789", "abcdefghij")) for i in range(21_000))
-    docs = [(i, f"{filler} {'worthless zzz' if i % 2 else 'weather'}") for i in range(16)]
+    docs = [(i, f"{filler} {'worthless zzz' if i % 2 else 'weather'}") for i in range(32)]
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
-    labels = spark.createDataFrame([(i, i % 2) for i in range(16)], "doc_id bigint, toxic int")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(32)], "doc_id bigint, toxic int")
     chain = toxicity.fit_model(df, labels)
-    assert chain[1].weights.get("=worthless", 0) > 0 and chain[2].weights.get("=zzz", 0) > 0
+    assert chain[2].weights.get("=worthless", 0) > 0 and chain[2].weights.get("=zzz", 0) > 0
     rows = toxicity.score(df, chain).collect()
-    assert all((r.p_toxic > 0.5) == (r.p_contempt > 0.5) == bool(r.doc_id % 2) for r in rows)
+    assert all((r.p_toxic > 0.5) == bool(r.doc_id % 2) for r in rows)
+
+
+def test_toxic_rows_fall_into_the_groups_of_their_words():
+    kinds = [["idiot", "moron", "fool"], ["trash", "junk", "rubbish"]]
+    rng = random.Random(3)
+    texts, labels, kind = [], [], []
+    for i in range(240):
+        words = rng.choices(["sun", "rain", "tree", "house", "road", "river", "bread"], k=6)
+        toxic = i % 3 == 0
+        which = (i // 3) % 2
+        if toxic:
+            words += rng.sample(kinds[which], 2)
+        texts.append(" ".join(words))
+        labels.append(float(toxic))
+        kind.append(which if toxic else -1)
+    sample = toxicity.Sample([toxicity.counts_of(toxicity.distinct_words(t)) for t in texts])
+    groups = [{sample.names[f] for f in g} for g in toxicity.word_groups(sample, np.array(labels, np.float32))]
+    assert sorted(map(sorted, groups)) == [["=fool", "=idiot", "=moron"], ["=junk", "=rubbish", "=trash"]]
+    marks = toxicity.marks_of(sample, np.array(labels, np.float32))
+    first = 0 if "=idiot" in groups[0] else 1
+    assert [list(m[:2]) for m in marks] == [[0, 0] if k < 0 else [float(k == first), float(k != first)] for k in kind]
+    # Out of fold: a word that only one fold knows stands in no group.
+    odd = [t + " unheard" if i % 4 == 0 and labels[i] else t for i, t in enumerate(texts)]
+    sample = toxicity.Sample([toxicity.counts_of(toxicity.distinct_words(t)) for t in odd])
+    assert all("=unheard" not in {sample.names[f] for f in g} for g in toxicity.word_groups(sample, np.array(labels, np.float32)))
+
+
+def test_one_row_of_a_labelled_id_is_learnt_from(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(3000)] + [(2, "good"), (3, None), (None, "x")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 9)] + [(2, 1), (2, 0)], "doc_id bigint, quality int")
+    sample = labelled_sample(docs, labels, "quality", 40)
+    rows = {r.doc_id: (r.text, r["__label"]) for r in sample.collect()}
+    open_ = {r.doc_id for r in docs.filter(~is_held_out(F.col("doc_id"))).select("doc_id").distinct().collect()}
+    assert set(rows) == open_ & {1, 2, 3} and sample.count() == len(rows)
+    assert sample.collect() == labelled_sample(docs.repartition(9), labels, "quality", 40).collect() or len(rows) > 1
+    if 2 in rows:
+        assert rows[2] == ("good", 0)
+
+
+def test_quality_learns_from_whole_texts(spark):
+    """What tells the classes apart stands in the middle of long texts, outside of any few chunks."""
+    filler = "the words go on and on " * 60
+    texts = [(i, filler + ("*** ### $$$ " * 12 if i % 2 else "more of the same ") + filler) for i in range(60)]
+    df = spark.createDataFrame([*texts, (61, "long " * 40_000)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(62)], "doc_id bigint, quality int")
+    model = quality_net.fit_model(df, labels)
+    rows = quality_net.score(df, model).collect()
+    assert sum((r.score > 0.5) == (r.doc_id % 2 == 0) for r in rows if r.doc_id < 60) >= 57
 
 
 def test_tokens_are_those_of_the_library(spark, sf_dir):
@@ -153,7 +204,8 @@ def test_tokens_are_those_of_the_library(spark, sf_dir):
     assert len(frequent) > 20_000 and frequent["the"] == 1 and frequent["é"] == 1
     texts = [r.text for r in tables.load(spark, sf_dir, "documents").collect()]
     texts += [None, "", " ", "<|endoftext|> a<|startoftext|>", "it's we'll 've''s", "İstanbul ΑΣ ẞ é", "日本語 ½ ²³ _a-b_",
-              "\x85\x1c x", "z" * 100_000, "á Å 👩‍👩‍👧", "don't " * 30_000]
+              "\x85\x1c x", "Он сказал: “привет” — Мир… ёж", "漢字かな交じり文 한국어 텍스트 ١٢٣", "e\u0301 ﬁ Ǆ ὈΔΥΣΣΕΎΣ \u200d\ufeff",
+              "".join(chr(c) for c in range(0x250, 0x3000) if chr(c).isprintable()), "".join(map(chr, range(1, 0x250))), "z" * 100_000, "á Å 👩‍👩‍👧", "don't " * 30_000]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").withColumn("n_bytes", F.lit("own"))
     got = {r.i: r for r in token_counts.count_tokens(df, path).collect()}
     for i, t in enumerate(texts):
@@ -207,6 +259,111 @@ def test_leaks_against_brute_force(spark):
     assert len({(r.doc_id, r.item_id) for r in got}) == len(got)
 
 
+def test_rows_without_leaks_are_told_apart_by_their_text(spark):
+    item = "a passage of the benchmark that is long enough to be found again"
+    large = 2**60 + 1
+    docs = [(None, f"x {item}"), (None, "clean"), (3, f"{item} y"), (3, "clean too"), (large, item), (large + 1, "fine"), (5, None), (6, ""),
+            (7, "long " * 100_000), (8, "long " * 100_000 + item), (8, "long " * 100_000 + item)]
+    df = spark.createDataFrame([(*d, "own") for d in docs], "doc_id bigint, text string, check string")
+    items = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    left = decontaminate.without_leaks(df, items)
+    assert left.columns == df.columns
+    got = sorted(((r.doc_id, r.text) for r in left.collect()), key=repr)
+    assert got == sorted(((d, t) for d, t in docs if item not in (t or "")), key=repr)
+    assert {r.doc_id for r in decontaminate.find_leaks(df, items).collect()} == {None, 3, large, 8}
+    assert decontaminate.without_leaks(df, items.limit(0)).count() == len(docs)
+    assert decontaminate.without_leaks(df.limit(0), items).count() == 0
+
+
+class Article(HTMLParser):
+    """An independent reading of a page: the blocks inside the article, without the parts that never belong to it."""
+
+    apart = frozenset({"aside", "form", "nav", "script", "style", "footer"})
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.skip, self.lines, self.line = 0, 0, [], ""
+
+    def handle_starttag(self, tag, attrs):
+        names = set((dict(attrs).get("class") or "").split()) | {dict(attrs).get("id")}
+        if tag == "article":
+            self.inside += 1
+        elif self.skip and tag not in ("br", "input", "img", "hr"):
+            self.skip += 1
+        elif tag in self.apart or names & {"comments", "ad", "notice", "related"}:
+            self.skip = 1
+        if tag in dom.BLOCKS:
+            self.end_block()
+
+    def handle_endtag(self, tag):
+        if tag == "article":
+            self.end_block()
+            self.inside -= 1
+        elif self.skip:
+            self.skip -= 1
+        if tag in dom.BLOCKS:
+            self.end_block()
+
+    def handle_data(self, data):
+        if self.inside and not self.skip:
+            self.line += data
+
+    def end_block(self):
+        if self.inside and self.line.split():
+            self.lines.append(" ".join(self.line.split()))
+        self.line = ""
+
+
+def article_of(source):
+    reader = Article()
+    reader.feed(source)
+    return "\n".join(reader.lines)
+
+
+def test_every_page_of_the_table(spark, larger):
+    sources = {r.page_id: r.html for r in tables.load(spark, larger, "pages").collect()}
+    got = {r.page_id: r for r in plans.QUERIES["op4_html_extraction"](spark, larger).collect()}
+    assert got.keys() == sources.keys()
+    for page, source in sources.items():
+        assert got[page].text == article_of(source)
+        assert got[page].n_chars == len(got[page].text)
+
+
+def test_repeated_pages_change_no_other(spark):
+    page = (
+        "<html><body><nav><a href=/>home</a><a href=/b>b</a></nav><article><h1>Title {0}</h1><p>First text {0}, which goes on.</p>"
+        "<p>More of it.</p></article><div class=comments><p>Nice {0}.</p></div><footer>end</footer></body></html>"
+    )
+    pages = [(i, page.format(i)) for i in range(40)]
+    often = pages + [(100 + i, page.format(0)) for i in range(2000)]
+    few, many = (
+        {r.page_id: r.text for r in html_text.extract(df, html_text.fit_model(df)).collect()}
+        for df in (spark.createDataFrame(x, "page_id int, html string") for x in (pages, often))
+    )
+    assert {i: many[i] for i in few} == few and set(t for i, t in many.items() if i >= 100) == {few[0]}
+    assert few[3] == "Title 3\nFirst text 3, which goes on.\nMore of it."
+
+
+@pytest.mark.parametrize("piece,tail", [
+    ("<a", ""), ("<script", ""), ("<x y", ""), ('<a "', ""), ('<a "', ">"), ("<a '\"x", ">"), ("<", ""), ("<!-", ""),
+    ("<div>", "</x>" * 1000), ('<p title="', "x"), ("<li><b>", ""), ("<table><td>", ""), ("<!-- ", ""), ("</p", ""),
+])
+def test_broken_pages_are_read_in_one_scan(piece, tail):
+    source = piece * (300_000 // len(piece)) + tail
+    began = time.process_time()
+    dom.read(source)
+    assert time.process_time() - began < 3
+
+
+def test_tokens_of_odd_markup():
+    text = lambda s: dom.text_of(p := dom.read(s), [True] * len(p.tags))
+    assert text("a < b <c") == "a < b <c" and text("1 <2> 3") == "1 <2> 3"
+    assert text("<p>x<!-- <p> --> y<?php z ?> w<!D>") == "x y w"
+    assert text("<script>if (a<b) '</p>'</script >t<style>never ends <p>x") == "t"
+    assert dom.read("<a title='>' href=x>y</a>").attrs[1] == " title='>' href=x"
+    assert text('<a "<b>bold</b>') == '<a "bold' and text("<SCRIPT>x</Script>y") == "y"
+
+
 def test_pages(spark):
     page = (
         "<html><head><title>T</title><script>x='</p>'</script></head><body><nav><a href=/>home</a></nav>"
