@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.text import word_count
+from millrace.operators.keys import spread
 from millrace.operators.numbering import number_rows
 from millrace.scratch import persist_table
 
@@ -153,15 +154,23 @@ def emit_mix(
     picked = (
         sample_copies(persist_table(sized, "sizes"), weights, cap, seed)
         .groupBy(*names)
-        .agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows"))
+        .agg(F.sum("copies").alias("__sampled"), F.count(F.lit(1)).alias("__repeats"))
     )
-    rows = docs.select("*", *keys).join(picked.filter("__copies > 0"), names)
-    nth = F.row_number().over(Window.partitionBy(*names).orderBy(*names))
-    rows = rows.withColumn("__nth", nth)
-    share = F.expr("__copies div __rows") + (F.col("__nth") <= F.expr("__copies % __rows")).cast("bigint")
+    rows = docs.select("*", *keys).join(picked.filter("__sampled > 0"), names)
+    alone = rows.filter("__repeats = 1").withColumn("__nth", F.lit(1).cast("bigint"))
+    repeated = rows.filter("__repeats > 1")
+    if picked.filter("__sampled > 0 AND __repeats > 1").isEmpty():
+        rows = alone
+    else:
+        # Places in the whole table, so that a row that fills much of it is numbered by many tasks.
+        placed = number_rows(repeated, names, "__place")
+        first = placed.groupBy(*names, spread(names)).agg(F.min("__place").alias("__first")).select(*names, "__first")
+        placed = placed.join(first, names).withColumn("__nth", F.col("__place") - F.col("__first") + 1)
+        rows = alone.unionByName(placed.drop("__place", "__first"))
+    share = F.expr("__sampled div __repeats") + (F.col("__nth") <= F.expr("__sampled % __repeats")).cast("bigint")
     return (
         rows.withColumn("__share", share)
         .filter("__share > 0")
         .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__share"))))
-        .drop("__share", "__nth", "__copies", "__rows", *names)
+        .drop("__share", "__nth", "__sampled", "__repeats", *names)
     )

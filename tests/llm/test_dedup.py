@@ -64,6 +64,44 @@ def test_join_against_brute_force(spark, monkeypatch, small):
     assert Counter(got) == Counter(expected)
 
 
+def template_rows(n, shared, own):
+    """Documents of one template: ``shared`` words of all, then ``own`` words of each."""
+    head = " ".join(f"t{i}" for i in range(shared))
+    return [(d, head + " " + " ".join(f"d{d}w{i}" for i in range(own))) for d in range(n)]
+
+
+@pytest.mark.parametrize("shared,own", [(204, 42), (204, 38), (204, 60)])
+def test_documents_of_a_template_do_not_meet(spark, shared, own):
+    """Shingles: 200 of all and 4 + own of each, so the similarity is below 75 % but near it; nothing grows as the square."""
+    similarity = 100 * 200 / (200 + 2 * (own + 4))
+    assert 60 < similarity < 75
+    met = []
+    for n in (150, 300):
+        df = spark.createDataFrame(template_rows(n, shared, own), "doc_id bigint, text string")
+        found = jaccard.features(df, "doc_id", "text", 75)
+        regions = jaccard.regions_of(found.select("cls", "pivots", "indexed"))
+        met.append((regions.count(), jaccard._pairs_of_small(regions).count()))
+        if n == 150:
+            got = jaccard.near_duplicates(df).collect()
+            assert all(r.component_id == r.doc_id for r in got)
+    assert met[1][0] <= 2.2 * met[0][0] + 50 and met[1][1] <= 2.2 * met[0][1] + 50
+
+
+def test_first_shared_shingle_is_near_both():
+    rng = np.random.default_rng(5)
+    none = np.zeros(0, np.uint64)
+    for _ in range(3000):
+        union = np.unique(rng.integers(0, 2**62, rng.integers(1, 60)).astype(np.uint64))
+        role = rng.choice([0, 1, 2], len(union), p=[0.8, 0.1, 0.1])
+        a, b = union[role != 1], union[role != 2]
+        if not len(a) or not len(b) or 100 * (role == 0).sum() < 75 * len(union):
+            continue
+        small, large = (a, b) if len(a) <= len(b) else (b, a)
+        first = np.intersect1d(a, b)[0]
+        near, home = jaccard.pivots_of(small, none, none, 75)
+        assert first in near[:home] and first in jaccard.pivots_of(large, none, none, 75)[0]
+
+
 def test_join_of_nothing(spark):
     df = spark.createDataFrame([(1, None), (1, None), (2, "")], "doc_id bigint, text string")
     assert sorted(map(tuple, jaccard.near_duplicates(df).collect())) == [(1, 0, 1), (1, 0, 1), (2, 0, 2)]
