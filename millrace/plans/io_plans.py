@@ -136,6 +136,44 @@ def _(t):
     return rows.groupBy("kind", "tag").agg(size, ids)
 
 
+@plan(
+    "scan_large_graph",
+    """
+    SELECT 'vertex' AS kind, c_mktsegment AS tag, count(*) AS n, sum(c_custkey)::BIGINT AS ids
+    FROM customer GROUP BY ALL
+    UNION ALL
+    SELECT 'edge', o_orderpriority, count(*), sum(o_custkey)::BIGINT FROM orders GROUP BY o_orderpriority
+    """,
+)
+def _(t):
+    """The whole graph as one document, which many tasks read again."""
+    root = scratch_path(t.spark, "graph")
+    vertex = F.to_json(F.struct(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("type"), F.col("c_custkey").alias("_id")))
+    edge = F.to_json(
+        F.struct(
+            F.col("o_orderkey").alias("_id"), F.col("o_orderkey").alias("_outV"), F.col("o_custkey").alias("_inV"),
+            F.col("o_orderpriority").alias("_label"), F.lit('a "quoted" ]} \\').alias("note"),
+        )
+    )
+
+    def part(df, section, key, text):
+        first = df.agg(F.min(key)).scalar()
+        return df.select(
+            F.lit(section).alias("section"), F.col(key).cast("bigint").alias("at"),
+            F.concat(F.when(F.col(key) == first, "").otherwise(","), text).alias("content"),
+        )
+
+    frame = [(0, 0, '{"graph": {"mode": "NORMAL", "vertices": ['), (2, 0, '], "edges" : ['), (4, 0, "]}}\n")]
+    rows = t.spark.createDataFrame(frame, "section int, at bigint, content string")
+    rows = rows.unionByName(part(t.customer, 1, "c_custkey", vertex)).unionByName(part(t.orders, 3, "o_orderkey", edge))
+    trees.write_files(rows, root, F.lit("graph.json"), F.col("content"), ["section", "at"])
+    v, e = graph_json.scan_large_graph(t.spark, root, chunk_bytes=1 << 17)
+    size, ids = F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids")
+    found = v.select(F.lit("vertex").alias("kind"), F.col("type").alias("tag"), F.col("_id").alias("id"))
+    found = found.union(e.select(F.lit("edge"), F.col("_label"), F.col("_inV")))
+    return found.groupBy("kind", "tag").agg(size, ids)
+
+
 @plan(
     "scan_documents",
     """
