@@ -24,12 +24,17 @@ def upsert_by_key(
     """Insert or overwrite whole rows; the change that is last in ``seq`` wins.
 
     Only the winning change of a key leaves each task, so a key with very many changes
-    does not gather in one place.
+    does not gather in one place.  The winners are written once, so the changes are read once.
     """
+    last = persist_table(newest_by_key(changes, key, seq).select(*base.columns), "newest")
+    kept = base.join(key_set(last, key), list(key), "left_anti")
+    return kept.select(*base.columns).unionByName(last)
+
+
+def newest_by_key(changes: DataFrame, key: Sequence[str], seq: Sequence[str]) -> DataFrame:
+    """The change of each key that is last in ``seq``."""
     newest = Window.partitionBy(*key).orderBy(*[F.desc(c) for c in seq])
-    last = changes.withColumn("__n", F.row_number().over(newest)).filter("__n = 1")
-    kept = base.join(key_set(changes, key), list(key), "left_anti")
-    return kept.select(*base.columns).unionByName(last.select(*base.columns))
+    return changes.withColumn("__n", F.row_number().over(newest)).filter("__n = 1").drop("__n")
 
 
 def set_fields(

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from millrace.operators import aggregates, graph, mutations, ordering, profile, sets
+from millrace.operators import aggregates, graph, mutations, ordering, profile, sets, table_changes
 from millrace.operators.keys import spread
 from millrace.operators.numbering import positions
 from millrace.plans.join_plans import (
@@ -15,7 +17,8 @@ from millrace.plans.join_plans import (
     vertices,
 )
 from millrace.plans.registry import plan
-from millrace.scratch import persist_table
+from millrace.scratch import persist_table, scratch_path
+from millrace.sources import sinks
 from millrace.sources.generated import rows_literal
 
 # -- aggregations -----------------------------------------------------------------------
@@ -603,6 +606,32 @@ def _(t):
     return mutations.guarded_transition(requests, states, "uuid").fillna({"status": "?"})
 
 
+@plan(
+    "upsert_partitions",
+    """
+    WITH changed AS (
+      SELECT o_orderkey, o_totalprice + 1 AS o_totalprice, o_orderstatus, CASE WHEN o_orderkey % 3 = 0 THEN '9-NEW' ELSE o_orderpriority END AS o_orderpriority
+      FROM orders WHERE o_orderpriority = '5-LOW' AND o_orderkey % 7 = 0)
+    SELECT o_orderkey, o_totalprice, o_orderstatus, o_orderpriority FROM orders
+    WHERE o_orderkey NOT IN (SELECT o_orderkey FROM changed) AND NOT (o_orderpriority = '1-URGENT' AND o_orderstatus = 'F')
+    UNION ALL SELECT * FROM changed
+    """,
+)
+def _(t):
+    """Orders by priority and status: some change, of these a third moves, and one partition goes."""
+    name = f"orders_{uuid.uuid4().hex[:12]}"
+    columns = ["o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority"]
+    keys = ["o_orderpriority", "o_orderstatus"]
+    sinks.write_partitioned(t.orders.select(*columns), name, keys, scratch_path(t.spark, "partitioned"))
+    changes = t.orders.filter("o_orderpriority = '5-LOW' AND o_orderkey % 7 = 0").select(*columns)
+    moved = F.when(F.col("o_orderkey") % 3 == 0, "9-NEW").otherwise(F.col("o_orderpriority"))
+    first = changes.withColumn("seq", F.lit(0))
+    last = changes.withColumns({"o_totalprice": F.col("o_totalprice") + 1, "o_orderpriority": moved, "seq": F.lit(1)})
+    table_changes.upsert_table(t.spark, name, first.unionByName(last), ["o_orderkey"], ["seq"])
+    table_changes.delete_from_table(t.spark, name, F.expr("o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'"))
+    return t.spark.table(name).select(*columns)
+
+
 _REQUESTS = [
     "CASE WHEN l_orderkey % 97 = 0 THEN -1 ELSE l_orderkey END AS uuid",
     "l_shipdate AS asked",

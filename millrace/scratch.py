@@ -60,7 +60,8 @@ def owned_by(owner: str) -> Iterator[None]:
         _OWNER.reset(token)
 
 
-def _delete(spark: SparkSession, folder: str) -> None:
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder with all in it, on whatever file system it is."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -68,7 +69,7 @@ def _delete(spark: SparkSession, folder: str) -> None:
 def release_owned(spark: SparkSession, owner: str) -> None:
     """Delete the tables of ``owner``; frames that read them become invalid."""
     for folder in _OWNED.pop((spark.sparkContext.applicationId, owner), []):
-        _delete(spark, folder)
+        delete_folder(spark, folder)
 
 
 def release_scratch(spark: SparkSession) -> None:
@@ -86,4 +87,4 @@ def release_table(df: DataFrame) -> None:
     for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
         if spark.sparkContext.applicationId not in folder:
             raise ValueError(f"{folder} is no scratch table")
-        _delete(spark, folder)
+        delete_folder(spark, folder)

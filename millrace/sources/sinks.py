@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _name(dotted: str) -> str:
+def quoted_name(dotted: str) -> str:
     """A table or database name in SQL text; its parts may hold any characters but dots."""
     return ".".join("`" + part.replace("`", "``") + "`" for part in dotted.split("."))
 
@@ -20,8 +20,8 @@ def _text(value: str) -> str:
 def create_database(spark: SparkSession, name: str, location: str | None = None) -> None:
     """Create a database if it is missing, and make it the current one."""
     where = " LOCATION " + _text(location) if location else ""
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {_name(name)}{where}")
-    spark.sql(f"USE {_name(name)}")
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {quoted_name(name)}{where}")
+    spark.sql(f"USE {quoted_name(name)}")
 
 
 def convert_to_columnar(df: DataFrame, table: str, path: str | None = None, fmt: str = "parquet") -> DataFrame:
@@ -44,7 +44,7 @@ def load_overwrite(df: DataFrame, table: str) -> None:
 
 
 def drop_table(spark: SparkSession, table: str) -> None:
-    spark.sql(f"DROP TABLE IF EXISTS {_name(table)}")
+    spark.sql(f"DROP TABLE IF EXISTS {quoted_name(table)}")
 
 
 def write_partitioned(
@@ -68,7 +68,7 @@ def _rebalanced(df: DataFrame, keys: Sequence[str], parts: int | None = None) ->
 
 def list_partitions(spark: SparkSession, table: str) -> DataFrame:
     """The key tuples of a partitioned table."""
-    return spark.sql(f"SHOW PARTITIONS {_name(table)}")
+    return spark.sql(f"SHOW PARTITIONS {quoted_name(table)}")
 
 
 def bucket_count(df: DataFrame, bucket_bytes: int = 128 << 20) -> int:
@@ -85,11 +85,15 @@ def write_bucketed(
     sort_cols: Sequence[str] = (),
     path: str | None = None,
 ) -> None:
-    """A table hashed into buckets and sorted (ascending) inside them.
+    """A table hashed into buckets and sorted inside them; a ``-`` before a sort column turns its order.
 
-    Joins and aggregates on the bucket columns then need no shuffle.  A bucket that holds
-    far more than its share is split into several files.
+    Joins and aggregates on the bucket columns then need no shuffle.  If all order is ascending, a bucket
+    that holds far more than its share is split into several files.  With descending columns, which
+    Spark's own bucket sort lacks, each bucket is one task's and one file, sorted (with spills) before it is written.
     """
+    if any(c.startswith("-") for c in sort_cols):
+        _write_in_order(df, table, buckets, bucket_cols, sort_cols, path)
+        return
     writer = (
         _rebalanced(df, bucket_cols, buckets)
         .write.bucketBy(buckets, *bucket_cols)
@@ -102,6 +106,23 @@ def write_bucketed(
     writer.saveAsTable(table)
 
 
+def _write_in_order(df, table, buckets, bucket_cols, sort_cols, path) -> None:
+    order = [F.desc(c[1:]) if c.startswith("-") else F.asc(c) for c in sort_cols]
+    # Dealt by the same hash as the buckets, so that each task holds one of them.
+    rows = df.repartition(buckets, *bucket_cols).sortWithinPartitions(*order)
+    writer = rows.write.bucketBy(buckets, *bucket_cols).mode("errorifexists")
+    if path:
+        writer = writer.option("path", path)
+    # A writer that may keep files open does not sort rows by bucket first, which could mix up their order.
+    setting, conf = "spark.sql.maxConcurrentOutputFileWriters", df.sparkSession.conf
+    before = conf.get(setting)
+    conf.set(setting, "2")
+    try:
+        writer.saveAsTable(table)
+    finally:
+        conf.set(setting, before)
+
+
 def write_job_output(df: DataFrame, path: str) -> None:
     """Tab-separated text without quoting, null as nothing; an existing directory is an error."""
     cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]
@@ -110,5 +131,5 @@ def write_job_output(df: DataFrame, path: str) -> None:
 
 def create_view(spark: SparkSession, name: str, query: str) -> DataFrame:
     """A named query over tables."""
-    spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW {name} AS {query}")
-    return spark.table(name)
+    spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW {quoted_name(name)} AS {query}")
+    return spark.table(quoted_name(name))

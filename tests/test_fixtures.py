@@ -310,7 +310,7 @@ def test_names_and_places_that_need_quotes(spark, tmp_path):
         sinks.drop_table(spark, f"{name}.table")
     finally:
         spark.catalog.setCurrentDatabase(before)
-        spark.sql(f"DROP DATABASE {sinks._name(name)} CASCADE")
+        spark.sql(f"DROP DATABASE {sinks.quoted_name(name)} CASCADE")
 
 
 def test_kmeans_golden(spark, tmp_path):
