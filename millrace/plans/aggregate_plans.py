@@ -259,6 +259,23 @@ def _(t):
     return profile.profile_columns(t.lineitem)
 
 
+@plan(
+    "profile_columns_estimates",
+    """
+    SELECT 'c_custkey' AS column_name, count(*) - count(c_custkey) AS num_nulls, true AS close FROM customer
+    UNION ALL SELECT 'c_name', count(*) - count(c_name), true FROM customer
+    UNION ALL SELECT 'c_nationkey', count(*) - count(c_nationkey), true FROM customer
+    UNION ALL SELECT 'c_acctbal', count(*) - count(c_acctbal), true FROM customer
+    UNION ALL SELECT 'c_mktsegment', count(*) - count(c_mktsegment), true FROM customer
+    """,
+)
+def _(t):
+    """Estimated distinct counts are within 15 % of the exact ones."""
+    exact = profile.profile_columns(t.customer, exact=True).select("column_name", F.col("num_distincts").alias("n"))
+    guess = profile.profile_columns(t.customer).join(exact, "column_name")
+    return guess.select("column_name", "num_nulls", (F.abs(F.col("num_distincts") - F.col("n")) <= 0.15 * F.col("n") + 2).alias("close"))
+
+
 @plan(
     "skewed_values",
     """

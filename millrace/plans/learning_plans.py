@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from millrace.functions.strings import words
 from millrace.operators import aggregates, graph, joins, learning
 from millrace.plans.aggregate_plans import CENTRES_SQL, label_centres
-from millrace.plans.join_plans import ratings
+from millrace.plans.join_plans import RATINGS_SQL, ratings
 from millrace.plans.registry import plan
 from millrace.scratch import persist_table
 
@@ -121,6 +122,74 @@ def _(t):
     return aggregates.mean_squared_error(both, "rating", "prediction")
 
 
+# Fitted models have no SQL; what must hold for any right fit, in figures of the tables, has.
+
+
+@plan(
+    "train_logistic_sums",
+    """
+    SELECT count(*) AS points, sum(quality)::BIGINT AS positives, sum(quality)::BIGINT AS fitted_positives, true AS beats_majority
+    FROM labels JOIN documents USING (doc_id)
+    """,
+)
+def _(t):
+    """At the optimum with an intercept the probabilities add up to the number of positive points."""
+    points = judged_points(t)
+    scored = learning.train_logistic(points).transform(points)
+    scored = scored.withColumn("p", vector_to_array("probability")[1])
+    right = F.count_if(F.col("label") == F.col("prediction"))
+    positives = F.sum("label").cast("bigint")
+    return scored.agg(
+        F.count(F.lit(1)).alias("points"),
+        positives.alias("positives"),
+        F.round(F.sum("p")).cast("bigint").alias("fitted_positives"),
+        (right >= 0.9 * F.greatest(positives, F.count(F.lit(1)) - positives)).alias("beats_majority"),
+    )
+
+
+@plan(
+    "train_kmeans_sums",
+    """
+    SELECT 2::BIGINT AS clusters, count(*) AS points, true AS less_than_one_cluster, true AS cost_is_of_nearest FROM embeddings
+    """,
+)
+def _(t):
+    vectors = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    model = learning.train_kmeans(learning.vectors(vectors, "x"))
+    placed = learning.assign_clusters(vectors, learning.centres_frame(t.spark, model), "x")
+    whole = vectors.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.var_pop("v").alias("var"), F.count("v").alias("n"))
+    scatter = whole.agg(F.sum(F.col("var") * F.col("n")).alias("scatter")).scalar()
+    squares = F.sum(F.col("distance") * F.col("distance"))
+    return placed.agg(
+        F.count_distinct("cluster").alias("clusters"),
+        F.count(F.lit(1)).alias("points"),
+        (squares < scatter).alias("less_than_one_cluster"),
+        (F.abs(squares / model.cost - 1) < 1e-6).alias("cost_is_of_nearest"),
+    )
+
+
+@plan(
+    "predict_pairs_found",
+    f"""
+    WITH {RATINGS_SQL}
+    SELECT user::BIGINT AS user, count(*) AS items, sum(item)::BIGINT AS item_sum, true AS finite, true AS beats_mean FROM ratings GROUP BY user
+    """,
+)
+def _(t):
+    """Every rated pair has a prediction, and over all pairs they are nearer than the mean rating."""
+    known = written_ratings(t)
+    predicted = learning.predict_pairs(learning.train_als(known), known)
+    both = persist_table(joins.join_actual_predicted(known, predicted), "predicted")
+    error = both.agg(F.avg(F.pow(F.col("rating") - F.col("prediction"), F.lit(2)))).scalar()
+    variance = known.agg(F.var_pop("rating")).scalar()
+    return both.groupBy("user").agg(
+        F.count(F.lit(1)).alias("items"),
+        F.sum("item").alias("item_sum"),
+        F.bool_and(~F.isnan("prediction") & (F.abs("prediction") < 1e9)).alias("finite"),
+        (F.max(error) < F.max(variance)).alias("beats_mean"),
+    )
+
+
 @plan(
     "estimate_pi",
     """
