@@ -144,12 +144,14 @@ m AS (
          length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
          (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
          coalesce(n, 0)::BIGINT AS n_repeat_words,
-         length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_capitals
+         length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_capitals, length(regexp_replace(text, '[^0-9]', '', 'g')) AS n_digits,
+         coalesce(list_max(list_transform(words, lambda x: length(x))), 0) AS longest_word
   FROM w JOIN lines USING (id) LEFT JOIN covered USING (id)),
 judged AS (
   SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
          10 * n_symbols > 3 * n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words
-         OR 5 * n_capitals > 2 * word_chars OR 5 * n_dup_lines > n_words AS ruled_out FROM m)
+         OR 5 * n_capitals > 2 * word_chars OR 5 * n_dup_lines > n_words
+         OR 2 * n_digits > word_chars OR longest_word > 1000 AS ruled_out FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT ruled_out AS kept FROM judged""",
 )

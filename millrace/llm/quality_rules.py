@@ -27,6 +27,7 @@ from millrace.llm.text import count_of, words
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 CAPITALS = "A-Z"
+DIGITS = "0-9"
 
 SAMPLE_ROWS = 2000
 
@@ -105,6 +106,8 @@ MEASURES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "word_chars": _with("word_chars", lambda: F.length(F.array_join("__words", "")).cast("bigint")),
     "n_symbols": _with("n_symbols", lambda: count_of(F.col("__text"), SYMBOLS)),
     "n_capitals": _with("n_capitals", lambda: count_of(F.col("__text"), CAPITALS)),
+    "n_digits": _with("n_digits", lambda: count_of(F.col("__text"), DIGITS)),
+    "longest_word": _with("longest_word", lambda: F.array_max(F.transform("__words", F.length)).cast("bigint")),
     "n_dup_lines": _dup_lines,
     "n_repeat_words": with_repeats,
 }
@@ -127,6 +130,8 @@ RULES = (
     Rule("symbols", "10 * n_symbols > 3 * n_words", ("n_words", "n_symbols")),
     Rule("word_length", "word_chars < 2 * n_words or word_chars > 15 * n_words", ("n_words", "word_chars")),
     Rule("capitals", "5 * n_capitals > 2 * word_chars", ("word_chars", "n_capitals")),
+    Rule("digits", "2 * n_digits > word_chars", ("word_chars", "n_digits")),
+    Rule("endless_word", "longest_word > 1000", ("longest_word",)),
     Rule("repeated_lines", "5 * n_dup_lines > n_words", ("n_words", "n_dup_lines")),
 )
 
@@ -152,11 +157,15 @@ def add_measures(rows: DataFrame, names: Sequence[str]) -> DataFrame:
 def estimate_rules(
     docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS
 ) -> list[Estimate]:
-    """Cost and selectivity of each rule on up to ``sample_rows`` documents.
+    """Cost and selectivity of each rule on up to ``sample_rows`` distinct texts, drawn by hash.
 
     The estimate decides the order of the rules and nothing else.
     """
-    sample = docs.select(text).limit(sample_rows).cache()
+    hashed = docs.select(text, F.xxhash64(text).alias("__hash"))
+    ranks = hashed.select("__hash").distinct().orderBy("__hash").limit(sample_rows)
+    last = ranks.agg(F.max("__hash")).first()[0]
+    # Texts are fetched for the hashes of the sample only, so no task writes more of them.
+    sample = hashed.filter(F.col("__hash") <= F.lit(last)).dropDuplicates(["__hash"]).select(text).cache()
     try:
         rows = sample.count()
         found = []
