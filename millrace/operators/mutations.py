@@ -24,11 +24,11 @@ def upsert_by_key(
     """Insert or overwrite whole rows; the change that is last in ``seq`` wins.
 
     Only the winning change of a key leaves each task, so a key with very many changes
-    does not gather in one place.  The winners are written once, so the changes are read once.
+    does not gather in one place.
     """
-    last = persist_table(newest_by_key(changes, key, seq).select(*base.columns), "newest")
-    kept = base.join(key_set(last, key), list(key), "left_anti")
-    return kept.select(*base.columns).unionByName(last)
+    last = newest_by_key(changes, key, seq)
+    kept = base.join(key_set(changes, key), list(key), "left_anti")
+    return kept.select(*base.columns).unionByName(last.select(*base.columns))
 
 
 def newest_by_key(changes: DataFrame, key: Sequence[str], seq: Sequence[str]) -> DataFrame:

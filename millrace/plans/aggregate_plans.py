@@ -325,12 +325,12 @@ def _(t):
     numbers = ["o_orderkey", "o_totalprice"]
     distinct = F.create_map(*[x for c in columns for x in (F.lit(c), F.count_distinct(c))])
     median = F.create_map(*[x for c in numbers for x in (F.lit(c), F.percentile(c, F.array(F.lit(0.45), F.lit(0.55))))])
-    checked = whole.crossJoin(orders.agg(distinct.alias("n"), median.alias("around")))
-    around, middle = F.col("around")[F.col("column_name")], F.col("quantiles")[0]
-    return checked.select(
+    exact, near = orders.agg(distinct.alias("n")).scalar(), orders.agg(median.alias("around")).scalar()
+    around, middle = near[F.col("column_name")], F.col("quantiles")[0]
+    return whole.select(
         "column_name", "num_nulls", "long_low", "long_high", "double_low", "double_high",
         F.round("avg_length", 6).alias("avg_length"), "max_length",
-        (F.abs(F.col("num_distincts") / F.col("n")[F.col("column_name")] - 1) < 0.05).alias("distincts_close"),
+        (F.abs(F.col("num_distincts") / exact[F.col("column_name")] - 1) < 0.05).alias("distincts_close"),
         F.coalesce(middle.between(around[0], around[1]), F.lit(True)).alias("median_close"),
     )
 
