@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from millrace.functions.json_scan import leaves
 from millrace.functions.maps import reverse_lookup
-from millrace.operators.keys import salted_join
+from millrace.operators.keys import deal_rows, salted_join
 
 # Fixed value: what a nested object adds to the prefix of its keys.
 LAYER_TAG = "LAYER"
@@ -99,6 +99,7 @@ def json_leaves(
 
 
 LEAVES_AT_A_TIME = 10_000
+DOCUMENTS_A_TASK = 20_000  # whose pairs one task reads and sorts
 
 
 def _scan(df: DataFrame, key: str, json: str, into_lists: bool, top_lists: bool) -> DataFrame:
@@ -137,7 +138,7 @@ def flatten_to_pairs(df: DataFrame, key: str, json: str, prefix: str) -> DataFra
     a list, also of lists, contributes the pairs of all its objects.  Where two values meet
     under one name the later one wins (list position, then path).
     """
-    found = _scan(df, key, json, False, True)
+    found = _scan(deal_rows(df.select(key, json), DOCUMENTS_A_TASK), key, json, False, True)
     text = found.filter(F.col("value").startswith('"') & (F.size("path") > 0))
     layers = F.repeat(F.lit(f"_{LAYER_TAG}"), F.size("path") - 1)
     name = F.concat(F.lit(prefix), layers, F.lit("_"), F.upper(F.element_at("path", -1)))
