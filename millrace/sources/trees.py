@@ -10,6 +10,7 @@ begin with ``.`` or ``_`` are left out, as Spark's readers do.
 from __future__ import annotations
 
 import io
+import os
 import posixpath
 import uuid
 from collections.abc import Iterator, Sequence
@@ -37,28 +38,41 @@ def open_root(root: str) -> tuple[fs.FileSystem, str]:
     return system, path.rstrip("/")
 
 
+def _entries(system: fs.FileSystem, place: str) -> Iterator[tuple[str, int, bool]]:
+    """Name, size and whether it is a folder, of all that a folder holds."""
+    if isinstance(system, fs.LocalFileSystem):  # one at a time, as a folder may hold millions
+        with os.scandir(place) as found:
+            for i in found:
+                folder = i.is_dir()
+                yield i.name, 0 if folder else i.stat().st_size, folder
+        return
+    for i in system.get_file_info(fs.FileSelector(place)):
+        yield i.base_name, i.size or 0, i.type == fs.FileType.Directory
+
+
 def list_files(spark: SparkSession, root: str, extensions: Sequence[str] | None = None) -> DataFrame:
     """``name, size`` of every file below ``root``; ``name`` is relative to it."""
     wanted = tuple(f".{e.lower()}" for e in extensions or ())
 
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, base = open_root(root)
+        rows = []  # of many folders, as most hold little
         for batch in batches:
             for folder in batch["name"]:
-                place = posixpath.join(base, folder) if folder else base
-                rows = [
-                    (posixpath.join(folder, i.base_name), i.size or 0, i.type == fs.FileType.Directory)
-                    for i in system.get_file_info(fs.FileSelector(place))
-                    if i.base_name[:1] not in (".", "_")
-                ]
-                for low in range(0, len(rows), BATCH_ROWS):
-                    yield pd.DataFrame(rows[low : low + BATCH_ROWS], columns=["name", "size", "folder"])
-
-    tasks = max(spark.sparkContext.defaultParallelism, 1)
+                for name, size, is_folder in _entries(system, posixpath.join(base, folder) if folder else base):
+                    if name[:1] in (".", "_"):
+                        continue
+                    rows.append((posixpath.join(folder, name), size, is_folder))
+                    if len(rows) >= BATCH_ROWS:
+                        yield pd.DataFrame(rows, columns=["name", "size", "folder"])
+                        rows = []
+        yield pd.DataFrame(rows, columns=["name", "size", "folder"])
+
     folders = spark.createDataFrame([("",)], "name string")
     found: list[DataFrame] = []
-    while not folders.isEmpty():
-        level = folders.repartition(tasks).mapInPandas(listed, "name string, size bigint, folder boolean")
+    while count := folders.count():
+        tasks = max(spark.sparkContext.defaultParallelism, count // TASK_FILES)
+        level = folders.repartition(tasks, "name").mapInPandas(listed, "name string, size bigint, folder boolean")
         level = persist_table(level, "listing")
         files = level.filter(~F.col("folder"))
         if wanted:

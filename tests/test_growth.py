@@ -23,3 +23,15 @@ def test_documents_are_dealt_before_their_pairs_are_sorted(spark, monkeypatch):
     rows = nested.flatten_to_pairs(df, "id", "doc", "P").collect()
     assert sorted((r.id, r.name, r.value) for r in rows) == sorted(x for i in range(60) for x in ((i, "P_A", "2"), (i, "P_LAYER_C", "x")))
     assert parts == [10]
+
+
+def test_folders_with_little_in_them_share_a_batch(spark, tmp_path, monkeypatch):
+    for i in range(30):
+        (tmp_path / f"f{i}").mkdir()
+        (tmp_path / f"f{i}" / "x").write_text("12")
+    found, kind = [], type(spark.range(0))
+    run = kind.mapInPandas
+    monkeypatch.setattr(kind, "mapInPandas", lambda df, func, *a, **k: found.append(func) or run(df, func, *a, **k))
+    assert trees.list_files(spark, str(tmp_path)).count() == 30
+    batches = list(found[-1](iter([pd.DataFrame({"name": [f"f{i}" for i in range(30)]})])))
+    assert len(batches) == 1 and len(batches[0]) == 30
