@@ -12,18 +12,21 @@ from __future__ import annotations
 import io
 import os
 import posixpath
+import shutil
 import uuid
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.scratch import persist_table
 
 TASK_BYTES = 64 << 20  # of the files that one task reads
 TASK_FILES = 20_000
+TASK_ROWS = 250_000  # of the contents that one task sorts and writes
 BATCH_BYTES = 8 << 20  # contents that a task holds before it passes them on
 BATCH_ROWS = 10_000
 
@@ -136,33 +139,118 @@ def write_files(df: DataFrame, root: str, name: Column, content: Column, order:
     """Write ``content`` to the file ``name`` below ``root``; rows of one file follow each other by ``order``.
 
     Returns the number of files.  A file appears whole or not at all, so a repeated task does no harm.
+    Rows are dealt to tasks by their name and order, so a file of many rows is written in pieces by many tasks.
     """
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, base = open_root(root)
         known: set[str] = set()
-        current, path, stream, draft, count = None, "", None, "", 0
+        current, path, stream, draft, size, count = None, "", None, "", 0, 0
+        pieces = []  # the first and the last file of a task may begin before it or go on after it
 
-        def close() -> None:
-            if stream:
-                stream.close()
+        def close(last: bool) -> None:
+            if not stream:
+                return
+            stream.close()
+            if last or count == 1:
+                pieces.append((current, TaskContext.get().partitionId(), draft, size, 0))
+            else:
                 system.move(draft, path)
 
         for batch in batches:
             for to, text in zip(batch["__name"], batch["__content"], strict=True):
                 if to != current:
-                    close()
-                    current, path, count = to, posixpath.join(base, to), count + 1
+                    close(False)
+                    current, path, size, count = to, posixpath.join(base, to), 0, count + 1
                     folder = posixpath.dirname(path)
                     if folder not in known:
                         system.create_dir(folder, recursive=True)
                         known.add(folder)
                     draft = posixpath.join(folder, f".{uuid.uuid4().hex}")
                     stream = system.open_output_stream(draft, compression=None)
-                stream.write(text.encode())
-        close()
-        yield pd.DataFrame({"files": [count]})
+                data = text.encode()
+                stream.write(data)
+                size += len(data)
+        close(True)
+        pieces.append((None, 0, "", 0, count - len(pieces)))
+        yield pd.DataFrame(pieces, columns=["name", "part", "draft", "size", "files"])
 
     named = df.select(*order, name.alias("__name"), content.alias("__content"))
-    rows = named.repartition("__name").sortWithinPartitions("__name", *order).select("__name", "__content")
-    return rows.mapInPandas(write, "files bigint").agg(F.coalesce(F.sum("files"), F.lit(0))).first()[0]
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, named.count() // TASK_ROWS)
+    rows = named.repartitionByRange(tasks, "__name", *order).sortWithinPartitions("__name", *order)
+    written = rows.select("__name", "__content").mapInPandas(
+        write, "name string, part int, draft string, size bigint, files bigint"
+    )
+    written = persist_table(written, "written")
+    moved = written.agg(F.coalesce(F.sum("files"), F.lit(0))).first()[0]
+    return moved + _join_pieces(written.filter("name IS NOT NULL"), root)
+
+
+def _join_pieces(pieces: DataFrame, root: str) -> int:
+    """Make files of the ``draft`` files of each ``name``, in order of ``part``; returns their number.
+
+    There are at most two pieces for each task that wrote.  Where a file system writes at any place of a file,
+    each piece is copied to its place by a task of its own; elsewhere a file has one writer, which holds a block.
+    """
+    local = isinstance(open_root(root)[0], fs.LocalFileSystem)
+    of_file = Window.partitionBy("name").orderBy("part")
+    before = of_file.rowsBetween(Window.unboundedPreceding, -1)
+    placed = pieces.select(
+        "name", "part", "draft",
+        F.coalesce(F.sum("size").over(before), F.lit(0)).alias("at"),
+        F.first("draft").over(of_file).alias("whole"),
+        F.count(F.lit(1)).over(Window.partitionBy("name")).alias("pieces"),
+    )
+    placed = persist_table(placed, "pieces")
+
+    def copy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for draft, whole, at in zip(batch["draft"], batch["whole"], batch["at"], strict=True):
+                with open(draft, "rb") as source, open(whole, "r+b") as target:
+                    target.seek(at)
+                    shutil.copyfileobj(source, target, BATCH_BYTES)
+        yield pd.DataFrame({"done": [True]})
+
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        _append(open_root(root)[0], ((d, w) for b in batches for d, w in zip(b["draft"], b["whole"], strict=True)))
+        yield pd.DataFrame({"done": [True]})
+
+    many = placed.filter("pieces > 1")
+    if local:
+        later = many.filter("draft <> whole")
+        if count := later.count():
+            later.repartition(count, "draft").mapInPandas(copy, "done boolean").count()
+    else:
+        many.repartition("name").sortWithinPartitions("name", "part").mapInPandas(join, "done boolean").count()
+
+    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, base = open_root(root)
+        files = 0
+        for batch in batches:
+            for name, draft, whole, pieces in zip(batch["name"], batch["draft"], batch["whole"], batch["pieces"], strict=True):
+                if draft == whole:  # the first piece
+                    files += 1
+                    made = whole if local or pieces == 1 else f"{whole}-whole"
+                    if system.get_file_info(made).type != fs.FileType.NotFound:  # else an earlier try moved it
+                        system.move(made, posixpath.join(base, name))
+                if system.get_file_info(draft).type != fs.FileType.NotFound:
+                    system.delete_file(draft)
+        yield pd.DataFrame({"files": [files]})
+
+    done = placed.select("name", "draft", "whole", "pieces").mapInPandas(settle, "files bigint")
+    return done.agg(F.coalesce(F.sum("files"), F.lit(0))).first()[0]
+
+
+def _append(system: fs.FileSystem, pieces: Iterator[tuple[str, str]]) -> None:
+    """Write the drafts of a file, which follow each other, to one next to the first."""
+    target = None
+    for draft, whole in pieces:
+        if draft == whole:
+            if target:
+                target.close()
+            target = system.open_output_stream(f"{whole}-whole", compression=None)
+        with system.open_input_stream(draft, compression=None) as source:
+            while block := source.read(BATCH_BYTES):
+                target.write(block)
+    if target:
+        target.close()

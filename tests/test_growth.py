@@ -35,3 +35,29 @@ def test_folders_with_little_in_them_share_a_batch(spark, tmp_path, monkeypatch)
     assert trees.list_files(spark, str(tmp_path)).count() == 30
     batches = list(found[-1](iter([pd.DataFrame({"name": [f"f{i}" for i in range(30)]})])))
     assert len(batches) == 1 and len(batches[0]) == 30
+
+
+def test_one_file_of_many_rows_is_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(trees, "TASK_ROWS", 100)
+    seen, join = [], trees._join_pieces
+
+    def spy(pieces, root):
+        seen.extend(r.name for r in pieces.collect())
+        return join(pieces, root)
+
+    monkeypatch.setattr(trees, "_join_pieces", spy)
+    name = F.when(F.col("id") % 50 == 0, F.concat(F.lit("d/small"), "id")).otherwise("d/large")
+    df = spark.range(3000).select("id", name.alias("n"))
+    assert trees.write_files(df, str(tmp_path), F.col("n"), F.concat(F.col("id").cast("string"), F.lit("é\n")), ["id"]) == 61
+    assert seen.count("d/large") > 5
+    assert (tmp_path / "d/large").read_text().split("é\n") == [*(str(i) for i in range(3000) if i % 50), ""]
+    assert sorted(os.listdir(tmp_path / "d")) == sorted(["large", *(f"small{i}" for i in range(0, 3000, 50))])
+
+
+def test_pieces_follow_each_other_where_a_file_has_one_writer(tmp_path):
+    system = fs.SubTreeFileSystem(str(tmp_path), fs.LocalFileSystem())
+    for piece, text in (("a1", "one "), ("a2", "two "), ("a3", "three"), ("b1", ""), ("b2", "four")):
+        (tmp_path / piece).write_text(text)
+    trees._append(system, iter([("a1", "a1"), ("a2", "a1"), ("a3", "a1"), ("b1", "b1"), ("b2", "b1")]))
+    assert (tmp_path / "a1-whole").read_text() == "one two three"
+    assert (tmp_path / "b1-whole").read_text() == "four"
