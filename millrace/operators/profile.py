@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.dates import epoch_seconds
+from millrace.operators.keys import deal_rows
+from millrace.operators.numbering import number_rows
 from millrace.scratch import persist_table
 
 _STATS = (
@@ -56,13 +58,18 @@ def _column_stats(field: T.StructField, exact: bool) -> Column:
     return F.struct(*head, *values)
 
 
+DISTINCT_ROWS = 250_000  # whose values one task groups by itself, before they are shuffled
+
+
 def profile_columns(df: DataFrame, by: Sequence[str] = (), exact: bool = False) -> DataFrame:
     """One row per column (and per value of ``by``) with its statistics, from one pass.
 
     Distinct counts are HyperLogLog estimates unless ``exact``; exact ones add a shuffle
-    of the distinct (column, value) pairs.
+    of the distinct (column, value) pairs, which tasks of bounded size group first.
     """
     fields = [f for f in df.schema.fields if f.name not in by]
+    if exact:
+        df = deal_rows(df, DISTINCT_ROWS)
     row = df.groupBy(*by).agg(F.array(*[_column_stats(f, exact) for f in fields]).alias("__stats"))
     return row.select(*by, F.inline("__stats"))
 
@@ -167,6 +174,30 @@ def read_statistics(stored: DataFrame, quantiles: Sequence[float] = (0.5,)) -> D
     )
 
 
+def exact_quantiles(df: DataFrame, column: str, shares: Sequence[float]) -> list[float] | None:
+    """What ``percentile`` gives for a column of numbers, from a distributed sort; null if no value is known.
+
+    Only the rows at the wanted places, at most two for each share, reach the driver.
+    """
+    known = df.select(F.col(column).cast("double").alias("v")).filter("v IS NOT NULL")
+    tied = known.withColumn("__tie", F.monotonically_increasing_id())  # a value that fills the table is cut too
+    sorted_rows = number_rows(tied, ["v", "__tie"], "rn", unique=True)
+    last = sorted_rows.count() - 1
+    if last < 0:
+        return None
+    places = [last * share for share in shares]
+    wanted = {int(at) + 1 for p in places for at in (np.floor(p), np.ceil(p))}
+    values = {r.rn: r.v for r in sorted_rows.filter(F.col("rn").isin(sorted(wanted))).collect()}
+
+    def between(p: float) -> float:
+        low, high = int(np.floor(p)), int(np.ceil(p))
+        if low == high or values[low + 1] == values[high + 1]:
+            return values[low + 1]
+        return (high - p) * values[low + 1] + (p - low) * values[high + 1]
+
+    return [between(p) for p in places]
+
+
 def heavy_candidates(df: DataFrame, cols: Sequence[str], share: float) -> tuple[DataFrame, int]:
     """Hashes of all tuples that may hold more than ``share`` of the rows, at most ``2 / share``; and the row count.
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from millrace.operators import aggregates, graph, mutations, ordering, profile, sets, table_changes
-from millrace.operators.keys import spread
+from millrace.operators.keys import deal_rows, spread
 from millrace.operators.numbering import positions
 from millrace.plans.join_plans import (
     RATINGS_SQL,
@@ -324,9 +324,10 @@ def _(t):
     columns = ["o_orderkey", "o_totalprice", "o_orderpriority", "o_orderdate"]
     numbers = ["o_orderkey", "o_totalprice"]
     distinct = F.create_map(*[x for c in columns for x in (F.lit(c), F.count_distinct(c))])
-    median = F.create_map(*[x for c in numbers for x in (F.lit(c), F.percentile(c, F.array(F.lit(0.45), F.lit(0.55))))])
-    exact, near = orders.agg(distinct.alias("n")).scalar(), orders.agg(median.alias("around")).scalar()
-    around, middle = near[F.col("column_name")], F.col("quantiles")[0]
+    exact = deal_rows(orders, profile.DISTINCT_ROWS).agg(distinct.alias("n")).scalar()
+    near = {c: profile.exact_quantiles(orders, c, [0.45, 0.55]) for c in numbers}
+    around = F.create_map(*[x for c in numbers for x in (F.lit(c), F.lit(near[c]).cast("array<double>"))])[F.col("column_name")]
+    middle = F.col("quantiles")[0]
     return whole.select(
         "column_name", "num_nulls", "long_low", "long_high", "double_low", "double_high",
         F.round("avg_length", 6).alias("avg_length"), "max_length",

@@ -61,3 +61,20 @@ def test_pieces_follow_each_other_where_a_file_has_one_writer(tmp_path):
     trees._append(system, iter([("a1", "a1"), ("a2", "a1"), ("a3", "a1"), ("b1", "b1"), ("b2", "b1")]))
     assert (tmp_path / "a1-whole").read_text() == "one two three"
     assert (tmp_path / "b1-whole").read_text() == "four"
+
+
+def test_exact_profiles_group_rows_in_tasks_of_bounded_size(spark, monkeypatch):
+    df = spark.range(200).coalesce(1).select((F.col("id") % 7).alias("a"), F.when(F.col("id") > 3, F.col("id")).alias("b"))
+    whole = profile.profile_columns(df, exact=True).collect()
+    monkeypatch.setattr(profile, "DISTINCT_ROWS", 20)
+    dealt = profile.profile_columns(df, exact=True)
+    assert "__dealt" in dealt._jdf.queryExecution().toString()
+    assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, whole))
+    assert {r.column_name: (r.num_distincts, r.num_nulls) for r in whole} == {"a": (7, 0), "b": (196, 4)}
+
+
+@pytest.mark.parametrize("values", [[3.5], [1.0, 1.0, 1.0, 9.0], [None, 5.0, -2.0, 5.0, 0.25, None, 1e9], [float(i * i % 97) for i in range(301)], [None]])
+def test_exact_quantiles_are_those_of_percentile(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    shares = [0.0, 0.1, 0.45, 0.5, 0.55, 1.0]
+    assert profile.exact_quantiles(df, "x", shares) == df.agg(F.percentile("x", F.array(*map(F.lit, shares)))).first()[0]
