@@ -121,7 +121,8 @@ def transitions_in_turn(
 
     A request maps states to states, and such maps compose: those of ``TURNS`` neighbouring
     requests become one, those of ``TURNS`` neighbouring groups one again, until a key has few; then the
-    states go down the same way.  So the requests of a hot key are spread over all tasks.
+    states go down the same way.  So the requests of a hot key are spread over all tasks.  The requests stay
+    in their groups meanwhile, and equal ones may take any order, so neither is joined or counted.
     """
     names = list(dict.fromkeys(s for pair in transitions.values() for s in pair))
 
@@ -130,46 +131,52 @@ def transitions_in_turn(
         return F.coalesce(*moves, F.lit(state))
 
     effect = F.array(*[leads_to(s) for s in names])
-    placed = number_rows(requests, [key, *seq], "__place")
-    turns = placed.select(F.col(key).alias("k"), F.col("__place").alias("at"), effect.alias("effect"))
+    order = [key, *seq, *requests.columns, "__tie"]
+    placed = number_rows(requests.withColumn("__tie", F.monotonically_increasing_id()), order, "__place", unique=True)
+    turns = placed.select(
+        F.col(key).alias("k"), F.col("__place").alias("at"), effect.alias("effect"), F.struct(*requests.columns).alias("own")
+    )
     start = states.select(F.col(key).alias("k"), F.col("status").alias("state"))
-    judged = placed.join(_states_before(turns, start, names).select(F.col("at").alias("__place"), "state"), "__place")
-    return judged.select(*requests.columns, *_judged(F.col("state"), transitions))
+    judged = _states_before(turns, start, names).select("own.*", F.col("state").alias("__state"))
+    return judged.select(*requests.columns, *_judged(F.col("__state"), transitions))
 
 
 def _states_before(turns: DataFrame, start: DataFrame, names: Sequence[str]) -> DataFrame:
-    """``k, at, state``: the state before each of ``k, at, effect``, from the states ``k, state`` of the keys.
+    """``k, at, own, state``: the state before each of ``k, at, effect, own``, from the states ``k, state`` of the keys.
 
-    An effect has the state that each of ``names`` leads to; other states stay what they are.
+    An effect has the state that each of ``names`` leads to; other states stay what they are.  The places of a
+    key follow each other, so a group that ends on neither edge of its ``TURNS`` places is all of its key.
     """
     up = F.expr(f"at div {TURNS}").alias("up")
-    siblings = F.sort_array(F.collect_list(F.struct("at", "effect"))).alias("turns")
-    groups = persist_table(turns.groupBy("k", up).agg(siblings), "turns")
+    siblings = F.sort_array(F.collect_list(F.struct("at", "effect", "own"))).alias("turns")
+    first, last = F.col("turns")[0]["at"], F.element_at("turns", -1)["at"]
+    goes_on = ((first > 0) & (first % TURNS == 0)) | (last % TURNS == TURNS - 1)
+    groups = persist_table(turns.groupBy("k", up).agg(siblings).withColumn("goes_on", goes_on), "turns")
 
     def after(state: Column, turn: Column) -> Column:
         place = F.array_position(F.array(*map(F.lit, names)), state)
         return F.coalesce(F.get(turn["effect"], place.cast("int") - 1), state)
 
-    if groups.groupBy("k").count().filter("count > 1").isEmpty():
-        known = start.withColumnRenamed("k", "__k")
-        begun = groups.join(known, F.col("k").eqNullSafe(F.col("__k")), "left").select("k", "turns", "state")
-    else:
+    known = start.withColumnRenamed("k", "__k")
+    whole_keys, cut = groups.filter("NOT goes_on"), groups.filter("goes_on")
+    begun = whole_keys.join(known, F.col("k").eqNullSafe(F.col("__k")), "left").select("k", "turns", "state")
+    if not cut.isEmpty():
         whole = F.array(*[F.aggregate("turns", F.lit(s), after) for s in names])
-        parents = groups.select("k", F.col("up").alias("at"), whole.alias("effect"))
+        parents = cut.select("k", F.col("up").alias("at"), whole.alias("effect"), F.lit(None).cast("int").alias("own"))
         before = _states_before(parents, start, names).select(F.col("k").alias("__k"), F.col("at").alias("up"), "state")
-        begun = groups.join(before.withColumnRenamed("up", "__up"), (F.col("up") == F.col("__up")) & F.col("k").eqNullSafe(F.col("__k")))
-        begun = begun.select("k", "turns", "state")
-    none = F.array().cast("array<struct<at:bigint,state:string>>")
+        later = cut.join(before.withColumnRenamed("up", "__up"), (F.col("up") == F.col("__up")) & F.col("k").eqNullSafe(F.col("__k")))
+        begun = begun.unionByName(later.select("k", "turns", "state"))
     walked = F.aggregate(
         "turns",
-        F.struct(F.col("state").alias("now"), none.alias("seen")),
+        F.struct(F.col("state").alias("now"), F.array().cast("array<string>").alias("seen")),
         lambda acc, turn: F.struct(
-            after(acc["now"], turn).alias("now"),
-            F.array_append(acc["seen"], F.struct(turn["at"].alias("at"), acc["now"].alias("state"))).alias("seen"),
+            after(acc["now"], turn).alias("now"), F.array_append(acc["seen"], acc["now"]).alias("seen")
         ),
         lambda acc: acc["seen"],
     )
-    return begun.select("k", F.inline(walked))
+    begun = begun.withColumn("seen", walked)
+    rows = F.transform("turns", lambda turn, i: F.struct(turn["at"].alias("at"), turn["own"].alias("own"), F.get("seen", i).alias("state")))
+    return begun.select("k", F.inline(rows))
 
 
 def increment_counter(

@@ -78,3 +78,17 @@ def test_exact_quantiles_are_those_of_percentile(spark, values):
     df = spark.createDataFrame([(v,) for v in values], "x double")
     shares = [0.0, 0.1, 0.45, 0.5, 0.55, 1.0]
     assert profile.exact_quantiles(df, "x", shares) == df.agg(F.percentile("x", F.array(*map(F.lit, shares)))).first()[0]
+
+
+def test_requests_of_keys_in_one_group_do_not_go_up(spark, monkeypatch):
+    monkeypatch.setattr(mutations, "TURNS", 16)
+    sizes, before = [], mutations._states_before
+    monkeypatch.setattr(mutations, "_states_before", lambda turns, *a: sizes.append(turns.count()) or before(turns, *a))
+    rng = random.Random(3)
+    rows = [(f"k{i % 200:03}", i, rng.choice(["stop", "rm", "snapshot"]), None) for i in range(400)]
+    rows += [("z", i, "snapshot", "n") for i in range(600)] + [("k000", 0, rows[0][2], None)] * 2  # equal ones too
+    requests = spark.createDataFrame(rows, "uuid string, at int, action string, note string")
+    states = spark.createDataFrame([(f"k{i:03}", "running") for i in range(200)], "uuid string, status string")
+    done = mutations.transitions_in_turn(requests, states, "uuid", ["at"]).collect()
+    assert sorted((r.uuid, r.at, r.action, r.note or "") for r in done) == sorted((*r[:3], r[3] or "") for r in rows)
+    assert sizes[0] == 1002 and sizes[1] <= 2 * (1002 // 16 + 1)
