@@ -224,11 +224,18 @@ def train_als(
 
 
 def predict_pairs(factors: Factors, pairs: DataFrame) -> DataFrame:
-    """Predicted rating of every (user, item) whose user and item were trained on."""
-    known = _numbered(pairs.select("user", "item"), factors.users, factors.items)
-    return factors.model.transform(known).select(
-        "user", "item", F.col("prediction").cast("double").alias("prediction")
-    )
+    """Predicted rating of every (user, item) whose user and item were trained on.
+
+    The factors go to the ids first, so each pair meets its user and its item in one join each.
+    """
+    by_id = {}
+    for name, ids, fitted in (("user", factors.users, factors.model.userFactors), ("item", factors.items, factors.model.itemFactors)):
+        found = ids.join(fitted.withColumnRenamed("id", "number"), "number")
+        by_id[name] = found.select(name, F.col("features").alias(f"__{name}"))
+    met = pairs.select("user", "item").join(by_id["user"], "user").join(by_id["item"], "item")
+    products = F.zip_with("__user", "__item", lambda u, i: u * i)
+    dot = F.aggregate(products, F.lit(0.0).cast("float"), lambda s, x: s + x)
+    return met.select("user", "item", dot.cast("double").alias("prediction")).filter(~F.isnan("prediction"))
 
 
 def estimate_pi(spark: SparkSession, samples: int, seed: int = 1) -> DataFrame:

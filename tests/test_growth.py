@@ -92,3 +92,16 @@ def test_requests_of_keys_in_one_group_do_not_go_up(spark, monkeypatch):
     done = mutations.transitions_in_turn(requests, states, "uuid", ["at"]).collect()
     assert sorted((r.uuid, r.at, r.action, r.note or "") for r in done) == sorted((*r[:3], r[3] or "") for r in rows)
     assert sizes[0] == 1002 and sizes[1] <= 2 * (1002 // 16 + 1)
+
+
+def test_a_pair_meets_its_factors_without_its_numbers(spark):
+    known = spark.createDataFrame([(u, f"i{i}", float(u * i)) for u in range(1, 6) for i in range(1, 5)], "user int, item string, rating double")
+    factors = learning.train_als(known, rank=2, max_iter=3, blocks=2)
+    asked = known.select("user", "item").unionByName(spark.createDataFrame([(1, "i1"), (9, "i1"), (None, "i2")], "user int, item string"))
+    found = learning.predict_pairs(factors, asked)
+    assert "UDF" not in found._jdf.queryExecution().toString()
+    numbered = learning._numbered(asked, factors.users, factors.items)
+    wanted = factors.model.transform(numbered).select("user", "item", F.col("prediction").cast("double"))
+    got, want = (sorted(map(tuple, df.collect())) for df in (found, wanted))
+    assert [g[:2] for g in got] == [w[:2] for w in want] and len(got) == 21
+    assert [g[2] for g in got] == pytest.approx([w[2] for w in want], rel=1e-6)
