@@ -14,7 +14,6 @@ from millrace.operators import learning, mutations, nested, profile
 from millrace.sources import trees
 
 
-
 def test_documents_are_dealt_before_their_pairs_are_sorted(spark, monkeypatch):
     monkeypatch.setattr(nested, "DOCUMENTS_A_TASK", 10)
     parts, scan = [], nested._scan
