@@ -87,6 +87,48 @@ def test_documents_of_a_template_do_not_meet(spark, shared, own):
     assert met[1][0] <= 2.2 * met[0][0] + 50 and met[1][1] <= 2.2 * met[0][1] + 50
 
 
+def near_copies(n, seed=11):
+    """Texts of one base with up to four words changed in each: similarities from 0.6 to 1."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefghijkl", k=6))
+    base, texts = [word() for _ in range(150)], []
+    for _ in range(n):
+        copy = list(base)
+        for _ in range(rng.randrange(1, 5)):
+            copy[rng.randrange(150)] = word()
+        texts.append(" ".join(copy))
+    return texts
+
+
+def test_pairs_of_near_copies_do_not_grow_as_the_square(spark, monkeypatch):
+    """Each of a crowd of near copies is measured against few others, though most of all pairs are links."""
+    from millrace.scratch import persist_table
+
+    measured, real = [], jaccard.measure_pairs
+
+    def counted(pairs, texts):
+        pairs = persist_table(pairs, "counted")
+        measured[-1] += pairs.count()
+        return real(pairs, texts)
+
+    monkeypatch.setattr(jaccard, "measure_pairs", counted)
+    for n in (250, 500):
+        measured.append(0)
+        df = spark.createDataFrame(list(enumerate(near_copies(n))), "doc_id bigint, text string")
+        assert jaccard.near_duplicates(df).count() == n
+    assert measured[1] <= 2.5 * measured[0] and measured[1] <= 20 * 500
+
+
+def test_near_copies_in_small_blocks(spark, monkeypatch):
+    """Crowds whose members meet in many blocks and parts, against brute force."""
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    monkeypatch.setattr(jaccard, "GUESTS", 4)
+    texts = near_copies(70) + near_copies(40, 12) + texts_for_join()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    expected = brute_components(list(range(len(texts))), texts)
+    assert Counter(map(tuple, jaccard.near_duplicates(df).collect())) == Counter(expected)
+
+
 def test_first_shared_shingle_is_near_both():
     rng = np.random.default_rng(5)
     none = np.zeros(0, np.uint64)
