@@ -49,6 +49,7 @@ LENGTH = 200
 BUCKET_ROWS = 40_000  # suffixes that one merge expects
 RUN_ROWS = 40_000  # suffixes that a task sorts at a time
 HOT = BUCKET_ROWS  # suffixes of one mark that go to one merge; larger groups are split by content
+MEMBERS = 32  # suffixes that travel as one row, about
 WIDTHS = (16, 1)  # windows in a block, by round of splitting
 
 RUNS = (
@@ -211,11 +212,11 @@ def _unlike(rows: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     """Spans of the suffixes with equal contexts, and one suffix of each context.
 
     The suffixes come with ``size``, how many their mark has left; one alone is left out.
+    ``rows`` has ``part``, which deals out the suffixes of a context.
     """
-    # The suffixes of one context that a task reads travel as one row, so that a passage of many documents
-    # is a row for each task here; the verdict goes back to these rows by keys that occur once.
+    # The suffixes of one context and part travel as one row; the verdict goes back to these rows by
+    # keys that occur once.
     suffix = F.struct("id", "check", "place", "nearest", "farthest")
-    rows = rows.withColumn("part", F.spark_partition_id())
     local = rows.groupBy("mark", "context", "part").agg(F.collect_list(suffix).alias("members"))
     local = persist_table(local, "local")
     contexts = local.groupBy("mark", "context", spread(["mark", "context"])).agg(
@@ -236,7 +237,11 @@ def unlike_suffixes(keyed: DataFrame, text: str, length: int, most: int) -> tupl
     """Suffixes to merge, at most ``most`` of a mark, and spans that are known to be repeated."""
     every = persist_table(marks(keyed, text, length), "marks")
     twice = every.select("mark", spread(["mark"])).groupBy("mark", "__spread").count().filter("count > 1")
-    shared = persist_table(every.join(twice.select("mark"), "mark"), "shared")
+    # All suffixes of a mark come from one task of this join, so those of a passage of many documents
+    # are dealt by their documents to parts of some size.
+    part = F.pmod(F.xxhash64("id", "check", "place"), F.expr(f"(count - 1) div {MEMBERS} + 1"))
+    shared = every.join(twice.select("mark", "count"), "mark").withColumn("part", part).drop("count")
+    shared = persist_table(shared, "shared")
     release_table(every)
     known, unlike = _unlike(shared, length)
     spans, left = [known], [unlike.filter(F.col("size") <= most).drop("size")]
@@ -245,7 +250,8 @@ def unlike_suffixes(keyed: DataFrame, text: str, length: int, most: int) -> tupl
         if hot.isEmpty():
             break
         blocks = _with_texts(keyed, text, _by_doc(hot)).mapInPandas(_blocks(min(width, length), length), BLOCKS)
-        known, unlike = _unlike(persist_table(blocks, "blocks"), length)
+        blocks = persist_table(blocks.withColumn("part", F.spark_partition_id().cast("bigint")), "blocks")
+        known, unlike = _unlike(blocks, length)
         spans.append(known)
         if width > 1:  # else all suffixes of a mark are one window
             left.append(unlike.filter(F.col("size") <= most).drop("size"))

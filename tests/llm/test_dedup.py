@@ -241,6 +241,28 @@ def test_no_merge_gets_a_hot_mark(spark):
     assert sorted(map(tuple, got.collect())) == expected
 
 
+def test_suffixes_of_one_passage_travel_in_many_rows(spark, monkeypatch):
+    """One passage in all documents: no row of ``local`` holds more than a few parts' share of its suffixes."""
+    held, real = [], suffix_dedup.persist_table
+
+    def watched(rows, label):
+        table = real(rows, label)
+        if label == "local":
+            held.append(table.agg(F.max(F.size("members")), F.sum(F.size("members"))).first())
+        return table
+
+    monkeypatch.setattr(suffix_dedup, "persist_table", watched)
+    rng = random.Random(8)
+    said = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    passage = said(700)
+    texts = [said(300) + passage + said(300) for _ in range(600)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    got = suffix_dedup.remove_repeats(df).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert sorted(map(tuple, got.collect())) == [(i, *r) for i, r in enumerate(brute_repeats(texts, 200))]
+    largest, every = held[0]
+    assert every >= 600 and largest <= 3 * 32
+
+
 def test_merge_of_front_coded_runs():
     rng = random.Random(9)
     for _ in range(200):
