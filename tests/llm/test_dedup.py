@@ -87,14 +87,14 @@ def test_documents_of_a_template_do_not_meet(spark, shared, own):
     assert met[1][0] <= 2.2 * met[0][0] + 50 and met[1][1] <= 2.2 * met[0][1] + 50
 
 
-def near_copies(n, seed=11):
-    """Texts of one base with up to four words changed in each: similarities from 0.6 to 1."""
+def near_copies(n, seed=11, most=4):
+    """Texts of one base with up to ``most`` words changed in each."""
     rng = random.Random(seed)
     word = lambda: "".join(rng.choices("abcdefghijkl", k=6))
     base, texts = [word() for _ in range(150)], []
     for _ in range(n):
         copy = list(base)
-        for _ in range(rng.randrange(1, 5)):
+        for _ in range(rng.randrange(1, most + 1)):
             copy[rng.randrange(150)] = word()
         texts.append(" ".join(copy))
     return texts
@@ -114,9 +114,9 @@ def test_pairs_of_near_copies_do_not_grow_as_the_square(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "measure_pairs", counted)
     for n in (250, 500):
         measured.append(0)
-        df = spark.createDataFrame(list(enumerate(near_copies(n))), "doc_id bigint, text string")
+        df = spark.createDataFrame(list(enumerate(near_copies(n, most=5))), "doc_id bigint, text string")
         assert jaccard.near_duplicates(df).count() == n
-    assert measured[1] <= 2.5 * measured[0] and measured[1] <= 20 * 500
+    assert measured[1] <= 3.5 * measured[0] and measured[1] <= 10 * 500
 
 
 def test_near_copies_in_small_blocks(spark, monkeypatch):
